@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: dict[str, str] = {}
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -27,3 +33,17 @@ def local_session(cores: str = "8", app: str = "snapstride") -> SparkSession:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once for each application."""
+    context = spark.sparkContext
+    if _shipped.get("app") == context.applicationId:
+        return
+    top = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="snapstride-src-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(top.rglob("*.py")):
+            out.write(path, path.relative_to(top.parent))
+    context.addPyFile(str(target))
+    _shipped["app"] = context.applicationId
