@@ -83,7 +83,8 @@ def exact_dedup(
         "recipes",
     )
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("rows"))
-    groups = groups.filter("rows > 1")
+    # written apart, so that both sides of the join are dealt anew and a hot group can be split
+    groups = staged(groups.filter("rows > 1"), "copies")
     found = recipes.join(groups, "recipe", "left")
     keep = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return found.select(

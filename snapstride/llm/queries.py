@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+
+from ..session import ship
 from . import sql
+from .binary_ids import ids_round_trip
 from .exact_dedup import exact_dedup
 from .mixing import plan_mix
+from .packing import pack
+from .token_counts import count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(_documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -22,10 +33,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ids_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict:
     return {
+        "op1_packing": op1_packing,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_mixing": op5_mixing,
+        "op7_token_counts": op7_token_counts,
+        "op10_binary_ids": op10_binary_ids,
     }
 
 
