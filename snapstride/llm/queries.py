@@ -11,6 +11,7 @@ from . import sql
 from .binary_ids import ids_round_trip
 from .exact_dedup import exact_dedup
 from .mixing import plan_mix
+from .near_dedup import near_classes
 from .packing import pack
 from .token_counts import count_tokens
 
@@ -24,6 +25,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup(_documents(spark, sf_dir))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -44,6 +49,7 @@ def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
+        "op2_near_dedup": op2_near_dedup,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_mixing": op5_mixing,
         "op7_token_counts": op7_token_counts,
