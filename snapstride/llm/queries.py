@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
@@ -10,10 +11,14 @@ from ..session import ship
 from . import sql
 from .binary_ids import ids_round_trip
 from .exact_dedup import exact_dedup
+from .language import identify
+from .line_dedup import line_dedup
 from .mixing import plan_mix
 from .near_dedup import near_classes
 from .packing import pack
+from .quality import quality
 from .token_counts import count_tokens
+from .warc import archive_round_trip
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,14 +39,33 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,8 +75,12 @@ def queries() -> dict:
         "op1_packing": op1_packing,
         "op2_near_dedup": op2_near_dedup,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality": op4_quality,
         "op5_mixing": op5_mixing,
+        "op6_line_dedup": op6_line_dedup,
         "op7_token_counts": op7_token_counts,
+        "op8_language": op8_language,
+        "op9_warc": op9_warc,
         "op10_binary_ids": op10_binary_ids,
     }
 
@@ -61,4 +89,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": sql.EXACT_DEDUP,
         "op5_mixing": sql.MIXING,
+        "op6_line_dedup": sql.LINE_DEDUP,
+        "op9_warc": sql.WARC,
     }

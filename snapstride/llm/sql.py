@@ -53,3 +53,44 @@ SELECT doc_id, size, source_size, target,
        CAST((epochs + CASE WHEN size > 0 AND upto - size / 2e0 <= rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
 FROM run
 """
+
+LINE_DEDUP = """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+  SELECT r, doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM docs
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines
+), repeated AS (
+  SELECT k, max(doc_id) AS keep FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT keyed.*, repeated.k IS NOT NULL AND keyed.doc_id <> repeated.keep AS gone
+  FROM keyed LEFT JOIN repeated ON keyed.k = repeated.k
+)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+#: Base 32 of a 160-bit digest: its 40 hex digits in eight groups of five (20 bits each),
+#: every group four letters of the alphabet.
+WARC = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), coded AS (
+  SELECT page_id, h, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+         array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda j:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  CAST((CAST('0x' || substr(h, CAST(5 * g + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * j AS BIGINT)) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest
+  FROM hashed
+), keepers AS (
+  SELECT h, max(page_id) AS keeper FROM coded GROUP BY h
+)
+SELECT c.page_id, c.payload_bytes, c.payload_digest,
+       CASE WHEN c.page_id = k.keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN c.page_id = k.keeper THEN NULL ELSE k.keeper END AS refers_to
+FROM coded c JOIN keepers k ON c.h = k.h
+"""
