@@ -1,18 +1,16 @@
-"""Registry of the reference-side queries and their SQL."""
+"""All queries of the as-of engine and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import ensembles, features, registry
 
-from pyspark.sql import DataFrame, SparkSession
+flagship = features.flagship
+_MODULES = (ensembles, features)  # entering their queries
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
