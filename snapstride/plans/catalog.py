@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ensembles, features, registry
+from . import ensembles, features, markets, registry
 
 flagship = features.flagship
-_MODULES = (ensembles, features)  # entering their queries
+_MODULES = (ensembles, features, markets)  # entering their queries
 
 
 def queries() -> dict[str, registry.Query]:
