@@ -55,7 +55,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
     Targets share ``share`` of all sizes by weight; none exceeds ``most`` times its source,
     and the excess is shared again by weight. That is min(cap, level * weight) for one level,
-    found by sorting the sources by cap / weight: those below the level are full.
+    found by sorting the sources by cap / weight: those below the level are full. With the
+    sources before one full, the rest would stand at ``level``; of those that can hold it,
+    the first has the greatest, which is the answer.
     """
     order = Window.orderBy(F.col("source") == "", "source")
     picked = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -65,7 +67,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     rows = rows.withColumn("goal", F.sum("source_size").over(whole) * F.lit(share))
     rows = rows.withColumn("level", (F.col("goal") - F.coalesce(F.sum("cap").over(full), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(full), F.lit(0.0))))
     fits = F.col("cap") >= F.col("level") * F.col("weight")
-    rows = rows.withColumn("level", F.min(F.when(fits, F.col("level"))).over(whole))
+    rows = rows.withColumn("level", F.max(F.when(fits, F.col("level"))).over(whole))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight")))
     return rows.select("source", "source_size", "weight", F.round(target, 6).alias("target"))
 

@@ -37,7 +37,7 @@ WITH sized AS (
 ), levels AS (
   SELECT *, (goal - capped) / open_weight AS lv FROM ordered
 ), level AS (
-  SELECT min(lv) AS lv FROM levels WHERE cap >= lv * weight
+  SELECT max(lv) AS lv FROM levels WHERE cap >= lv * weight
 ), aims AS (
   SELECT s.source, s.source_size,
          round(CASE WHEN l.lv IS NULL THEN s.cap ELSE least(s.cap, l.lv * s.weight) END, 6) AS target
