@@ -9,8 +9,17 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 4 << 20
+#: Both a JVM and a Python worker hold some batches at a time, for each core.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold BATCH_BYTES at most, or a single row."""
+    spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

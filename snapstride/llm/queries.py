@@ -9,6 +9,7 @@ import public_tokenizers
 
 from ..session import ship
 from . import sql
+from .batches import small_batches
 from .binary_ids import ids_round_trip
 from .exact_dedup import exact_dedup
 from .language import identify
@@ -21,8 +22,14 @@ from .token_counts import count_tokens
 from .warc import archive_round_trip
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """Lets the session run the operators: package on the workers, bounded batches."""
     ship(spark)
+    small_batches(spark)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -61,7 +68,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepared(spark)
     found = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -70,6 +77,13 @@ def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, which stands beside this package."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -82,6 +96,7 @@ def queries() -> dict:
         "op8_language": op8_language,
         "op9_warc": op9_warc,
         "op10_binary_ids": op10_binary_ids,
+        "pipeline": pipeline,
     }
 
 
