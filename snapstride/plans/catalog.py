@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ensembles, features, markets, parsing, registry
+from . import availability, ensembles, features, markets, parsing, registry
 
 flagship = features.flagship
-_MODULES = (ensembles, features, markets, parsing)  # entering their queries
+_MODULES = (availability, ensembles, features, markets, parsing)  # entering their queries
 
 
 def queries() -> dict[str, registry.Query]:
