@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import availability, ensembles, features, markets, parsing, registry
+from . import availability, ensembles, features, markets, parsing, registry, simulations, strategy
 
 flagship = features.flagship
-_MODULES = (availability, ensembles, features, markets, parsing)  # entering their queries
+_MODULES = (availability, ensembles, features, markets, parsing, simulations, strategy)  # entering their queries
 
 
 def queries() -> dict[str, registry.Query]:

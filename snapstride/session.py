@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
+_own: list[str] = []
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -47,3 +51,20 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(top.parent))
     context.addPyFile(str(target))
     _shipped["app"] = context.applicationId
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share.
+
+    That is ``spark.checkpoint.dir``. Only where it is unset and the master is local (tests)
+    is a folder of our own made.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="snapstride-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        root = f"file://{_own[0]}"
+    return f"{root.rstrip('/')}/snapstride/{name}-{uuid.uuid4().hex}"
