@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import bounded
+from .words import plain
 
 HUGE = 32_768
 CHUNK = 16_384
@@ -103,7 +104,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_here = counter(model)
         for batch in bounded(batches):
-            text = batch.column("text").cast(pa.large_string()).fill_null("")
+            text = plain(batch.column("text"))
             n = model_here.counts(text.to_pylist(), huge, chunk, overlap)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(n), pa.array(n > limit)],

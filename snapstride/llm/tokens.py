@@ -16,8 +16,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Parts whose ids a worker remembers from one batch to the next.
-REMEMBERED = 400_000
+from .words import doc_sums, plain
+
+#: Parts whose ids a worker remembers, in two generations: the older half is forgotten first.
+REMEMBERED = 800_000
+#: Distinct parts are encoded so many to a call, joined, and cut apart again.
+JOINED = 500
+#: Stands between joined parts where a space belongs to neither of them.
+FENCE = "\x01"
+ASCII_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -43,69 +50,117 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.spaced = spaced
-        self.known: dict[str, np.ndarray] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails = {c: self._encode([c])[0].tobytes() for c in ".,"}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        if spaced:  # a part's first token, and no other, begins with the space
+            self.border = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        else:
+            self.border = np.zeros(size, bool)
+            self.border[self._encode([FENCE])[0][0]] = True
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, parts: list[str]) -> list[np.ndarray]:
-        """Ids of distinct parts; those not yet known are encoded and remembered."""
-        new = [p for p in parts if p not in self.known]
-        got: dict[str, np.ndarray] = {}
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            got.update(zip(some, self._encode([" " + p for p in some] if self.spaced else some), strict=True))
-        known = self.known
-        out = [known[p] if p in known else got[p] for p in parts]
-        if len(known) + len(got) > REMEMBERED:
-            self.known = known = {}
-        known.update(list(got.items())[:REMEMBERED])
+    def _alone(self, parts: list[str]) -> list[bytes]:
+        return [x.tobytes() for x in self._encode([" " + p for p in parts] if self.spaced else parts)]
+
+    def _joinable(self, part: str) -> bool:
+        """Whether the ids of joined parts show where this one ends."""
+        return bool(part) and not part[-1].isspace() if self.spaced else FENCE not in part
+
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, from one call for JOINED of them."""
+        groups = [parts[i : i + JOINED] for i in range(0, len(parts), JOINED)]
+        out: list[bytes] = []
+        for group, ids in zip(groups, self._encode([" " + " ".join(g) if self.spaced else f" {FENCE} ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.border[ids])
+            raw = ids.tobytes()
+            if self.spaced:
+                begins, ends = at, np.append(at[1:], len(ids))
+            else:
+                begins, ends = np.append(0, at + 1), np.append(at, len(ids))
+            if len(begins) != len(group) or (self.spaced and begins[0]):  # never seen; then one by one
+                out += self._alone(group)
+                continue
+            out += [raw[b:e] for b, e in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)]
         return out
 
+    def _stem(self, part: str) -> str:
+        """The part without a full stop or comma after an ASCII letter, a pre-token by itself."""
+        return part[:-1] if self.spaced and len(part) > 1 and part[-1] in self.tails and part[-2] in ASCII_LETTERS else part
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts; those not yet known are encoded and remembered."""
+        young, old = self.young, self.old
+        found = [young.get(p) or old.get(p) for p in parts]
+        new = [i for i, x in enumerate(found) if x is None]
+        stems = {p: young.get(p) or old.get(p) for p in {self._stem(parts[i]) for i in new}}
+        lost = [p for p, x in stems.items() if x is None]
+        for way, some in ((self._joined, [p for p in lost if self._joinable(p)]), (self._alone, [p for p in lost if not self._joinable(p)])):
+            if some:
+                stems.update(zip(some, way(some), strict=True))
+        for i in new:
+            part = parts[i]
+            stem = self._stem(part)
+            found[i] = stems[stem] if stem is part else stems[stem] + self.tails[part[-1]]
+        young.update(stems)
+        young.update(zip(parts, found, strict=True))
+        if len(young) > REMEMBERED // 2:
+            self.old, self.young = young, {}
+        return found
+
     def texts(self, column: pa.Array, end: int | None = None) -> Ids:
         """Ids of each text, with ``end`` after each if given; null counts as empty."""
-        column = column.cast(pa.large_string()).fill_null("")
+        column = plain(column)
         n = len(column)
         if n == 0:
             return Ids(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        if not self.spaced and not pc.any(pc.match_substring(column, "<|")).as_py():
+            # this tokenizer lowers case and ends a pre-token between a letter and a mark
+            column = pc.replace_substring_regex(pc.ascii_lower(column), "([a-z])([.,])", r"\1 \2")
         lists = pc.split_pattern(column, " ")
         offs = np.asarray(lists.offsets).astype(np.int64)
         offs = offs - offs[0]
         coded = lists.flatten().dictionary_encode()
         parts, index = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        whole = np.zeros(n, bool)
-        if self.spaced:
-            # the last part of a text has no border after it
-            open_end = np.array([not p or p[-1].isspace() for p in parts], bool)[index]
-            open_end[offs[1:] - 1] = False
-            whole = np.logical_or.reduceat(open_end, offs[:-1])
-        first = np.zeros(len(index), bool)
-        first[offs[:-1]] = self.spaced  # no space before it, so encoded by itself
-        skip = np.repeat(whole, np.diff(offs)) | first
-        used = np.unique(index[~skip])
-        pieces = self._parts([parts[i] for i in used])
-        alone = self._encode([t if w else parts[index[offs[i]]] for i, (t, w) in enumerate(zip(_some(column, whole), whole, strict=True))]) if self.spaced else []
-        # every entry: (from, length) in one pool of ids
-        pool = pieces + alone + ([np.array([end], np.uint32)] if end is not None else [])
-        lens = np.fromiter(map(len, pool), np.int64, len(pool))
-        begin = np.concatenate([[0], np.cumsum(lens)])[:-1]
-        flat = np.concatenate(pool) if pool else np.zeros(0, np.uint32)
-        slot = np.zeros(len(parts), np.int64)
-        slot[used] = np.arange(len(used))
+        if not self.spaced:
+            return self._gather(self._parts(parts), index, offs, end)
+        # the last part of a text has no border after it; the first has no space before it
+        open_end = np.array([not p or p[-1].isspace() for p in parts], bool)[index]
+        open_end[offs[1:] - 1] = False
+        whole = np.logical_or.reduceat(open_end, offs[:-1])
+        keep = ~np.repeat(whole, np.diff(offs))
+        firsts = offs[:-1]
+        keep[firsts] = False
+        used = np.unique(index[keep])
+        slot = np.zeros(len(parts), np.int32)
+        slot[used] = np.arange(len(used), dtype=np.int32)
         entry = slot[index]
-        drop = np.repeat(whole, np.diff(offs)) & ~first
-        if self.spaced:
-            entry[first] = len(pieces) + np.arange(n)
-        counts = np.diff(offs) - doc_sums(drop, offs)
-        entry = entry[~drop]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
+        entry[firsts] = len(used) + np.arange(n, dtype=np.int32)
+        heads = [t if w else parts[i] for t, w, i in zip(_some(column, whole), whole.tolist(), index[firsts].tolist(), strict=True)]
+        pieces = self._parts([parts[i] for i in used.tolist()]) + [x.tobytes() for x in self._encode(heads)]
+        if whole.any():
+            keep[firsts] = True
+            entry, offs = entry[keep], np.concatenate([[0], np.cumsum(doc_sums(keep, offs))])
+        return self._gather(pieces, entry, offs, end)
+
+    @staticmethod
+    def _gather(pieces: list[bytes], entry: np.ndarray, offs: np.ndarray, end: int | None) -> Ids:
+        """The ids of ``pieces[entry]``; ``offs`` part the entries into texts."""
         if end is not None:
-            entry = np.insert(entry, bounds[1:], len(pool) - 1)
-            bounds = bounds + np.arange(n + 1)
+            entry = np.insert(entry, offs[1:], len(pieces))
+            offs = offs + np.arange(len(offs))
+            pieces = [*pieces, np.array([end], np.uint32).tobytes()]
+        lens = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
+        begin = np.cumsum(lens, dtype=np.int32) - lens
+        flat = np.frombuffer(b"".join(pieces), np.uint32)
         size = lens[entry]
-        total = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(total[-1]) + np.repeat(begin[entry] - total[:-1], size)
-        return Ids(flat[at], total[bounds])
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        at = np.repeat(begin[entry] - total[:-1].astype(np.int32), size)
+        at += np.arange(len(at), dtype=np.int32)
+        return Ids(flat[at], total[offs])
 
 
 def _some(column: pa.Array, wanted: np.ndarray) -> list:
@@ -114,7 +169,3 @@ def _some(column: pa.Array, wanted: np.ndarray) -> list:
         return [None] * len(column)
     return pc.if_else(pa.array(wanted), column, pa.scalar(None, pa.large_string())).to_pylist()
 
-
-def doc_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    run = np.concatenate([[0], np.cumsum(values)])
-    return run[offs[1:]] - run[offs[:-1]]

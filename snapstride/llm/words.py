@@ -22,16 +22,29 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and len + 1 offsets into them; null counts as empty."""
+def plain(column: pa.Array) -> pa.Array:
+    """The column as large strings without nulls, its offsets counted from 0.
+
+    A cast of a slice keeps the slice's first offset, which some compute functions then
+    read as 0; here the buffers are cut to the slice without a copy of the text.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
     _, offs, data = column.buffers()
-    at = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
-    if data is None or len(column) == 0:
-        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+    at = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    if data is None or not len(at) or at[-1] == at[0]:
+        data, at = pa.py_buffer(b""), at - at[0]
+    else:
+        data, at = data.slice(int(at[0]), int(at[-1] - at[0])), at - at[0]
+    return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(at), data])
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and len + 1 offsets into them; null counts as empty."""
+    column = plain(column)
+    _, offs, data = column.buffers()
+    return np.frombuffer(data, np.uint8), np.frombuffer(offs, np.int64)
 
 
 def doc_sums(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
