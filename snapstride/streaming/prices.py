@@ -12,25 +12,32 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.tables import upsert
 
 
-def upsert_stream(rows: DataFrame, folder: str, keys: list[str], order: list[str], checkpoint: str) -> StreamingQuery:
+def upsert_stream(rows: DataFrame, folder: str, keys: list[str], order: list[str], checkpoint: str) -> tuple[StreamingQuery, list[int]]:
     """Folds each micro-batch into the keyed table below ``folder``, one version a batch.
 
+    Gives the query and the list of versions written so far, which grows as it runs.
+
     A batch reads the version before it and writes its own, so a batch that runs again after
     a failure gives the same version. Processes what is there, then stops.
     """
 
+    versions: list[int] = []
+
     def fold(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = spark.read.parquet(f"{folder}/v{number - 1}") if number else spark.createDataFrame([], batch.schema)
         upsert(before, batch, keys, order).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        versions.append(number)
 
-    return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return query, versions
 
 
-def latest_version(spark: SparkSession, folder: str, query: StreamingQuery) -> DataFrame:
+def latest_version(spark: SparkSession, folder: str, started: tuple[StreamingQuery, list[int]]) -> DataFrame:
+    """The table after the query has ended; ``started`` is what ``upsert_stream`` gave."""
+    query, versions = started
     query.awaitTermination()
-    progress = query.lastProgress
-    return spark.read.parquet(f"{folder}/v{progress['batchId']}")
+    return spark.read.parquet(f"{folder}/v{max(versions)}")
 
 
 def sealed_prices(orders: DataFrame, ticks: DataFrame, tolerance: str = "3 days") -> DataFrame:
