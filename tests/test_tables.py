@@ -46,7 +46,7 @@ def test_two_winners_raise(spark):
 def test_stream_upsert_over_batches_equals_one_upsert(spark):
     src = shared_dir(spark, "src")
     for part in range(3):
-        spark.range(30).select((F.col("id") % 7).alias("k"), (F.col("id") + 100 * part).alias("seq")).write.mode("append").parquet(src)
+        spark.range(30).coalesce(1).select((F.col("id") % 7).alias("k"), (F.col("id") + 100 * part).alias("seq")).write.mode("append").parquet(src)
     rows = prices.replay(spark, src, spark.read.parquet(src).schema)
     folder = shared_dir(spark, "latest")
     done = prices.latest_version(spark, folder, prices.upsert_stream(rows, folder, ["k"], ["seq"], shared_dir(spark, "ck")))
