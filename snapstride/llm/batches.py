@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +23,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: an executor's workers share its limit with the JVM."""
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about ``size`` bytes of text or a single row."""
     for batch in batches:
@@ -34,6 +45,7 @@ def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = S
             j = min(batch.num_rows, max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1))
             yield batch.slice(i, j - i)
             i = j
+        give_back()
 
 
 def partition_id() -> int:

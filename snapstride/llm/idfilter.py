@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from .words import mix
 
-BITS = 24
+BITS = 23
 BLOCK_BITS = 16
 
 
@@ -58,7 +58,7 @@ def passing(rows: DataFrame, id_col: str, packed, passes: bool = True) -> DataFr
     at = rows.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(packed.value).astype(bool)
+        table = np.unpackbits(packed.value).view(bool)
         bits = len(table).bit_length() - 1
         for batch in batches:
             key = batch.column(at)

@@ -18,14 +18,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batches import bounded
+from .idfilter import id_filter, passing
 from .scratch import staged
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-FILTER_BITS = 25
+FILTER_BITS = 24
 BLOCK_BITS = 16
 HASHES = 3
 
@@ -106,7 +108,7 @@ def suspects(docs: DataFrame, twice, bits: int = FILTER_BITS, least_chars: int =
     """(doc_id, digest) of lines whose hash passes the broadcast twice-seen filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(twice.value).astype(bool)
+        table = np.unpackbits(twice.value).view(bool)
         for batch in bounded(batches):
             rows, keys = [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -155,10 +157,13 @@ def line_dedup(
     repeated = found.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keep")).filter(F.col("docs") >= least_docs)
     repeated = staged(repeated.select("digest", "keep"), "repeated")
     drops = found.join(repeated, "digest").filter("doc_id <> keep").groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_list("digest").alias("__drops"))
-    passing = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    whole = docs.select(*[F.col(f"`{c}`") for c in passing], F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id"))
-    joined = whole.join(staged(drops, "drops"), F.col("__id") == F.col("__drop_id"), "left").drop("__id", "__drop_id")
-    out = [f for f in joined.schema.fields if f.name in passing]
+    drops = staged(drops, "drops")
+    passing_on = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    whole = docs.select(*[F.col(f"`{c}`") for c in passing_on], F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id"))
+    # only documents that lose a line (and a few that the filter cannot tell from them) move
+    losing = spark.sparkContext.broadcast(id_filter(drops.select("__drop_id")))
+    joined = passing(whole, "__id", losing).join(drops.hint("merge"), F.col("__id") == F.col("__drop_id"), "left").drop("__id", "__drop_id")
+    kept_fields = [joined.schema[c] for c in passing_on]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "__text"):
@@ -169,12 +174,13 @@ def line_dedup(
                 texts.append(kept)
                 lines.append(text.count("\n") + 1)
                 gone.append(n)
-            arrays = [batch.column(c) for c in passing] + [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*passing, "text", "n_lines", "n_dropped"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*out, T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    cleaned = joined.mapInArrow(clean, schema)
-    order = [c if c != text_col else "text" for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return cleaned.select(*[F.col(f"`{c}`") if c != "text" else F.col("text").alias(text_col) for c in order], "n_lines", "n_dropped")
+            arrays = [batch.column(c) for c in passing_on] + [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*passing_on, "__text", "n_lines", "n_dropped"])
+
+    schema = T.StructType([*kept_fields, T.StructField("__text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    text = F.coalesce("__text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    still = passing(whole, "__id", losing, passes=False).select(*[F.col(f"`{c}`") for c in passing_on], text.alias("__text"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    cleaned = joined.mapInArrow(clean, schema).unionByName(still)
+    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return cleaned.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in order], "n_lines", "n_dropped")

@@ -127,7 +127,7 @@ def shingles(words: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray,
     total = len(words)
     run = np.zeros(total, np.uint64)
     for k in range(n):
-        run[: total - k] += words[k:] * np.uint64((2 * k + 1) * 0xD1342543DE82EF95 % (1 << 64))
+        run[: max(0, total - k)] += words[k:] * np.uint64((2 * k + 1) * 0xD1342543DE82EF95 % (1 << 64))
     out = mix(run)
     have = np.where(counts >= n, counts - n + 1, (counts > 0).astype(counts.dtype))
     offs = np.concatenate([[0], np.cumsum(have)])
