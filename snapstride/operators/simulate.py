@@ -42,6 +42,25 @@ def joint_samples(rows: DataFrame, *, group: list[str], key: str, raw: str, frac
     return rows.groupBy(*group).applyInPandas(run, schema)
 
 
+def bootstrap_wins(rows: DataFrame, *, group: list[str], key: str, raw: str, resamples: int = 200, seed: int = 13) -> DataFrame:
+    """group, key, p_win, lo, hi: 10th and 90th percentile over resamples of the K members."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, key]) + ", p_win double, lo double, hi double"
+
+    def run(race: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(key, kind="stable")
+        scores = np.stack(part[raw].to_numpy()).astype(float)
+        n, k = scores.shape
+        winner = scores.argmax(axis=0)
+        rng = np.random.default_rng(seed_of(seed, *race))
+        drawn = winner[rng.integers(0, k, (resamples, k))]
+        shares = np.stack([np.bincount(d, minlength=n) / k for d in drawn])
+        lo, hi = np.quantile(shares, [0.1, 0.9], axis=0)
+        return part[[*group, key]].assign(p_win=np.bincount(winner, minlength=n) / k, lo=lo, hi=hi)
+
+    return rows.groupBy(*group).applyInPandas(run, schema)
+
+
 def nelder_mead(f, start: np.ndarray, step: float = 0.5, rounds: int = 200, tol: float = 1e-8) -> np.ndarray:
     """Minimum of f by a simplex of reflections, expansions, contractions and shrinks."""
     n = len(start)

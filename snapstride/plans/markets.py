@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import pricing
 from ..operators import asof
+from ..session import table
+from ..sources import landing
 from . import roles
 from .registry import query
 from .roles import with_roles
@@ -321,3 +323,61 @@ def survival_horizon(spark, sf):
     rows = rows.withColumn("w", pricing.survival_weights(30, life))
     mean = F.aggregate(F.transform("w", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return rows.select("candidate", _r(life).alias("half_life"), _r(mean).alias("mean_steps"), _r(F.col("w")[0]).alias("first_weight"))
+
+
+_SWEEP = """pts AS (SELECT user_id, event_type, ts, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS rk FROM events WHERE (user_id + day(ts)) % 5 = 0 AND user_id % 11 <> 0),
+  best AS (SELECT user_id, min(rk) AS rk FROM pts GROUP BY 1), fine AS (SELECT pts.* FROM pts JOIN best USING (user_id, rk))"""
+
+
+def _sweep(spark, sf):
+    """Points of each user by granularity (the event type), some users without any."""
+    kind = F.col("event_type")
+    rank = F.when(kind == "purchase", 1).when(kind == "error", 2).when(kind == "view", 3).otherwise(4)
+    rows = table(spark, sf, "events").filter("(user_id + day(ts)) % 5 = 0 and user_id % 11 <> 0")
+    return landing.finest_history(rows.select("user_id", "event_type", "ts", rank.alias("rk")), "user_id", "rk")
+
+
+@query("history_sweep", with_roles(more=_SWEEP) + "SELECT user_id, event_type, count(*) AS points, CAST(epoch(min(ts)) AS BIGINT) AS first_s FROM fine GROUP BY 1, 2")
+def history_sweep(spark, sf):
+    return _sweep(spark, sf).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("points"), F.unix_seconds(F.min("ts").cast("timestamp")).alias("first_s"))
+
+
+@query(
+    "history_coverage",
+    with_roles(more=_SWEEP) + "SELECT f.event_type, count(DISTINCT t.user_id) AS targets, count(f.user_id) AS points FROM (SELECT DISTINCT user_id FROM events) t LEFT JOIN fine f ON f.user_id = t.user_id GROUP BY 1",
+)
+def history_coverage(spark, sf):
+    return landing.coverage(table(spark, sf, "events"), _sweep(spark, sf), "user_id", "event_type")
+
+
+@query(
+    "qlike_skill",
+    with_roles("daily", more=_COVER + """, q AS (SELECT r.tier, r.vol, greatest(0.05, r.reach / sqrt(r.h)) AS real FROM ratio r),
+  l AS (SELECT tier, power(real / vol, 2) - ln(power(real / vol, 2)) - 1 AS model, power(real / 0.3, 2) - ln(power(real / 0.3, 2)) - 1 AS naive, real, vol FROM q)""")
+    + """SELECT tier, count(*) AS n, round(avg(model), 6) AS qlike, round(1 - avg(model) / nullif(avg(naive), 0), 6) AS skill,
+  round(avg((real <= 0.6745 * vol)::INT), 6) AS cover50, round(avg((real <= 1.96 * vol)::INT), 6) AS cover95 FROM l GROUP BY tier""",
+)
+def qlike_skill(spark, sf):
+    rows = _coverage(spark, sf).withColumn("real", F.greatest(F.lit(0.05), F.col("reach") / F.sqrt("h")))
+
+    def qlike(scale):
+        x = F.pow(F.col("real") / scale, F.lit(2))
+        return x - F.ln(x) - 1
+
+    rows = rows.withColumn("model", qlike(F.col("vol"))).withColumn("naive", qlike(F.lit(0.3)))
+    inside = [_r(F.avg((F.col("real") <= z * F.col("vol")).cast("int"))).alias(n) for z, n in ((0.6745, "cover50"), (1.96, "cover95"))]
+    return rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), _r(F.avg("model")).alias("qlike"), _r(1 - F.avg("model") / F.nullif(F.avg("naive"), F.lit(0.0))).alias("skill"), *inside)
+
+
+@query(
+    "target_union_held",
+    with_roles("ticks", more="""t AS (SELECT candidate, round(avg(price) * 100, 6) AS target FROM ticks WHERE event_type = 'purchase' AND candidate % 3 <> 0 GROUP BY 1),
+  h AS (SELECT candidate, CAST(count(*) AS BIGINT) AS shares FROM ticks WHERE event_type = 'error' AND candidate % 4 <> 0 GROUP BY 1)""")
+    + "SELECT coalesce(t.candidate, h.candidate) AS candidate, coalesce(target, 0) AS target, coalesce(shares, 0) AS held, coalesce(target, 0) - coalesce(shares, 0) AS trade FROM t FULL JOIN h ON t.candidate = h.candidate",
+)
+def target_union_held(spark, sf):
+    rows = roles.ticks(spark, sf)
+    targets = rows.filter("event_type = 'purchase' and candidate % 3 <> 0").groupBy("candidate").agg(_r(F.avg("price") * 100).alias("target"))
+    held = rows.filter("event_type = 'error' and candidate % 4 <> 0").groupBy("candidate").agg(F.count(F.lit(1)).alias("held"))
+    both = targets.join(held, "candidate", "full_outer").select("candidate", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("held", F.lit(0)).alias("held"))
+    return both.withColumn("trade", F.col("target") - F.col("held"))

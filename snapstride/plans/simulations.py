@@ -47,6 +47,13 @@ def joint_samples(spark, sf):
     return simulate.joint_samples(rows, group=["grp"], key="candidate", raw="raw", frac="frac", draws=50)
 
 
+@query("bootstrap_win_ci")
+def bootstrap_win_ci(spark, sf):
+    """Interval of each candidate's win share over resampled ensemble members."""
+    ship(spark)
+    return simulate.bootstrap_wins(roles.scores(spark, sf), group=["grp"], key="candidate", raw="raw")
+
+
 @query("garch_vol")
 def garch_vol(spark, sf):
     ship(spark)

@@ -78,3 +78,21 @@ def test_streak_state(spark):
     rows.coalesce(1).write.parquet(path)
     got = _drain(spark, prices.reversal_streaks(prices.replay(spark, path, rows.schema)), "streaks")
     assert [r.held for r in sorted(got, key=lambda r: r.snapshot)] == [1, 1, 1, 1, -1, -1]
+
+
+def test_landed_and_paged_sources(spark, tmp_path):
+    from snapstride.sources import landing
+
+    folder = tmp_path / "logs" / "season=2023"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text('{"id": 1, "pts": 2.5}\n{broken\n{"id": 2}\n')
+    rows = landing.endpoint(spark, f"file://{tmp_path}", "logs", "id long, pts double").collect()
+    assert sorted((r.id, r.pts, r.season) for r in rows) == [(1, 2.5, 2023), (2, None, 2023)]
+
+    def fetch(closed, offset, limit):
+        every = list(range(250 if closed else 100))
+        return [(i, closed) for i in every[offset : offset + limit]]
+
+    spark.dataSource.register(landing.paged_source("paged_test", "id long, closed boolean", fetch, lanes=3))
+    assert spark.read.format("paged_test").load().groupBy("closed").count().orderBy("closed").collect() == [(False, 100), (True, 250)]
+    assert spark.read.format("paged_test").option("closed", "true").load().count() == 250
