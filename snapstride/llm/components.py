@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scratch import staged
@@ -11,19 +11,19 @@ from .scratch import staged
 def connected(links: DataFrame) -> DataFrame:
     """(a, b) links -> (id, label) for every id of a link; label is the component's least id.
 
-    Each round an id takes the least label among its neighbours' and its own, then the label
-    of its label, so a path of n links takes about log n rounds. Rounds are written to the
-    shared folder; partial minima are taken before each shuffle, so a hub is no hot key.
+    Each round an id takes the least of its own label, its neighbours' and its label's label,
+    so a path of n links takes about log n rounds. A round is one job, written to the shared
+    folder; partial minima are taken before each shuffle, so a hub is no hot key.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = staged(both, "edges")
-    labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "labels")
+    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["id"] == near["a"], "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        step = staged(step, "labels")
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        moved = staged(step.join(jump, "label", "left").select("id", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = moved.select("id", "label")
-        if moved.filter("label <> was").limit(1).count() == 0:
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        step = labels.join(near, "id").join(jump, "label").select("id", F.col("label").alias("was"), F.least("label", "near", "next").alias("label"))
+        seen = Observation()
+        step = step.observe(seen, F.count_if(F.col("label") != F.col("was")).alias("moved"))
+        labels = staged(step.select("id", "label"), "labels")
+        if not seen.get["moved"]:
             return labels

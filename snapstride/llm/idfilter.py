@@ -45,7 +45,7 @@ def id_filter(ids: DataFrame, bits: int = BITS) -> np.ndarray:
 
     schema = "block int, places binary"
     whole, size = np.zeros((1 << bits) // 8, np.uint8), (1 << BLOCK_BITS) // 8
-    for k, raw in ids.mapInArrow(fill, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
+    for k, raw in ids.mapInArrow(fill, schema).repartition("block").mapInArrow(add, schema).collect():
         whole[k * size : (k + 1) * size] = np.frombuffer(raw, np.uint8)
     return whole
 

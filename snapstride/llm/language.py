@@ -88,7 +88,7 @@ def ngram_counts(docs: DataFrame, languages: list[str], bits: int = TABLE_BITS,
 
     table = np.zeros(shape, np.int64).reshape(-1, min(block, 1 << bits))
     schema = "block int, counts binary"
-    for k, raw in docs.select("lang", "text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).toLocalIterator():
+    for k, raw in docs.select("lang", "text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
         table[k] = np.frombuffer(raw, "<i8")
     return table.reshape(shape)
 

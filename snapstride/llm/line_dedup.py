@@ -99,7 +99,7 @@ def repeated_lines(docs: DataFrame, bits: int = FILTER_BITS, least_chars: int =
     parts = docs.select("text").mapInArrow(fill, "block int, once binary, twice binary")
     whole = np.zeros((1 << bits) // 8, np.uint8)
     size = (1 << BLOCK_BITS) // 8
-    for k, raw in parts.repartition("block").mapInArrow(_add_blocks, "block int, bits binary").toLocalIterator():
+    for k, raw in parts.repartition("block").mapInArrow(_add_blocks, "block int, bits binary").collect():
         whole[k * size : (k + 1) * size] = np.frombuffer(raw, np.uint8)
     return whole
 

@@ -8,9 +8,9 @@ weighted shingles are grouped into bands; documents that agree on a band are can
 and each candidate pair is verified by the weighted Jaccard similarity of its whole texts.
 
 Documents with the same shingles and counts are one from the start, so copies cost nothing.
-Small buckets give all their pairs; in large ones every member meets the first and the last
-member, and members that this leaves in other classes than their bucket's first meet again
-in random blocks, round by round (see ``near_classes``). Nothing is ever dropped.
+Small buckets give all their pairs; in large ones every member meets the first, and members
+that this leaves in other classes than their bucket's first meet again in random blocks,
+round by round (see ``near_classes``). Nothing is ever dropped.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .batches import bounded
 from .components import connected
+from .idfilter import id_filter, passing
 from .scratch import staged
-from .words import LOWER, doc_sums, find_words, mix, shingles, slices, text_bytes
+from .words import LOWER, find_words, mix, plain, shingles, slices, text_bytes
 
 N = 5
 SIMILARITY = 0.8
@@ -91,7 +92,7 @@ def frequency_sketch(docs: DataFrame, bits: int = SKETCH_BITS, n: int = N) -> tu
     schema = "block int, counts binary"
     sums = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
     table, total = np.zeros(1 << bits, np.int64), 0
-    for k, raw in sums.toLocalIterator():
+    for k, raw in sums.collect():
         if k < 0:
             total = int(np.frombuffer(raw, "<i8")[0])
         else:
@@ -200,7 +201,7 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, similarity: float = SIMI
 
         def vectors(column: pa.Array) -> list[tuple]:
             # the texts of one leader come in runs; each distinct text is read once
-            coded = column.cast(pa.large_string()).dictionary_encode()
+            coded = plain(column).dictionary_encode()
             out = []
             for _, keys, counts, bounds in doc_shingles(coded.dictionary, n):
                 w = table[(keys & low).astype(np.int64)] * counts.astype(np.float32)
@@ -213,19 +214,20 @@ def verify(pairs: DataFrame, texts: DataFrame, weights, similarity: float = SIMI
                 good = pa.array(np.array(score) >= similarity)
                 yield pa.RecordBatch.from_arrays([some.column("a").filter(good), some.column("b").filter(good)], names=["a", "b"])
 
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    # texts are not of bounded size, so they are never broadcast
+    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
-    """First candidate pairs from (key, id, n, first, last), n members to the key."""
+    """First candidate pairs from (key, id, n, first), n members to the key."""
     small = members.filter(F.col("n") <= SMALL).select("key", "id")
     within = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
     within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     large = members.filter(F.col("n") > SMALL)
-    stars = [large.select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b")).filter("a < b") for hub in ("first", "last")]
-    return within.unionByName(stars[0]).unionByName(stars[1]).distinct()
+    stars = large.select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a < b")
+    return within.unionByName(stars).distinct()
 
 
 def _block_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -261,7 +263,7 @@ def near_classes(
     sketch_bits: int = SKETCH_BITS,
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """doc_id, class_id, class_size for each row of ``docs``.
+    """doc_id, class_id for each row of ``docs``.
 
     A class is a connected component of the verified links; class_id is its least doc_id.
     Weights are term frequency times (1 + idf / highest idf). A link is missed only if no
@@ -280,10 +282,12 @@ def near_classes(
     heads = signed.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.max("bands").alias("bands"))
     heads = staged(heads.filter("id is not null"), "heads")
     banded = heads.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last")).filter("n > 1")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
     members = staged(banded.join(staged(buckets, "buckets"), "key"), "members")
 
     links, labels, tried = None, None, None
+    if members.filter(F.col("n") > SMALL).isEmpty():
+        rounds = 1
     for turn in range(rounds):
         pairs = _star_pairs(members) if turn == 0 else _block_pairs(members, labels, turn)
         pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -291,7 +295,8 @@ def near_classes(
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = staged(rows_in.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+        some = passing(rows_in, "doc_id", spark.sparkContext.broadcast(id_filter(wanted)))
+        texts = staged(some.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
         found = staged(verify(pairs, texts, weights, similarity, n), "links")
         if turn and found.isEmpty():
             continue
@@ -299,8 +304,4 @@ def near_classes(
         labels = connected(links)
     classes = heads.select("sig", "id").join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("class"))
     classes = staged(classes, "classes")
-    named = signed.select("doc_id", "sig").join(classes, "sig", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
-    named = staged(named, "named")
-    sizes = staged(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).filter("class_size > 1"), "sizes")
-    return named.join(sizes, "class_id", "left").select("doc_id", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-
+    return signed.select("doc_id", "sig").join(classes, "sig", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))

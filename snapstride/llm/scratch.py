@@ -1,33 +1,16 @@
 """Intermediate tables in the folder that driver and executors share.
 
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, so a lost
-executor costs a re-read, never a recomputation of earlier stages. Only where the
-setting is absent and the master is local (tests) is a folder of our own made.
+Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, so a lost executor costs a
+re-read, never a recomputation of earlier stages.
 """
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import shared_dir
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path for one intermediate result."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="snapstride-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        root = f"file://{_own[0]}"
-    return f"{root.rstrip('/')}/snapstride/{name}-{uuid.uuid4().hex}"
+__all__ = ["shared_dir", "staged"]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -139,7 +139,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     keys = marked.filter(size >= least_bytes).select("page_id", "digest")
     copies = keys.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1 and keeper is not null")
     copies = staged(copies.select("digest", "keeper"), "copies")
-    joined = marked.join(copies, "digest", "left").select("page_id", "url", "html", F.when((size >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    joined = marked.join(copies.hint("merge"), "digest", "left").select("page_id", "url", "html", F.when((size >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, place, n = None, "", 0, 0
