@@ -337,7 +337,7 @@ def _sweep(spark, sf):
     return landing.finest_history(rows.select("user_id", "event_type", "ts", rank.alias("rk")), "user_id", "rk")
 
 
-@query("history_sweep", with_roles(more=_SWEEP) + "SELECT user_id, event_type, count(*) AS points, CAST(epoch(min(ts)) AS BIGINT) AS first_s FROM fine GROUP BY 1, 2")
+@query("history_sweep", with_roles(more=_SWEEP) + "SELECT user_id, event_type, count(*) AS points, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s FROM fine GROUP BY 1, 2")
 def history_sweep(spark, sf):
     return _sweep(spark, sf).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("points"), F.unix_seconds(F.min("ts").cast("timestamp")).alias("first_s"))
 
