@@ -17,9 +17,12 @@ from .scratch import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A chunk has 512 to 4096 code points and ends after a vowel and a blank that precede
-#: one of b to m; without such a place it ends at 4096, or with the text.
-CHUNK = r"(?s).{512,4096}?(?<=[aeiou][ \n])(?=[b-m])|.{1,4096}"
+#: About half of the characters of usual text, in lower case; more scripts by half ranges.
+HALF = r"[ \n,aeilnsduw13579\u00e0-\u00ef\u0430-\u043f\u4e00-\u6fff]"
+
+#: A chunk has 256 to 4096 code points and ends between four characters of HALF and four
+#: more, about one place in two hundred; without such a place it ends at 4096, or with the text.
+CHUNK = rf"(?s).{{256,4096}}?(?<={HALF}{{4}})(?={HALF}{{4}})|.{{1,4096}}"
 
 #: Tried in this order until one is proven free of collisions on the given chunks.
 IDENTIFIERS: tuple[Callable[[Column], Column], ...] = (
