@@ -6,6 +6,7 @@ its own rows only, and its randomness is seeded from its key.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
@@ -165,3 +166,49 @@ def ensemble_scores(rows: DataFrame, *, keys: list[str], season: str, group: lis
         return test[keys].assign(fold=fold, k=k, score=score)
 
     return drawn.groupBy("fold", "k").applyInPandas(fit, schema)
+
+
+MODEL = "fold int, k int, features array<string>, mean array<double>, sd array<double>, weights array<double>, digest string"
+
+
+def feature_digest(features: list[str]) -> str:
+    """Names the order of the features a model was fitted on."""
+    return hashlib.sha256(",".join(features).encode()).hexdigest()[:16]
+
+
+def fit_models(rows: DataFrame, *, season: str, group: list[str], features: list[str], label: str, replicates: int = 8, least: int = 3, seed: int = 5, sealed: int | None = None) -> DataFrame:
+    """The linear ensembles as a table: one row a (fold, k), fitted on the seasons before the fold.
+
+    ``sealed`` refuses folds that would train on that season or a later one.
+    """
+    train = walk_forward(rows.select(*dict.fromkeys([season, *group, *features, label])), season, least).filter("not test")
+    if sealed is not None:
+        train = train.filter(F.col("fold") <= sealed)
+    drawn = train.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        fold, k = int(key[0]), int(key[1])
+        part = part.sort_values([*group, *features, label], kind="stable").reset_index(drop=True)
+        x = part[features].fillna(0).to_numpy(float)
+        mean, sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+        codes = part.groupby(group, sort=True).ngroup().to_numpy()
+        picked, again = bootstrap_groups(codes, np.random.default_rng(seed_of(seed, fold, k)))
+        w = fit_linear(((x - mean) / sd)[picked], again, part[label].to_numpy(float)[picked])
+        return pd.DataFrame({"fold": [fold], "k": [k], "features": [features], "mean": [mean], "sd": [sd], "weights": [w], "digest": [feature_digest(features)]})
+
+    return drawn.groupBy("fold", "k").applyInPandas(fit, MODEL)
+
+
+def score_with(rows: DataFrame, models: DataFrame, *, season: str, features: list[str], keys: list[str]) -> DataFrame:
+    """keys, fold, k, score of the rows of each fold's season, in column expressions.
+
+    The model table has a row for each fold and replicate, so it is broadcast. A model whose
+    feature digest is another raises.
+    """
+    same = F.col("digest") == feature_digest(features)
+    models = models.withColumn("fold", F.when(same, F.col("fold")).otherwise(F.raise_error(F.lit("the models have other features")).cast("int")))
+    x = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in features])
+    joined = rows.select(*keys, F.col(season).alias("__s"), x.alias("__x")).join(F.broadcast(models), F.col("__s") == F.col("fold"))
+    z = F.zip_with(F.zip_with("__x", "mean", lambda a, m: a - m), "sd", lambda a, s: a / s)
+    score = F.aggregate(F.zip_with(z, "weights", lambda a, w: a * w), F.lit(0.0), lambda a, b: a + b)
+    return joined.select(*keys, "fold", "k", score.alias("score"))

@@ -381,3 +381,18 @@ def target_union_held(spark, sf):
     held = rows.filter("event_type = 'error' and candidate % 4 <> 0").groupBy("candidate").agg(F.count(F.lit(1)).alias("held"))
     both = targets.join(held, "candidate", "full_outer").select("candidate", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("held", F.lit(0)).alias("held"))
     return both.withColumn("trade", F.col("target") - F.col("held"))
+
+
+@query(
+    "held_out_coverage",
+    with_roles("daily", more=_COVER + """, f AS (SELECT r, candidate % 5 AS fold FROM ratio),
+  q AS (SELECT h.fold, quantile_cont(f.r, 0.8) AS q80, count(*) AS n FROM (SELECT DISTINCT fold FROM f) h JOIN f ON f.fold <> h.fold GROUP BY 1)""")
+    + "SELECT q.fold, q.n AS train_rows, round(q80, 6) AS q80, count(f.r) AS rows, round(avg((f.r <= q80)::INT), 6) AS covered FROM q JOIN f ON f.fold = q.fold GROUP BY 1, 2, 3",
+)
+def held_out_coverage(spark, sf):
+    """Leave one fold of series out: the others' 80% quantile, and how much of the fold it covers."""
+    rows = _coverage(spark, sf).select("r", (F.col("candidate") % 5).alias("fold"))
+    others = rows.select("r", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))).alias("out"))
+    fitted = others.groupBy(F.col("out").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("train_rows"), F.percentile("r", F.lit(0.8)).alias("q"))
+    tested = rows.join(F.broadcast(fitted), "fold")  # one row a fold
+    return tested.groupBy("fold", "train_rows", _r("q").alias("q80")).agg(F.count(F.lit(1)).alias("rows"), _r(F.avg((F.col("r") <= F.col("q")).cast("int"))).alias("covered"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import model, relative, simulate
-from ..session import ship
+from ..session import shared_dir, ship
 from . import ensembles, markets, roles
 from .registry import query
 
@@ -80,3 +81,24 @@ def kelly_backtest(spark, sf):
     rows = rows.withColumn("prob", F.col("vs") / F.sum("vs").over(Window.partitionBy("book", "day"))).withColumn("snapshot", F.date_trunc("week", "day"))
     winner = F.col("candidate") == F.min("candidate").over(Window.partitionBy("book"))
     return simulate.backtest(rows.withColumn("won", winner.cast("int")), book="book", day="day", name="candidate", price="price", prob="prob", snapshot="snapshot", won="won")
+
+
+@query("score_from_models", dates=("snapshot_date",))
+def score_from_models(spark, sf):
+    """A model table fitted and written, then rows scored from it: mean, spread and share."""
+    ship(spark)
+    rows, features = _design(spark, sf), ["z_pts", "z_mpg", "z_gp"]
+    path = shared_dir(spark, "models")
+    model.fit_models(rows, season="season", group=SNAP, features=features, label="label", replicates=4).write.parquet(path)
+    scored = model.score_with(rows, spark.read.schema(model.MODEL).parquet(path), season="season", features=features, keys=["player_id", *SNAP])
+    sums = scored.groupBy("player_id", *SNAP).agg(F.avg("score").alias("mu"), F.stddev_pop("score").alias("sigma"))
+    return sums.withColumn("share", relative.softmax(F.col("mu"), SNAP))
+
+
+@query("glm_fit")
+def glm_fit(spark, sf):
+    """Weights of log reach on (1, x, x squared, log vol): Spark sums, a 4 x 4 ridge solve here."""
+    s = markets.glm_normal_equations(spark, sf).first()
+    a = np.array([[s.n, s.xb, s.bb, s.xd], [s.xb, s.bb, s.bc, s.bd], [s.bb, s.bc, s.cc, s.cd], [s.xd, s.bd, s.cd, s.dd]], float)
+    w = np.linalg.solve(a + 1e-3 * np.eye(4), np.array([s.xy, s.byy, s.cy, s.dy]))
+    return spark.createDataFrame([(n, float(x)) for n, x in zip(("one", "logit", "logit2", "log_vol"), w, strict=True)], "term string, weight double")

@@ -167,3 +167,17 @@ def test_simulations_repeat(spark):
     run = catalog.queries()["joint_samples"]
     a, b = (sorted(map(tuple, run(spark, "/root/testdata/sf0.001").collect())) for _ in range(2))
     assert a == b
+
+
+def test_models_as_a_table(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, g, i, float(x), float(np.exp(2 * x))) for s in range(2000, 2005) for g in range(4) for i, x in enumerate(rng.normal(size=6))]
+    df = spark.createDataFrame(rows, "season int, g int, i int, x double, y double")
+    df = df.withColumn("y", F.expr("y / sum(y) over (partition by season, g)"))
+    models = model.fit_models(df, season="season", group=["season", "g"], features=["x"], label="y", replicates=2).cache()
+    assert {(r.fold, r.k) for r in models.collect()} == {(f, k) for f in (2003, 2004) for k in (0, 1)}
+    scored = model.score_with(df, models, season="season", features=["x"], keys=["season", "g", "i", "x"])
+    assert scored.count() == 2 * 2 * 24 and scored.select(F.corr("x", "score")).first()[0] > 0.9
+    assert model.fit_models(df, season="season", group=["season", "g"], features=["x"], label="y", replicates=2, sealed=2003).count() == 2
+    with pytest.raises(Exception, match="other features"):
+        model.score_with(df.withColumn("z", F.col("x")), models, season="season", features=["z"], keys=["i"]).collect()
