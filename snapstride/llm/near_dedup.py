@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import bounded
@@ -147,10 +147,6 @@ class Sampler:
         return out
 
 
-def _signature_schema() -> str:
-    return "doc_id long, sig binary, bands array<long>"
-
-
 def signatures(docs: DataFrame, weights, bands: int = BANDS, rows: int = ROWS, n: int = N) -> DataFrame:
     """doc_id, sig (equal for equal shingles and counts), bands; both null without a word."""
 
@@ -179,7 +175,7 @@ def signatures(docs: DataFrame, weights, bands: int = BANDS, rows: int = ROWS, n
                     [ids.slice(first, len(bounds) - 1), pa.array(sig, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "sig", "bands"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _signature_schema())
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig binary, bands array<long>")
 
 
 def weighted_jaccard(a: tuple, b: tuple) -> float:
