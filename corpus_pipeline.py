@@ -19,7 +19,7 @@ from snapstride.llm.near_dedup import near_classes
 from snapstride.llm.packing import pack
 from snapstride.llm.quality import keep_good
 from snapstride.llm.queries import prepared
-from snapstride.llm.scratch import staged
+from snapstride.llm.scratch import free_name, staged
 
 #: No SQL: the forest's verdict, the near-duplicate classes and the packing are not
 #: expressible; tests hold each stage against a brute-force version.
@@ -52,9 +52,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
     prepared(spark)
-    plan = plan_mix(docs).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    taken = docs.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    repeated = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    key, n, copy = (free_name(docs, x) for x in ("mix_id", "mix_copies", "mix_copy"))
+    plan = plan_mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).filter(F.col(n) > 0)
+    taken = docs.join(plan.hint("merge"), docs["doc_id"].eqNullSafe(plan[key]))
+    repeated = taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

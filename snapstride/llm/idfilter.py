@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .scratch import free_name
 from .words import mix
 
 BITS = 23
@@ -77,9 +78,11 @@ def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """
     spark = rows.sparkSession
     name = ids.columns[0]
-    as_long = rows.withColumn("__key", rows[id_col].cast("long"))
+    key = free_name(rows, "filter_key")
+    gone = free_name(rows, "filter_gone")
+    as_long = rows.withColumn(key, rows[id_col].cast("long"))
     packed = spark.sparkContext.broadcast(id_filter(ids.select(ids[name].cast("long"))))
-    exact = ids.select(ids[name].cast("long").alias("__gone"))
-    doubtful = passing(as_long, "__key", packed)
-    doubtful = doubtful.join(exact.hint("merge"), doubtful["__key"] == exact["__gone"], "left_anti")
-    return passing(as_long, "__key", packed, passes=False).unionByName(doubtful).drop("__key")
+    exact = ids.select(ids[name].cast("long").alias(gone))
+    doubtful = passing(as_long, key, packed)
+    doubtful = doubtful.join(exact.hint("merge"), doubtful[key] == exact[gone], "left_anti")
+    return passing(as_long, key, packed, passes=False).unionByName(doubtful).drop(key)

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .batches import bounded
 from .idfilter import id_filter, passing
-from .scratch import staged
+from .scratch import free_name, staged
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_CHARS = 40
@@ -156,31 +156,32 @@ def line_dedup(
     found = staged(suspects(rows, twice, filter_bits, least_chars).distinct(), "suspects")
     repeated = found.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keep")).filter(F.col("docs") >= least_docs)
     repeated = staged(repeated.select("digest", "keep"), "repeated")
-    drops = found.join(repeated, "digest").filter("doc_id <> keep").groupBy(F.col("doc_id").alias("__drop_id")).agg(F.collect_list("digest").alias("__drops"))
+    text_c, id_c, drop_id, drops_c = (free_name(docs, x) for x in ("line_text", "line_id", "line_drop_id", "line_drops"))
+    drops = found.join(repeated, "digest").filter("doc_id <> keep").groupBy(F.col("doc_id").alias(drop_id)).agg(F.collect_list("digest").alias(drops_c))
     drops = staged(drops, "drops")
     passing_on = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    whole = docs.select(*[F.col(f"`{c}`") for c in passing_on], F.col(text_col).alias("__text"), F.col(id_col).cast("long").alias("__id"))
+    whole = docs.select(*[F.col(f"`{c}`") for c in passing_on], F.col(text_col).alias(text_c), F.col(id_col).cast("long").alias(id_c))
     # only documents that lose a line (and a few that the filter cannot tell from them) move
-    losing = spark.sparkContext.broadcast(id_filter(drops.select("__drop_id")))
-    joined = passing(whole, "__id", losing).join(drops.hint("merge"), F.col("__id") == F.col("__drop_id"), "left").drop("__id", "__drop_id")
+    losing = spark.sparkContext.broadcast(id_filter(drops.select(drop_id)))
+    joined = passing(whole, id_c, losing).join(drops.hint("merge"), F.col(id_c) == F.col(drop_id), "left").drop(id_c, drop_id)
     kept_fields = [joined.schema[c] for c in passing_on]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "__text"):
+        for batch in bounded(batches, text_c):
             texts, lines, gone = [], [], []
-            for text, digests in zip(batch.column("__text").to_pylist(), batch.column("__drops").to_pylist(), strict=True):
+            for text, digests in zip(batch.column(text_c).to_pylist(), batch.column(drops_c).to_pylist(), strict=True):
                 text = text or ""
                 kept, n = drop_lines(text, set(digests), least_chars) if digests else (text, 0)
                 texts.append(kept)
                 lines.append(text.count("\n") + 1)
                 gone.append(n)
             arrays = [batch.column(c) for c in passing_on] + [pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(gone, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*passing_on, "__text", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*passing_on, text_c, "n_lines", "n_dropped"])
 
-    schema = T.StructType([*kept_fields, T.StructField("__text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    text = F.coalesce("__text", F.lit(""))
+    schema = T.StructType([*kept_fields, T.StructField(text_c, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    text = F.coalesce(text_c, F.lit(""))
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    still = passing(whole, "__id", losing, passes=False).select(*[F.col(f"`{c}`") for c in passing_on], text.alias("__text"), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    still = passing(whole, id_c, losing, passes=False).select(*[F.col(f"`{c}`") for c in passing_on], text.alias(text_c), lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
     cleaned = joined.mapInArrow(clean, schema).unionByName(still)
     order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return cleaned.select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in order], "n_lines", "n_dropped")
+    return cleaned.select(*[F.col(text_c).alias(c) if c == text_col else F.col(f"`{c}`") for c in order], "n_lines", "n_dropped")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..session import shared_dir
 
-__all__ = ["shared_dir", "staged"]
+__all__ = ["free_name", "shared_dir", "staged"]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -19,3 +19,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
