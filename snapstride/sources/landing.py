@@ -65,7 +65,7 @@ def paged_source(name: str, schema: str, fetch: Callable[[bool, int, int], list[
         def schema(self) -> str:
             return schema
 
-        def reader(self, _schema) -> DataSourceReader:
+        def reader(self, schema) -> DataSourceReader:
             wanted = self.options.get("closed")
             states = (False, True) if wanted is None else (wanted.lower() == "true",)
             return PagedReader(fetch, size, lanes, states)
