@@ -279,7 +279,8 @@ def near_classes(
     heads = staged(heads.filter("id is not null"), "heads")
     banded = heads.select("id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
-    members = staged(banded.join(staged(buckets, "buckets"), "key"), "members")
+    # never broadcast: a hot bucket's rows are then split, and the buckets are of no bounded size
+    members = staged(banded.join(staged(buckets, "buckets").hint("merge"), "key"), "members")
 
     links, labels, tried = None, None, None
     if members.filter(F.col("n") > SMALL).isEmpty():
