@@ -9,8 +9,9 @@ and each candidate pair is verified by the weighted Jaccard similarity of its wh
 
 Documents with the same shingles and counts are one from the start, so copies cost nothing.
 Small buckets give all their pairs; in large ones every member meets the first, and members
-that this leaves in other classes than their bucket's first meet again in random blocks,
-round by round (see ``near_classes``). Nothing is ever dropped.
+that this leaves in other classes than their bucket's first meet again in random blocks. What
+is then still of different classes in one large bucket is compared in full, block by block
+(``_rest_links``), so every pair that agrees on a band is compared or already in one class.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ SKETCH_BLOCK = 1 << 12
 #: Buckets up to this size give all their pairs.
 SMALL = 8
 ROUNDS = 3
+#: Members and characters of a block in the full comparison of large buckets.
+BLOCK = 256
+BLOCK_CHARS = 4 << 20
 _SLICE_WORDS = 200_000
 
 
@@ -247,6 +251,102 @@ def _block_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, label, inner) of large buckets with more than one class; inner: in its largest."""
+    large = members.filter(F.col("n") > SMALL).select("key", "id")
+    named = large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    hubs = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("hub"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    return named.join(hubs.hint("merge"), "key").select("key", "id", "label", (F.col("label") == F.col("hub")).alias("inner"))
+
+
+def _rest_links(rest: DataFrame, heads: DataFrame, texts: DataFrame, weights, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
+    """Links (a, b) that join the classes of each bucket of ``rest``, from all its cross-class pairs.
+
+    A bucket is dealt into blocks of bounded size, those of its largest class apart; each two
+    blocks that can hold a cross-class pair meet in one group, so that texts move by block and
+    not by pair. A pair is compared in the bucket of its first common band only. Of the links
+    of a group only those that join two classes are returned.
+    """
+    sized = rest.join(texts.select(F.col("doc_id").alias("id"), F.length("text").alias("chars")), "id")
+
+    def blocks(inner: bool):
+        of = F.when(F.col("inner") == inner, 1)
+        return F.ceil(F.greatest(F.count(of) / BLOCK, F.sum(of * F.col("chars").cast("long")) / BLOCK_CHARS)).cast("int")
+
+    counts = sized.groupBy("key").agg(F.greatest(blocks(False), F.lit(1)).alias("others"), F.greatest(blocks(True), F.lit(1)).alias("inners"))
+    placed = rest.join(counts.hint("merge"), "key")
+    spot = F.xxhash64("id", "key")
+    block = F.when(F.col("inner"), F.col("others") + F.pmod(spot, F.col("inners"))).otherwise(F.pmod(spot, F.col("others"))).cast("int")
+    last = F.when(F.col("inner"), F.col("others")).otherwise(F.col("others") + F.col("inners")) - 1
+    placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    placed = placed.select("key", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    placed = placed.join(heads.select("id", "bands").hint("merge"), "id").join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id")
+
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        return pa.table(_joining(table.sort_by([("block", "ascending"), ("id", "ascending")]), group[0].as_py(), weights.value, similarity, n))
+
+    return placed.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0.0], np.cumsum(values)])[bounds])
+
+
+def _joining(rows: pa.Table, key: int, table: np.ndarray, similarity: float, n: int) -> dict:
+    """Verified links between classes of the one or two blocks in ``rows``, sorted by block."""
+    ids, block = (rows.column(c).to_numpy() for c in ("id", "block"))
+    _, kind = np.unique(rows.column("label").to_numpy(), return_inverse=True)
+    bands = np.array(rows.column("bands").to_pylist(), np.int64)
+    bands = bands[:, : int(np.flatnonzero(bands[0] == key)[0])]
+    low = np.uint64(len(table) - 1)
+    vectors = []
+    if len(np.unique(kind)) > 1:
+        for _, keys, counts, bounds in doc_shingles(plain(rows.column("text")), n):
+            w = table[(keys & low).astype(np.int64)] * counts.astype(np.float32)
+            vectors += [(keys[s:e], w[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    out: dict = {"a": [], "b": []}
+    if vectors:
+        first = int(np.searchsorted(block, block[0], "right"))
+        begin = first if first < len(ids) else 0  # the rows to compare with: the second block, or the only one
+        _, at = np.unique(np.concatenate([v[0] for v in vectors]), return_inverse=True)
+        weight = np.concatenate([v[1] for v in vectors]).astype(float)
+        bounds = np.cumsum([0, *(len(v[0]) for v in vectors)])
+        whole = _sums(weight, bounds)
+        seen = np.zeros(at.max() + 1)
+        for i in range(first):
+            least = max(begin, i + 1)
+            there = slice(least, None)
+            wanted = (kind[there] != kind[i]) & ~(bands[there] == bands[i]).any(axis=1)
+            wanted &= np.minimum(whole[there], whole[i]) >= (similarity - 1e-6) * np.maximum(whole[there], whole[i])
+            if not wanted.any():
+                continue
+            mine = slice(bounds[i], bounds[i + 1])
+            seen[at[mine]] = weight[mine]
+            shared = _sums(np.minimum(seen[at[bounds[least] :]], weight[bounds[least] :]), bounds[least:] - bounds[least])
+            seen[at[mine]] = 0
+            near = wanted & (shared >= (similarity - 1e-6) * (whole[there] + whole[i] - shared))
+            for j in (np.flatnonzero(near) + least).tolist():
+                if kind[j] != kind[i] and weighted_jaccard(vectors[i], vectors[j]) >= similarity:
+                    kind[kind == kind[j]] = kind[i]
+                    out["a"].append(min(ids[i], ids[j]))
+                    out["b"].append(max(ids[i], ids[j]))
+    return {c: pa.array(v, pa.int64()) for c, v in out.items()}
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) after more links (a, b); only the classes that these join are gone over again."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end, "left")
+    joins = links.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).filter("a <> b").distinct()
+    joins = staged(joins, "joins")
+    if joins.isEmpty():
+        return labels
+    moved = connected(joins)
+    old = labels.join(moved.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return staged(old.unionByName(moved.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
 def near_classes(
     docs: DataFrame,
     *,
@@ -262,7 +362,8 @@ def near_classes(
     """doc_id, class_id for each row of ``docs``.
 
     A class is a connected component of the verified links; class_id is its least doc_id.
-    Weights are term frequency times (1 + idf / highest idf). A link is missed only if no
+    Weights are term frequency times (1 + idf / highest idf). All pairs that agree on a band are
+    compared, in buckets of any size, unless already of one class. A link is missed only if no
     band agrees: with 14 bands of 4 that is 6 in 10,000 pairs at similarity 0.8 and none to
     speak of from 0.85. Defined cases: a document without a word (null, empty, blanks) is a
     class of its own; one of fewer than ``n`` words is one shingle; rows that repeat a doc_id
@@ -282,8 +383,13 @@ def near_classes(
     # never broadcast: a hot bucket's rows are then split, and the buckets are of no bounded size
     members = staged(banded.join(staged(buckets, "buckets").hint("merge"), "key"), "members")
 
-    links, labels, tried = None, None, None
-    if members.filter(F.col("n") > SMALL).isEmpty():
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        some = passing(rows_in, "doc_id", spark.sparkContext.broadcast(id_filter(wanted)))
+        return staged(some.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
+    labels, tried = None, None
+    crowded = not members.filter(F.col("n") > SMALL).isEmpty()
+    if not crowded:
         rounds = 1
     for turn in range(rounds):
         pairs = _star_pairs(members) if turn == 0 else _block_pairs(members, labels, turn)
@@ -292,13 +398,13 @@ def near_classes(
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        some = passing(rows_in, "doc_id", spark.sparkContext.broadcast(id_filter(wanted)))
-        texts = staged(some.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-        found = staged(verify(pairs, texts, weights, similarity, n), "links")
-        if turn and found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        labels = connected(links)
+        found = staged(verify(pairs, texts_of(wanted), weights, similarity, n), "links")
+        labels = connected(found) if labels is None else _merged(labels, found)
+    if crowded:
+        rest = staged(_rest(members, labels), "rest")
+        if not rest.isEmpty():
+            texts = texts_of(rest.select(F.col("id").alias("doc_id")).distinct())
+            labels = _merged(labels, staged(_rest_links(rest, heads, texts, weights, similarity, n), "rest-links"))
     classes = heads.select("sig", "id").join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("class"))
     classes = staged(classes, "classes")
     return signed.select("doc_id", "sig").join(classes, "sig", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))

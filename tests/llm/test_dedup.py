@@ -142,6 +142,21 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert all(got[d] == 0 for d in range(150)) and all(got[d] == d for d in got if d >= 1000)
 
 
+def test_copies_that_are_near_their_base_only_are_one_class(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.permutation(5000)[:600]]
+    texts = {}
+    for d in range(500):  # each like the base, few like each other; the base is not the least id
+        text = list(base)
+        for at in rng.choice(np.arange(5, 595), 6, replace=False) if d != 250 else []:
+            text[at] = f"e{d}x{at}"
+        texts[d] = " ".join(text)
+    some, links = brute_classes({d: texts[d] for d in range(240, 261)})
+    assert set(some.values()) == {240} and sum(250 in x for x in links) == 20 and len(links) < 30
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_near_odd(odd, odd_texts, empty, spark):
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(odd).collect()}
     assert set(got) == set(range(len(odd_texts)))
