@@ -155,6 +155,23 @@ def log_growth(a: np.ndarray, q: np.ndarray, price: np.ndarray, wealth: float, c
     return float((q * np.log(np.maximum(after, 1e-12) / wealth)).sum())
 
 
+def growth_gradient(a: np.ndarray, q: np.ndarray, price: np.ndarray, wealth: float, cost: np.ndarray, held: np.ndarray, h: float) -> np.ndarray:
+    """Central differences of ``log_growth`` by each stake, all names at once."""
+    yes, no = price * (1 + cost), (1 - price) * (1 + cost)
+
+    def values(step):
+        new = a + step
+        up, down = np.maximum(new, 0) / yes - np.maximum(a, 0) / yes, np.maximum(-new, 0) / no - np.maximum(-a, 0) / no
+        base = wealth - np.abs(a).sum() - (cost * np.abs(a - held)).sum() + np.maximum(a, 0) / yes + (np.maximum(-a, 0) / no).sum() - np.maximum(-a, 0) / no
+        rest = np.abs(a) - np.abs(new) + cost * (np.abs(a - held) - np.abs(new - held)) + down
+        after = base[None, :] + rest[:, None]  # one row a moved name, one column a winner
+        after[np.diag_indices(len(a))] += up - down
+        ruined = (after[:, q > 0] <= 0).any(axis=1)
+        return np.where(ruined, -1e6, (q * np.log(np.maximum(after, 1e-12) / wealth)).sum(axis=1))
+
+    return (values(h) - values(-h)) / (2 * h)
+
+
 def kelly_solve(q: np.ndarray, price: np.ndarray, wealth: float, budget: float, cost: np.ndarray, held: np.ndarray, free: np.ndarray, seed: int = 0, rounds: int = 120) -> np.ndarray:
     """Signed stakes of highest log growth within the budget; names that are not free stay 0.
 
@@ -172,7 +189,7 @@ def kelly_solve(q: np.ndarray, price: np.ndarray, wealth: float, budget: float,
         v, step = value(a), budget / 4
         for _ in range(rounds):
             h = max(1e-4 * budget, 1e-6)
-            grad = np.array([(value(a + h * e) - value(a - h * e)) / (2 * h) if ok else 0.0 for e, ok in zip(np.eye(len(a)), free, strict=True)])
+            grad = np.where(free, growth_gradient(a, q, price, wealth, cost, held, h), 0.0)
             norm = np.abs(grad).max()
             if norm <= 0 or step < 1e-4 * budget:
                 break
@@ -202,11 +219,12 @@ def region_step(target: float, held: float, width: float, streak: int, fresh: bo
     return (held if abs(gap) <= width else target + np.sign(gap) * width), (0 if fresh else streak)
 
 
-def backtest(days: DataFrame, *, book: str, day: str, name: str, price: str, prob: str, snapshot: str, won: str, wealth: float = 1000.0, spread: float = 0.02, names: int = 6) -> DataFrame:
+def backtest(days: DataFrame, *, book: str, day: str, name: str, price: str, prob: str, snapshot: str, won: str, wealth: float = 1000.0, spread: float = 0.02, rounds: int = 120) -> DataFrame:
     """The daily fold of each book: book, day, equity, n_open, traded, and a settled last row.
 
-    Days follow each other, so a book is one task: targets from the portfolio solve on the
-    day's ``names`` likeliest, then the no-trade region against what is held, then marks.
+    Days follow each other, so a book is one task: targets from the portfolio solve on
+    all names of the day, then the no-trade region over these and what is held (held names
+    without a price that day have target 0 and trade at their last price), then marks.
     """
     kinds = {f.name: f.dataType.simpleString() for f in days.schema.fields}
     schema = f"`{book}` {kinds[book]}, `{day}` {kinds[day]}, equity double, n_open long, traded double, settled boolean"
@@ -220,14 +238,16 @@ def backtest(days: DataFrame, *, book: str, day: str, name: str, price: str, pro
             last.update(zip(today[name], today[price], strict=True))
             fresh = today[snapshot].iloc[0] != seen
             seen = today[snapshot].iloc[0]
-            short = today.sort_values([prob, name], ascending=[False, True]).head(names)
-            px = np.clip(short[price].to_numpy(float), 0.01, 0.99)
-            q = short[prob].to_numpy(float)
+            solved = today[name].tolist()
+            ids = solved + sorted(set(shares) - set(solved))
+            px = np.clip(np.array([last[i] for i in ids], float), 0.01, 0.99)
+            q = today[prob].to_numpy(float)
             q = q / q.sum() if q.sum() > 0 else np.full(len(q), 1 / len(q))
-            ids = short[name].tolist()
+            n = len(solved)
             held = np.array([shares.get(i, 0.0) * (p if shares.get(i, 0.0) > 0 else 1 - p) for i, p in zip(ids, px, strict=True)])
             equity = cash + sum(s * last[i] if s > 0 else -s * (1 - last[i]) for i, s in shares.items())
-            target = kelly_solve(q, px, max(equity, 1.0), max(equity, 1.0) * 0.5, np.full(len(q), spread), held, np.ones(len(q), bool), seed_of(key[0], when), rounds=25)
+            target = kelly_solve(q, px[:n], max(equity, 1.0), max(equity, 1.0) * 0.5, np.full(n, spread), held[:n], np.ones(n, bool), seed_of(key[0], when), rounds=rounds)
+            target = np.concatenate([target, np.zeros(len(ids) - n)])
             traded = 0.0
             for i, p, t, h in zip(ids, px, target, held, strict=True):
                 new, streaks[i] = region_step(t, h, 0.02 * equity, streaks.get(i, 0), fresh)

@@ -181,3 +181,21 @@ def test_models_as_a_table(spark):
     assert model.fit_models(df, season="season", group=["season", "g"], features=["x"], label="y", replicates=2, sealed=2003).count() == 2
     with pytest.raises(Exception, match="other features"):
         model.score_with(df.withColumn("z", F.col("x")), models, season="season", features=["z"], keys=["i"]).collect()
+
+
+def test_gradient_of_all_names_is_that_of_each():
+    rng = np.random.default_rng(4)
+    q, price, a = rng.dirichlet(np.ones(9)), rng.uniform(0.05, 0.6, 9), rng.normal(0, 4, 9)
+    rest = (q, price, 1000.0, np.full(9, 0.02), rng.normal(0, 4, 9))
+    each = [(simulate.log_growth(a + 0.01 * e, *rest) - simulate.log_growth(a - 0.01 * e, *rest)) / 0.02 for e in np.eye(9)]
+    assert np.allclose(simulate.growth_gradient(a, *rest, 0.01), each, rtol=1e-6, atol=1e-9)
+
+
+def test_backtest_trades_all_names_and_what_it_holds(spark):
+    rows = [("b", 1, i, 0.02, 0.05 if i == 7 else 0.1, 1, 0) for i in range(10)]
+    rows[7] = ("b", 1, 7, 0.005, 0.05, 1, 0)  # the best bet is the least likely of ten
+    rows += [("b", 2, 10, 0.99, 1.0, 2, 0)]  # then only a name not worth its price has one
+    days = spark.createDataFrame(rows, "book string, day int, name int, price double, prob double, snap int, won int")
+    got = {(r.day, r.settled): r for r in simulate.backtest(days, book="book", day="day", name="name", price="price", prob="prob", snapshot="snap", won="won").collect()}
+    assert got[1, False].n_open > 6
+    assert got[2, False].traded > 0  # what is held has target 0
