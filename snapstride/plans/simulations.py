@@ -28,7 +28,7 @@ def pl_ensemble_fit(spark, sf):
     """Out-of-fold ensemble of the last snapshot of each season: mean score, spread, share."""
     ship(spark)
     rows = _design(spark, sf)
-    scored = model.ensemble_scores(rows, keys=["player_id", *SNAP], season="season", group=SNAP, features=["z_pts", "z_mpg", "z_gp"], label="label", replicates=4)
+    scored = model.ensemble_scores(rows, keys=["player_id", *SNAP], season="season", group=SNAP, features=["z_pts", "z_mpg", "z_gp"], label="label")
     sums = scored.groupBy("player_id", *SNAP).agg(F.avg("score").alias("mu"), F.stddev_pop("score").alias("sigma"), F.count(F.lit(1)).alias("k"))
     return sums.withColumn("share", relative.softmax(F.col("mu"), SNAP))
 
@@ -36,8 +36,8 @@ def pl_ensemble_fit(spark, sf):
 @query("pl_boosted_fit", dates=("snapshot_date",))
 def pl_boosted_fit(spark, sf):
     ship(spark)
-    rows = _design(spark, sf).filter("z_pts is not null and month(snapshot_date) in (6, 11)")
-    scored = model.ensemble_scores(rows, keys=["player_id", *SNAP], season="season", group=SNAP, features=["z_pts", "z_mpg", "z_gp"], label="label", replicates=2, learner="trees")
+    rows = _design(spark, sf).filter("z_pts is not null")
+    scored = model.ensemble_scores(rows, keys=["player_id", *SNAP], season="season", group=SNAP, features=["z_pts", "z_mpg", "z_gp"], label="label", learner="trees")
     return scored.groupBy("player_id", *SNAP).agg(F.avg("score").alias("mu"))
 
 
@@ -45,7 +45,7 @@ def pl_boosted_fit(spark, sf):
 def joint_samples(spark, sf):
     ship(spark)
     rows = roles.scores(spark, sf).withColumn("frac", (F.col("grp") % 10) / 10.0)
-    return simulate.joint_samples(rows, group=["grp"], key="candidate", raw="raw", frac="frac", draws=50)
+    return simulate.joint_samples(rows, group=["grp"], key="candidate", raw="raw", frac="frac")
 
 
 @query("bootstrap_win_ci")
@@ -89,7 +89,7 @@ def score_from_models(spark, sf):
     ship(spark)
     rows, features = _design(spark, sf), ["z_pts", "z_mpg", "z_gp"]
     path = shared_dir(spark, "models")
-    model.fit_models(rows, season="season", group=SNAP, features=features, label="label", replicates=4).write.parquet(path)
+    model.fit_models(rows, season="season", group=SNAP, features=features, label="label").write.parquet(path)
     scored = model.score_with(rows, spark.read.schema(model.MODEL).parquet(path), season="season", features=features, keys=["player_id", *SNAP])
     sums = scored.groupBy("player_id", *SNAP).agg(F.avg("score").alias("mu"), F.stddev_pop("score").alias("sigma"))
     return sums.withColumn("share", relative.softmax(F.col("mu"), SNAP))

@@ -199,3 +199,14 @@ def test_backtest_trades_all_names_and_what_it_holds(spark):
     got = {(r.day, r.settled): r for r in simulate.backtest(days, book="book", day="day", name="name", price="price", prob="prob", snapshot="snap", won="won").collect()}
     assert got[1, False].n_open > 6
     assert got[2, False].traded > 0  # what is held has target 0
+
+
+def test_fits_and_samples_take_the_whole_job(spark):
+    from snapstride.plans import catalog, roles
+
+    queries = catalog.queries()
+    months = {str(r.snapshot_date)[5:7] for r in queries["pl_boosted_fit"](spark, "/root/testdata/sf0.01").collect()}
+    assert len(months) == 12
+    members = len(roles.scores(spark, "/root/testdata/sf0.001").first()["raw"])
+    wins = np.array([r.p_win for r in queries["joint_samples"](spark, "/root/testdata/sf0.001").collect()]) * members
+    assert np.allclose(wins * 200, np.round(wins * 200), atol=1e-6) and not np.allclose(wins * 50, np.round(wins * 50), atol=1e-6)
