@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from functools import lru_cache
 
@@ -100,12 +101,42 @@ def test_counts_are_those_of_the_library(odd, odd_texts, documents, texts, empty
 
 def test_huge_texts_without_a_border_are_still_right():
     model, c = sentencepiece.SentencePieceProcessor(model_file=PIECE), token_counts.Counter(PIECE)
-    assert c.splits
-    for text in ("q" * 3000, " " * 700 + "x", "漢字 " * 90 + "ﬀ" * 300, "▁ ▁a ▁" * 90, "the cat  sat" * 100 + "q" * 900 + " end " * 30):
-        for chunk, overlap in ((64, 4), (100, 16), (37, 1)):
+    rng = np.random.default_rng(4)
+    mixed = ["".join(rng.choice(list(kind), 2500)) for kind in ("ab", "aeiou nrst", "0123456789", "漢字中国人ab ", "  \t\n", "ééàö\u0301x", "=-_", "\U00020000a")]
+    for text in ("q" * 3000, " " * 700 + "x", "漢字 " * 90 + "ﬀ" * 300, "▁ ▁a ▁" * 90, "the cat  sat" * 100 + "q" * 900 + " end " * 30, f"{c.fence}a" * 400, *mixed):
+        for chunk, overlap in ((64, 4), (100, 16), (37, 1), (600, 40)):
             assert c.count_huge(text, chunk, overlap) == len(model.encode(text))
 
 
+def test_compatible_pairs_are_those_the_library_keeps():
+    c = token_counts.Counter(PIECE)
+    rng = np.random.default_rng(6)
+    usable = [i for i in range(len(c.names)) if not c.merged[i]]
+    for i, j in rng.choice(usable, (3000, 2)).tolist():
+        own = all(c.model.encode(c.fence + c.names[k])[c.lead :] == [k] for k in (i, j))
+        kept = c.model.encode(c.fence + c.names[i] + c.names[j])[c.lead :] == [i, j]
+        assert not own or c.compatible(i, j) == kept
+
+
+def _text_of(kind, n):
+    rng = np.random.default_rng(9)
+    if kind == "han":
+        return "".join(map(chr, rng.integers(0x4E00, 0x9FFF, n)))
+    return "".join(rng.choice(list("ab"), n)) if kind == "letters" else "a" * n
+
+
+@pytest.mark.parametrize("kind", ["han", "letters", "run"])
+def test_a_million_characters_without_a_space_take_linear_time(kind):
+    c = token_counts.Counter(PIECE)
+    text = _text_of(kind, 1_000_000)
+    began = time.process_time()
+    wanted = len(c.model.encode(text))
+    library = time.process_time() - began
+    began = time.process_time()
+    assert c.counts([text]).tolist() == [wanted]
+    assert time.process_time() - began < 10 * library
+
+
 def test_planes_round_trip():
     class Store:
         def __init__(self):
