@@ -34,6 +34,31 @@ def test_round_trip(pages, spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_runs_merge_from_blocks_and_spilled_runs(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").repartition(6)
+    whole = {r.page_id: tuple(r)[:7] for r in warc.archive_round_trip(df).collect()}
+    rows = warc.archive_round_trip(df, run_rows=20, range_rows=150, fan_in=3).collect()
+    assert {r.page_id: tuple(r)[:7] for r in rows} == whole and len(rows) == len(whole)
+    rows.sort(key=lambda r: r.merged)
+    ordered = [(r.url_key, r.captured, r.page_id, r.archive, r.place) for r in rows]
+    assert ordered == sorted(ordered) and len({r.merged >> 40 for r in rows}) > 4
+
+
+def test_a_merge_holds_one_block_of_each_run(tmp_path):
+    read, folder = [], tmp_path.as_uri()
+    keyed = sorted([(i, f"k{i % 50:02d}", "t", 1, "d", "response", None, "a", i) for i in range(3000)], key=warc.order_of)
+    names = [list(warc.write_run(iter(keyed[i::4]), folder, 64))[0][0] for i in range(4)]
+
+    def stream(i):
+        for row in warc.read_run(names[i], list(range(12))):
+            read.append(i)
+            yield row
+
+    got = warc.merged([lambda i=i: stream(i) for i in range(4)], folder)
+    assert [next(got) for _ in range(10)] == keyed[:10] and len(read) <= 14
+    assert list(got) == keyed[10:]
+
+
 def test_small_payloads_can_stay_responses(pages):
     kinds = {r.page_id: r.record_type for r in warc.archive_round_trip(pages, least_bytes=12).collect()}
     assert set(kinds.values()) == {"response"}
@@ -64,7 +89,7 @@ def test_members_are_found_at_any_read_size():
 def test_loser_tree(k):
     rng = random.Random(k)
     runs = [sorted(rng.choices(range(20), k=rng.randrange(12))) for _ in range(k)]
-    assert list(warc.loser_tree(runs, lambda x: (x,))) == sorted(x for r in runs for x in r)
+    assert list(warc.loser_tree([iter(r) for r in runs], lambda x: (x,))) == sorted(x for r in runs for x in r)
 
 
 def test_url_key():
