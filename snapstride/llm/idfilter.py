@@ -1,4 +1,4 @@
-"""A Bloom filter of row ids, of fixed size, to leave rows behind before a shuffle."""
+"""A Bloom filter of row ids, sized by their count, to leave rows behind before a shuffle."""
 
 from __future__ import annotations
 
@@ -11,22 +11,36 @@ from pyspark.sql import DataFrame
 from .scratch import free_name
 from .words import mix
 
-BITS = 23
+BITS_PER_ID = 16
+#: The most that is broadcast: 64 MB. Beyond 40 million ids the filter lets more rows through.
+MOST_BITS = 29
 BLOCK_BITS = 16
 
 
+def bits_for(ids: int) -> int:
+    """log2 of the filter's size: BITS_PER_ID or more for each id, up to MOST_BITS."""
+    return min(MOST_BITS, max(BLOCK_BITS, int(np.ceil(np.log2(max(1, ids) * BITS_PER_ID)))))
+
+
 def _places(ids: np.ndarray, bits: int) -> np.ndarray:
     h = mix(ids.astype(np.int64).view(np.uint64))
     mask = np.uint64((1 << bits) - 1)
     return np.stack([h & mask, (h >> np.uint64(32)) & mask], axis=1).astype(np.int64)
 
 
-def id_filter(ids: DataFrame, bits: int = BITS) -> np.ndarray:
-    """The filter of a one-column table of longs, packed: 2**bits / 8 bytes at any size.
+def bit_at(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Bits of a table packed by np.packbits, without unpacking it."""
+    return (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 != 0
+
 
-    Each partition sends the places it sets, by block; blocks meet in streams that hold one
-    bit table each, and only finished blocks reach the driver.
+def id_filter(ids: DataFrame, bits: int | None = None) -> np.ndarray:
+    """The filter of a one-column table of longs, packed: 2**bits / 8 bytes.
+
+    ``bits`` follows from a count of ``ids`` where it is not given. Each partition sends the
+    places it sets, by block; blocks meet in streams that hold one bit table at a time, and
+    only finished blocks reach the driver.
     """
+    bits = bits_for(ids.count()) if bits is None else bits
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,15 +52,24 @@ def id_filter(ids: DataFrame, bits: int = BITS) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([p.astype("<u2").tobytes() for p in parts], pa.binary())], names=["block", "places"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
+        block, table = None, np.zeros(1 << BLOCK_BITS, bool)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(table).tobytes()], pa.binary())], names=["block", "places"])
+
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tables.setdefault(k, np.zeros(1 << BLOCK_BITS, bool))[np.frombuffer(raw, "<u2")] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int32()), pa.array([np.packbits(x).tobytes() for x in tables.values()], pa.binary())], names=["block", "places"])
+                if k != block:
+                    if block is not None:
+                        yield done()
+                    block, table = k, np.zeros(1 << BLOCK_BITS, bool)
+                table[np.frombuffer(raw, "<u2")] = True
+        if block is not None:
+            yield done()
 
     schema = "block int, places binary"
     whole, size = np.zeros((1 << bits) // 8, np.uint8), (1 << BLOCK_BITS) // 8
-    for k, raw in ids.mapInArrow(fill, schema).repartition("block").mapInArrow(add, schema).collect():
+    for k, raw in ids.mapInArrow(fill, schema).repartition("block").sortWithinPartitions("block").mapInArrow(add, schema).collect():
         whole[k * size : (k + 1) * size] = np.frombuffer(raw, np.uint8)
     return whole
 
@@ -59,12 +82,12 @@ def passing(rows: DataFrame, id_col: str, packed, passes: bool = True) -> DataFr
     at = rows.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(packed.value).view(bool)
-        bits = len(table).bit_length() - 1
+        table = packed.value
+        bits = (8 * len(table)).bit_length() - 1
         for batch in batches:
             key = batch.column(at)
             ids = key.fill_null(0).to_numpy(zero_copy_only=False)
-            hit = table[_places(ids, bits)].all(axis=1) & np.asarray(key.is_valid())
+            hit = bit_at(table, _places(ids, bits)).all(axis=1) & np.asarray(key.is_valid())
             yield batch.filter(pa.array(hit == passes))
 
     return rows.mapInArrow(run, rows.schema)

@@ -1,35 +1,45 @@
 """Removal of lines that many documents share.
 
-Two Bloom filters hold hashes of lines seen in one document and in a second one. They are
-filled in a pass without a shuffle of text: each partition fills its own pair, positions
-only are sent, and pairs merge by once |= o; twice |= t | (once & o), which loses no line
-that two partitions share. A line outside the second filter is in one document and stays;
-the others, suspected repeats, shuffle as (document, 128-bit digest), are counted exactly,
-and the largest doc_id of each is chosen. The filters' size is fixed: past some tens of
-millions of distinct lines they fill up, more lines become suspects, and results stay exact.
+Two Bloom filters hold hashes of lines seen in one document and in a second one. A pass
+without a shuffle of text writes the distinct line hashes of each part of the corpus; their
+count sizes the filters, BITS_PER_LINE for each, so that they are as sharp at any size. The
+filters are split by ranges of the hash, and a range is filled from all parts' hashes in it
+by once |= new; twice |= new that was in once, which loses no line that two parts share.
+A line outside the second filter is in one document and stays; the others, suspected
+repeats, shuffle as (document, 128-bit digest), are counted exactly, and the largest doc_id
+of each is chosen. While all ranges together are small they are broadcast; beyond MOST_BITS
+they stay where they are and digests of lines travel to them instead, at most one of each
+line from each part of the corpus, so that a line in a third of all documents is no hot key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .batches import bounded
-from .idfilter import id_filter, passing
+from .idfilter import bit_at, id_filter, passing
 from .scratch import free_name, staged
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_CHARS = 40
 LEAST_DOCS = 5
-FILTER_BITS = 24
-BLOCK_BITS = 16
+BITS_PER_LINE = 12
+#: log2 of the bits of the filter that is broadcast at most: 32 MB.
+MOST_BITS = 28
 HASHES = 3
+#: Hashes that one row of a part holds at most, and lines that a range is meant for.
+PART_LINES = 1 << 19
+RANGE_LINES = 1 << 17
+LEAST_RANGES, MOST_RANGES = 6, 24
 
 
 def line_key(line: str, least_chars: int = LEAST_CHARS) -> bytes | None:
@@ -38,90 +48,200 @@ def line_key(line: str, least_chars: int = LEAST_CHARS) -> bytes | None:
     return key.encode("utf-8", "surrogatepass").lower() if len(key) >= least_chars else None
 
 
-def positions(hashes: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
-    """HASHES places for each hash, all in one block of 2**BLOCK_BITS bits."""
-    block = (hashes >> np.uint64(48)) % np.uint64(1 << (bits - BLOCK_BITS))
-    inner = [(hashes >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(HASHES)]
-    return (np.stack(inner, axis=1) + (block << np.uint64(BLOCK_BITS))[:, None]).astype(np.int64)
+def line_keys(text: str | None, least_chars: int = LEAST_CHARS) -> set[bytes]:
+    """The distinct keys of a text's lines."""
+    keys = {line_key(x, least_chars) for x in (text or "").split("\n")}
+    keys.discard(None)
+    return keys
+
+
+@dataclass(frozen=True)
+class Size:
+    """2**ranges tables of 2**inner bits each."""
+
+    ranges: int
+    inner: int
+
+    @classmethod
+    def of(cls, lines: int) -> "Size":
+        """For so many distinct lines."""
+        ranges = min(MOST_RANGES, max(LEAST_RANGES, int(np.ceil(np.log2(max(1, lines) / RANGE_LINES)))))
+        return cls(ranges, max(9, int(np.ceil(np.log2(max(1, lines) * BITS_PER_LINE))) - ranges))
+
+    @property
+    def bits(self) -> int:
+        return self.ranges + self.inner
+
+    def range_of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.ranges)).astype(np.int64)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """HASHES places for each hash in its range's table."""
+        first, step = hashes & np.uint64(0xFFFFFFFF), ((hashes >> np.uint64(8)) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+        mask = np.uint64((1 << self.inner) - 1)
+        return np.stack([(first + np.uint64(i) * step) & mask for i in range(HASHES)], axis=1).astype(np.int64)
 
 
 class Seen:
-    """The pair of filters of one partition."""
+    """The pair of filters of one range."""
 
-    def __init__(self, bits: int = FILTER_BITS):
-        self.bits = bits
-        self.once, self.twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+    def __init__(self, size: Size):
+        self.size = size
+        self.once, self.twice = np.zeros(1 << size.inner, bool), np.zeros(1 << size.inner, bool)
 
-    def add(self, hashes: np.ndarray) -> None:
-        """Hashes of lines, one for each document that holds the line."""
-        found, counts = np.unique(hashes, return_counts=True)
-        at = positions(found, self.bits)
-        again = (counts > 1) | self.once[at].all(axis=1)
-        self.once[at] = True
+    def add(self, hashes: np.ndarray, repeated: np.ndarray) -> None:
+        """Distinct line hashes of one part, and those of them that several of its documents hold."""
+        at = self.size.places(hashes)
+        again = self.once[at].all(axis=1)
         self.twice[at[again]] = True
+        self.twice[self.size.places(repeated)] = True
+        self.once[at] = True
 
-    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """Places that are set, by block, as two bytes each."""
-        size = 1 << BLOCK_BITS
-        for k in np.unique(np.flatnonzero(self.once) >> BLOCK_BITS).tolist():
-            part = slice(k * size, (k + 1) * size)
-            yield k, *(np.flatnonzero(x[part]).astype("<u2").tobytes() for x in (self.once, self.twice))
 
+PARTS = "n long, once binary, twice binary"
+RANGES = "range int, once binary, twice binary"
 
-def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, o, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if k not in once:
-                once[k], twice[k] = np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
-            o, t = np.frombuffer(o, "<u2"), np.frombuffer(t, "<u2")
-            twice[k][o[once[k][o]]] = True
-            twice[k][t] = True
-            once[k][o] = True
-    yield pa.RecordBatch.from_arrays([pa.array(list(twice), pa.int32()), pa.array([np.packbits(x).tobytes() for x in twice.values()], pa.binary())], names=["block", "bits"])
 
+def line_hashes(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Parts of the corpus as (n, once, twice): distinct line hashes, and the repeated ones."""
 
-def repeated_lines(docs: DataFrame, bits: int = FILTER_BITS, least_chars: int = LEAST_CHARS) -> np.ndarray:
-    """The twice-seen filter of all documents (doc_id, text), packed: 2**bits / 8 bytes."""
+    def part(hashes: list[np.ndarray]) -> pa.RecordBatch:
+        found, counts = np.unique(np.concatenate(hashes), return_counts=True)
+        return pa.RecordBatch.from_pydict({"n": [len(found)], "once": [found.astype("<u8").tobytes()], "twice": [found[counts > 1].astype("<u8").tobytes()]})
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen(bits)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = [], 0
         for batch in bounded(batches):
-            hashes: list[int] = []
-            for text in batch.column("text").to_pylist():
-                keys = {line_key(x, least_chars) for x in (text or "").split("\n")}
-                hashes += [xxhash.xxh3_64_intdigest(k) for k in keys if k is not None]
-            seen.add(np.array(hashes, np.uint64))
-        rows = list(seen.blocks())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["block", "once", "twice"])
+            found = [xxhash.xxh3_64_intdigest(k) for text in batch.column("text").to_pylist() for k in line_keys(text, least_chars)]
+            for i in range(0, len(found), PART_LINES):
+                hashes.append(np.array(found[i : i + PART_LINES], np.uint64))
+                n += len(hashes[-1])
+                if n >= PART_LINES:
+                    yield part(hashes)
+                    hashes, n = [], 0
+        if n:
+            yield part(hashes)
+
+    return docs.select("text").mapInArrow(run, PARTS)
+
+
+def twice_seen(parts: DataFrame, size: Size) -> DataFrame:
+    """(range, bits): each range's twice-seen filter, packed, from all parts' hashes in it."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for once, twice in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
+                lists = [np.frombuffer(x, "<u8") for x in (once, twice)]
+                ranges, begins = np.unique(size.range_of(lists[0]), return_index=True)
+                firsts = np.append(begins, len(lists[0]))
+                low = np.searchsorted(size.range_of(lists[1]), np.append(ranges, 1 << size.ranges))
+                rows = [[x[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)] for x, at in zip(lists, (firsts, low), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], names=["range", "once", "twice"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, seen = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([np.packbits(seen.twice).tobytes()], pa.binary())], names=["range", "bits"])
 
-    parts = docs.select("text").mapInArrow(fill, "block int, once binary, twice binary")
-    whole = np.zeros((1 << bits) // 8, np.uint8)
-    size = (1 << BLOCK_BITS) // 8
-    for k, raw in parts.repartition("block").mapInArrow(_add_blocks, "block int, bits binary").collect():
-        whole[k * size : (k + 1) * size] = np.frombuffer(raw, np.uint8)
-    return whole
+        for batch in batches:
+            for k, once, twice in zip(*(batch.column(c).to_pylist() for c in ("range", "once", "twice")), strict=True):
+                if k != here:
+                    if here is not None:
+                        yield done()
+                    here, seen = k, Seen(size)
+                seen.add(np.frombuffer(once, "<u8"), np.frombuffer(twice, "<u8"))
+        if here is not None:
+            yield done()
 
+    return parts.mapInArrow(split, RANGES).repartition("range").sortWithinPartitions("range").mapInArrow(fill, "range int, bits binary")
 
-def suspects(docs: DataFrame, twice, bits: int = FILTER_BITS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, digest) of lines whose hash passes the broadcast twice-seen filter."""
+
+FOUND = "doc_id long, digest binary"
+
+
+def _digests(batch: pa.RecordBatch, least_chars: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Row, digest and hash of the distinct lines of each document."""
+    rows, keys = [], []
+    for i, (text, known) in enumerate(zip(batch.column("text").to_pylist(), batch.column("doc_id").is_valid().to_pylist(), strict=True)):
+        own = line_keys(text, least_chars) if known else ()
+        keys += own
+        rows += [i] * len(own)
+    return np.array(rows, np.int64), keys, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
+
+
+def _found(batch: pa.RecordBatch, rows: np.ndarray, keys: list[bytes], hit: np.ndarray) -> list[pa.Array]:
+    return [batch.column("doc_id").take(pa.array(rows[hit])), pa.array([xxhash.xxh3_128_digest(keys[i]) for i in hit.tolist()], pa.binary())]
+
+
+def suspects_here(docs: DataFrame, packed, size: Size, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, digest) of lines that pass the broadcast twice-seen filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(twice.value).view(bool)
+        table = packed.value
         for batch in bounded(batches):
-            rows, keys = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                own = {line_key(x, least_chars) for x in (text or "").split("\n")}
-                own.discard(None)
-                keys += own
-                rows += [i] * len(own)
-            hashes = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
-            hit = np.flatnonzero(table[positions(hashes, bits)].all(axis=1)) if keys else []
-            ids = batch.column("doc_id").take(pa.array([rows[i] for i in hit], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([xxhash.xxh3_128_digest(keys[i]) for i in hit], pa.binary())], names=["doc_id", "digest"])
+            rows, keys, hashes = _digests(batch, least_chars)
+            at = (size.range_of(hashes) << size.inner)[:, None] + size.places(hashes)
+            hit = np.flatnonzero(bit_at(table, at).all(axis=1)) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(_found(batch, rows, keys, hit), names=["doc_id", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+
+
+def suspects_there(docs: DataFrame, filters: DataFrame, size: Size, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """The same where the filter is too large to send: digests go to their range's filter.
+
+    A line that a part has already met is a suspect there and then; only its first document
+    in the part has to ask.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros(1 << 24, bool)
+        for batch in bounded(batches):
+            rows, keys, hashes = _digests(batch, least_chars)
+            at = (hashes & np.uint64((1 << 24) - 1)).astype(np.int64)
+            again = met[at]
+            first = np.zeros(len(at), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            met[at] = True
+            where = np.where(again | ~first, -1, size.range_of(hashes)) if keys else np.zeros(0, np.int64)
+            every = np.arange(len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(hashes.view(np.int64)), *_found(batch, rows, keys, every)], names=["range", "hash", "doc_id", "digest"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, table = None, None
+        for batch in batches:
+            ranges = batch.column("range").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1, [len(ranges)]]).tolist()
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                part = batch.slice(i, j - i)
+                if ranges[i] != here:
+                    here, table = ranges[i], np.frombuffer(part.column("bits")[0].as_py(), np.uint8)
+                asked = part.filter(pc.is_null(part.column("bits")))
+                hit = bit_at(table, size.places(asked.column("hash").to_numpy().view(np.uint64))).all(axis=1)
+                yield asked.select(["doc_id", "digest"]).filter(pa.array(hit, pa.bool_()))
+
+    asked = staged(docs.select("doc_id", "text").mapInArrow(ask, f"range int, hash long, {FOUND}"), "asked")
+    none = filters.select("range", F.lit(None).cast("long").alias("hash"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("digest"), "bits")
+    meet = asked.filter("range >= 0").withColumn("bits", F.lit(None).cast("binary")).unionByName(none)
+    meet = meet.repartition("range").sortWithinPartitions("range", F.col("bits").isNull())
+    return asked.filter("range < 0").select("doc_id", "digest").unionByName(meet.mapInArrow(answer, FOUND))
+
+
+def suspects(docs: DataFrame, least_chars: int = LEAST_CHARS, most_bits: int = MOST_BITS) -> DataFrame:
+    """(doc_id, digest) of lines (doc_id, text) that may be in two documents or more."""
+    spark = docs.sparkSession
+    parts = staged(line_hashes(docs, least_chars), "line-hashes")
+    size = Size.of(parts.agg(F.sum("n")).first()[0] or 0)
+    filters = twice_seen(parts, size)
+    if size.bits > most_bits:
+        return suspects_there(docs, staged(filters, "line-filters"), size, least_chars)
+    whole, each = np.zeros((1 << size.bits) // 8, np.uint8), (1 << size.inner) // 8
+    for k, raw in filters.collect():
+        whole[k * each : (k + 1) * each] = np.frombuffer(raw, np.uint8)
+    return suspects_here(docs, spark.sparkContext.broadcast(whole), size, least_chars)
 
 
 def drop_lines(text: str, digests: set[bytes], least_chars: int = LEAST_CHARS) -> tuple[str, int]:
@@ -138,7 +258,7 @@ def line_dedup(
     text_col: str = "text",
     least_chars: int = LEAST_CHARS,
     least_docs: int = LEAST_DOCS,
-    filter_bits: int = FILTER_BITS,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """All columns of ``docs``, the text without repeated lines, and n_lines, n_dropped.
 
@@ -147,13 +267,12 @@ def line_dedup(
     lines except in the largest doc_id among these. Defined cases: a null or empty text is
     one empty line and becomes empty; a document all of whose lines go becomes empty; rows
     that repeat a doc_id count as one document, and each is cleaned; rows with a null doc_id
-    count as one document that keeps its lines; an empty table gives no rows; other columns
+    keep their lines and count as no document; an empty table gives no rows; other columns
     pass through, and n_lines or n_dropped replace columns of these names.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    twice = spark.sparkContext.broadcast(repeated_lines(rows, filter_bits, least_chars))
-    found = staged(suspects(rows, twice, filter_bits, least_chars).distinct(), "suspects")
+    found = staged(suspects(rows, least_chars, most_bits).distinct(), "suspects")
     repeated = found.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keep")).filter(F.col("docs") >= least_docs)
     repeated = staged(repeated.select("digest", "keep"), "repeated")
     text_c, id_c, drop_id, drops_c = (free_name(docs, x) for x in ("line_text", "line_id", "line_drop_id", "line_drops"))

@@ -1,17 +1,19 @@
 """Near-duplicate detection by improved consistent weighted sampling.
 
 Documents are sets of five-word shingles with TF-IDF weights. Document frequencies come
-from one pass over all documents into a count sketch of fixed size, so the table that every
-worker needs is bounded however large the corpus is (a shingle's count then holds that of
-its bucket; the bias is the same for all shingles). Per document, consistent samples of its
-weighted shingles are grouped into bands; documents that agree on a band are candidates,
-and each candidate pair is verified by the weighted Jaccard similarity of its whole texts.
+from one pass over all documents into a count sketch of fixed size; what a bucket holds of
+other shingles on average is taken away, and the weight depends on the share of documents
+only, so that it is alike at every size. Per document, consistent samples of its weighted
+shingles are grouped into bands; documents that agree on a band are candidates, and each
+candidate pair is verified by the weighted Jaccard similarity of its whole texts.
 
 Documents with the same shingles and counts are one from the start, so copies cost nothing.
-Small buckets give all their pairs; in large ones every member meets the first, and members
-that this leaves in other classes than their bucket's first meet again in random blocks. What
-is then still of different classes in one large bucket is compared in full, block by block
-(``_rest_links``), so every pair that agrees on a band is compared or already in one class.
+Small buckets give all their pairs. In a large one every member meets the leader, the member
+that shares most buckets with others. Where a large bucket then still holds several classes,
+its members are compared in full, but by a prefix filter and not pair by pair: two documents
+of similarity t share a shingle among the rarest that make up 1 - t of the heavier one's
+weight and (1 - t) / (1 + t) of the lighter one's. So no pair that agrees on a band is lost,
+and texts of one template are brought together by what they have besides it.
 """
 
 from __future__ import annotations
@@ -34,10 +36,11 @@ SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
 SKETCH_BITS = 20
 SKETCH_BLOCK = 1 << 12
+#: Shingles in fewer than one of so many documents all have the full weight.
+RARE = 1024
 #: Buckets up to this size give all their pairs.
 SMALL = 8
-ROUNDS = 3
-#: Members and characters of a block in the full comparison of large buckets.
+#: Members and characters of a block that meets a leader, or another block.
 BLOCK = 256
 BLOCK_CHARS = 4 << 20
 _SLICE_WORDS = 200_000
@@ -109,10 +112,9 @@ def _blocks(keys: list[int], rows: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def idf_table(sketch: np.ndarray, total: int) -> np.ndarray:
-    """1 + idf / highest idf by bucket: from 1 (in all documents) to 2 (in one)."""
-    most = np.log1p(max(1, total))
-    idf = np.log1p(total / np.maximum(sketch, 1))
-    return (1 + np.minimum(idf / most, 1)).astype(np.float32)
+    """Weights by bucket: from 1 (a shingle of all documents) to 2 (of one in RARE or fewer)."""
+    own = np.maximum(sketch - sketch.mean(), 1)
+    return (1 + np.clip(np.log(max(1, total) / own) / np.log(RARE), 0, 1)).astype(np.float32)
 
 
 class Sampler:
@@ -186,105 +188,161 @@ def weighted_jaccard(a: tuple, b: tuple) -> float:
     """Of two (ascending keys, weights) vectors."""
     ka, wa = a
     kb, wb = b
-    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    low = np.minimum(wa[ia], wb[ib]).sum(dtype=np.float64)
-    whole = wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - low
-    return float(low / whole) if whole else 0.0
+    if not len(ka) or not len(kb):
+        return 0.0
+    at = np.minimum(np.searchsorted(ka, kb), len(ka) - 1)
+    hit = ka[at] == kb
+    low = np.minimum(wa[at[hit]], wb[hit]).sum(dtype=np.float64)
+    return float(low / (wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64) - low))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, weights, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
-    """The pairs (a, b) whose texts (doc_id, text) are at least that similar."""
+def _vectors(column: pa.Array, table: np.ndarray, n: int) -> list[tuple]:
+    """(shingles, weights) of each text; equal texts of a batch are read once."""
+    coded = plain(column).dictionary_encode()
+    low = np.uint64(len(table) - 1)
+    out = []
+    for _, keys, counts, bounds in doc_shingles(coded.dictionary, n):
+        w = table[(keys & low).astype(np.int64)] * counts.astype(np.float32)
+        out += [(keys[s:e], w[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [out[i] for i in coded.indices.to_pylist()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = weights.value
-        low = np.uint64(len(table) - 1)
 
-        def vectors(column: pa.Array) -> list[tuple]:
-            # the texts of one leader come in runs; each distinct text is read once
-            coded = plain(column).dictionary_encode()
-            out = []
-            for _, keys, counts, bounds in doc_shingles(coded.dictionary, n):
-                w = table[(keys & low).astype(np.int64)] * counts.astype(np.float32)
-                out += [(keys[s:e], w[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            return [out[i] for i in coded.indices.to_pylist()]
-
-        for batch in bounded(batches, "text_b"):
-            for some in bounded(iter([batch]), "text_a"):
-                score = [weighted_jaccard(x, y) for x, y in zip(vectors(some.column("text_a")), vectors(some.column("text_b")), strict=True)]
-                good = pa.array(np.array(score) >= similarity)
-                yield pa.RecordBatch.from_arrays([some.column("a").filter(good), some.column("b").filter(good)], names=["a", "b"])
+def verify(pairs: DataFrame, docs: DataFrame, weights, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
+    """The pairs (a, b) whose documents (doc_id, text) are at least that similar.
 
+    pairs: a, b, n, where n bounds the pairs of one a. The pairs of an a are dealt into groups
+    of about BLOCK; its text goes to each group once, those of the other documents follow. Of
+    a doc_id with several texts any may be the similar one.
+    """
+    spark = pairs.sparkSession
+    groups = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = pairs.select("a", "b", groups.alias("groups")).withColumn("grp", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int"))
+    roles = dealt.select("a", "groups", "grp").distinct().select("a", "groups", "grp", F.col("a").alias("doc_id"), F.lit(False).alias("member"))
+    roles = staged(roles.unionByName(dealt.select("a", "groups", "grp", F.col("b").alias("doc_id"), F.lit(True).alias("member"))), "roles")
+    wanted = staged(roles.select("doc_id").distinct(), "wanted")
+    some = passing(docs, "doc_id", spark.sparkContext.broadcast(id_filter(wanted)))
     # texts are not of bounded size, so they are never broadcast
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    moved = some.join(roles.hint("merge"), "doc_id").repartition("a", "groups", "grp").sortWithinPartitions("a", "groups", "grp", "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, leader = None, []
+        for batch in bounded(batches):
+            out: tuple = ([], [])
+            columns = [batch.column(c).to_pylist() for c in ("a", "groups", "grp", "doc_id", "member")]
+            for *group, doc, member, vector in zip(*columns, _vectors(batch.column("text"), weights.value, n), strict=True):
+                if group != here:
+                    here, leader = group, []
+                if not member:
+                    leader.append(vector)
+                elif any(weighted_jaccard(x, vector) >= similarity for x in leader):
+                    out[0].append(group[0])
+                    out[1].append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+    return moved.select("a", "groups", "grp", "doc_id", "member", "text").mapInArrow(run, "a long, b long")
 
 
 def _star_pairs(members: DataFrame) -> DataFrame:
-    """First candidate pairs from (key, id, n, first), n members to the key."""
+    """First candidate pairs (a, b, n) from (key, id, n), n members to the key."""
     small = members.filter(F.col("n") <= SMALL).select("key", "id")
     within = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
-    within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    within = within.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(SMALL).cast("long").alias("n"))
     large = members.filter(F.col("n") > SMALL)
-    stars = large.select(F.col("first").alias("a"), F.col("id").alias("b")).filter("a < b")
-    return within.unionByName(stars).distinct()
-
-
-def _block_pairs(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs for members of large buckets that are not in the class of their bucket's first.
-
-    These and a like number of the others are dealt at random into blocks of about SMALL
-    members; pairs of a block that are of different classes are candidates.
-    """
-    large = members.filter(F.col("n") > SMALL).select("key", "id", "first")
-    named = large.join(labels.select(F.col("id"), F.col("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    hubs = labels.select(F.col("id").alias("first"), F.col("label").alias("hub"))
-    named = named.join(hubs, "first", "left").withColumn("hub", F.coalesce("hub", "first"))
-    apart = named.groupBy("key").agg(F.count(F.when(F.col("label") != F.col("hub"), 1)).alias("apart"), F.count(F.lit(1)).alias("all")).filter("apart > 0")
-    named = named.join(apart, "key")
-    chance = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30)
-    taking = (F.col("label") != F.col("hub")) | (chance * (F.col("all") - F.col("apart")) < F.col("apart"))
-    block = F.floor(F.pmod(F.xxhash64("key", "id", F.lit(turn + 1000)), F.ceil(F.col("apart") * 2 / SMALL).cast("long")))
-    some = named.filter(taking).select("key", block.alias("block"), "id", "label")
-    x, y = some.alias("x"), some.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")))
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    strength = members.groupBy("id").agg(F.sum("n").alias("strength"))
+    rank = F.struct("strength", -F.col("id"))
+    leaders = large.join(strength, "id").groupBy("key").agg(F.max_by("id", rank).alias("leader"))
+    # never broadcast: a hot bucket's rows are then split, and the buckets are of no bounded size
+    stars = large.join(staged(leaders, "leaders").hint("merge"), "key").select(F.col("leader").alias("a"), F.col("id").alias("b"), "n").filter("a <> b")
+    return within.unionByName(stars).groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
 def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, id, label, inner) of large buckets with more than one class; inner: in its largest."""
-    large = members.filter(F.col("n") > SMALL).select("key", "id")
-    named = large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    hubs = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("hub"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    return named.join(hubs.hint("merge"), "key").select("key", "id", "label", (F.col("label") == F.col("hub")).alias("inner"))
+    """(id, label) of the members of large buckets that hold more than one class."""
+    named = members.filter(F.col("n") > SMALL).select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
+    return named.join(staged(mixed, "mixed").hint("merge"), "key", "left_semi").select("id", "label").distinct()
 
 
-def _rest_links(rest: DataFrame, heads: DataFrame, texts: DataFrame, weights, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
-    """Links (a, b) that join the classes of each bucket of ``rest``, from all its cross-class pairs.
+def prefixes(docs: DataFrame, weights, counts, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
+    """The prefix of each document (doc_id, label, text): shingle, id, label, whole, indexed.
 
-    A bucket is dealt into blocks of bounded size, those of its largest class apart; each two
-    blocks that can hold a cross-class pair meet in one group, so that texts move by block and
-    not by pair. A pair is compared in the bucket of its first common band only. Of the links
-    of a group only those that join two classes are returned.
+    Shingles go by the broadcast bucket ``counts``, the rarest first, then by hash. Any pair
+    that is similar enough has one in both prefixes, the lighter document's ``indexed``: what
+    the two share lies behind their first common shingle, so from there on each has at least
+    the weight that the two must share, t of the heavier one's and 2t / (1 + t) of the lighter
+    one's.
     """
-    sized = rest.join(texts.select(F.col("doc_id").alias("id"), F.length("text").alias("chars")), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.uint64(len(weights.value) - 1)
+        for batch in bounded(batches):
+            rows: list = [[], [], [], []]
+            for i, (keys, w) in enumerate(_vectors(batch.column("text"), weights.value, n)):
+                if not len(keys):
+                    continue
+                order = np.lexsort((keys, counts.value[(keys & low).astype(np.int64)]))
+                own = w[order].astype(np.float64)
+                left = own[::-1].cumsum()[::-1]  # weight from here on
+                k = int((left >= (similarity - 1e-6) * left[0]).sum())
+                rows[0].append(keys[order[:k]].view(np.int64))
+                rows[1].append(np.full(k, i))
+                rows[2].append(np.full(k, left[0]))
+                rows[3].append(left[:k] >= (2 * similarity / (1 + similarity) - 1e-6) * left[0])
+            if rows[0]:
+                key, i, whole, indexed = (np.concatenate(x) for x in rows)
+                at = pa.array(i)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(at), batch.column("label").take(at), pa.array(whole), pa.array(indexed)], names=["key", "id", "label", "whole", "indexed"])
+
+    return docs.select("doc_id", "label", "text").mapInArrow(run, "key long, id long, label long, whole double, indexed boolean")
+
+
+def _rest_links(rest: DataFrame, rows: DataFrame, weights, sketch_bits: int, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
+    """Links (a, b) that join all classes of ``rest`` with a similar pair between them."""
+    spark = rest.sparkSession
+    some = passing(rows, "doc_id", spark.sparkContext.broadcast(id_filter(rest.select("id"))))
+    docs = staged(some.join(rest.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id"), "rest-texts")
+    counts = spark.sparkContext.broadcast(frequency_sketch(docs, sketch_bits, n)[0])
+    prefix = staged(prefixes(docs, weights, counts, similarity, n), "prefixes")
+    groups = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.bool_or("indexed").alias("any"))
+    groups = staged(groups.filter("least <> most and any").select("key", "n"), "groups")
+    shared = staged(prefix.join(groups.hint("merge"), "key"), "shared")
+
+    small = shared.filter(F.col("n") <= SMALL)
+    x, y = small.alias("x"), small.alias("y")
+    lighter = (F.col("x.whole") <= F.col("y.whole")) & F.col("x.indexed") & (F.col("x.whole") >= (similarity - 1e-6) * F.col("y.whole"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & lighter)
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.lit(SMALL).cast("long").alias("n")).distinct()
+    links = verify(staged(pairs, "pairs"), docs.select("doc_id", "text"), weights, similarity, n)
+    large = shared.filter(F.col("n") > SMALL).select("key", "id", "label", (~F.col("indexed")).alias("inner")).distinct()
+    if large.isEmpty():
+        return links
+    return links.unionByName(_block_links(large, docs.select(F.col("doc_id").alias("id"), "text"), weights, similarity, n))
+
+
+def _block_links(large: DataFrame, texts: DataFrame, weights, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
+    """Links (a, b) that join the classes in each group of ``large``, from all its cross-class pairs.
+
+    A group is dealt into blocks of bounded size, its ``inner`` members apart, which are not
+    compared with one another; each two other blocks meet, so that texts move by block and
+    not by pair. Of the links of two blocks only those that join two classes are returned.
+    """
+    sized = large.join(texts.select("id", F.length("text").alias("chars")), "id")
 
     def blocks(inner: bool):
         of = F.when(F.col("inner") == inner, 1)
         return F.ceil(F.greatest(F.count(of) / BLOCK, F.sum(of * F.col("chars").cast("long")) / BLOCK_CHARS)).cast("int")
 
-    counts = sized.groupBy("key").agg(F.greatest(blocks(False), F.lit(1)).alias("others"), F.greatest(blocks(True), F.lit(1)).alias("inners"))
-    placed = rest.join(counts.hint("merge"), "key")
+    counts = staged(sized.groupBy("key").agg(F.greatest(blocks(False), F.lit(1)).alias("others"), F.greatest(blocks(True), F.lit(1)).alias("inners")), "block-counts")
+    placed = large.join(counts.hint("merge"), "key")
     spot = F.xxhash64("id", "key")
     block = F.when(F.col("inner"), F.col("others") + F.pmod(spot, F.col("inners"))).otherwise(F.pmod(spot, F.col("others"))).cast("int")
     last = F.when(F.col("inner"), F.col("others")).otherwise(F.col("others") + F.col("inners")) - 1
     placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     placed = placed.select("key", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    placed = placed.join(heads.select("id", "bands").hint("merge"), "id").join(texts.withColumnRenamed("doc_id", "id").hint("merge"), "id")
+    placed = placed.join(texts.hint("merge"), "id")
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
-        return pa.table(_joining(table.sort_by([("block", "ascending"), ("id", "ascending")]), group[0].as_py(), weights.value, similarity, n))
+        return pa.table(_joining(table.sort_by([("block", "ascending"), ("id", "ascending")]), weights.value, similarity, n))
 
     return placed.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -293,18 +351,11 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[bounds])
 
 
-def _joining(rows: pa.Table, key: int, table: np.ndarray, similarity: float, n: int) -> dict:
+def _joining(rows: pa.Table, table: np.ndarray, similarity: float, n: int) -> dict:
     """Verified links between classes of the one or two blocks in ``rows``, sorted by block."""
     ids, block = (rows.column(c).to_numpy() for c in ("id", "block"))
     _, kind = np.unique(rows.column("label").to_numpy(), return_inverse=True)
-    bands = np.array(rows.column("bands").to_pylist(), np.int64)
-    bands = bands[:, : int(np.flatnonzero(bands[0] == key)[0])]
-    low = np.uint64(len(table) - 1)
-    vectors = []
-    if len(np.unique(kind)) > 1:
-        for _, keys, counts, bounds in doc_shingles(plain(rows.column("text")), n):
-            w = table[(keys & low).astype(np.int64)] * counts.astype(np.float32)
-            vectors += [(keys[s:e], w[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    vectors = _vectors(rows.column("text"), table, n) if len(np.unique(kind)) > 1 else []
     out: dict = {"a": [], "b": []}
     if vectors:
         first = int(np.searchsorted(block, block[0], "right"))
@@ -317,7 +368,7 @@ def _joining(rows: pa.Table, key: int, table: np.ndarray, similarity: float, n:
         for i in range(first):
             least = max(begin, i + 1)
             there = slice(least, None)
-            wanted = (kind[there] != kind[i]) & ~(bands[there] == bands[i]).any(axis=1)
+            wanted = kind[there] != kind[i]
             wanted &= np.minimum(whole[there], whole[i]) >= (similarity - 1e-6) * np.maximum(whole[there], whole[i])
             if not wanted.any():
                 continue
@@ -357,18 +408,19 @@ def near_classes(
     bands: int = BANDS,
     rows: int = ROWS,
     sketch_bits: int = SKETCH_BITS,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """doc_id, class_id for each row of ``docs``.
 
     A class is a connected component of the verified links; class_id is its least doc_id.
-    Weights are term frequency times (1 + idf / highest idf). All pairs that agree on a band are
-    compared, in buckets of any size, unless already of one class. A link is missed only if no
-    band agrees: with 14 bands of 4 that is 6 in 10,000 pairs at similarity 0.8 and none to
-    speak of from 0.85. Defined cases: a document without a word (null, empty, blanks) is a
-    class of its own; one of fewer than ``n`` words is one shingle; rows that repeat a doc_id
-    are compared by the first of their texts in byte order, and have one class; an empty
-    table gives no rows; other columns of ``docs`` are not read.
+    Weights are term frequency times a factor from 1 (in all documents) to 2 (in one of RARE
+    or fewer). All pairs that agree on a band are compared, in buckets of any size, unless
+    already of one class or ruled out by the prefix filter. A link is missed only if no band
+    agrees: with 14 bands of 4 that is 6 in 10,000 pairs at similarity 0.8 and none to speak of
+    from 0.85. Defined cases: a document without a word (null, empty, blanks) is a class of its
+    own; one of fewer than ``n`` words is one shingle; a doc_id on several rows is one document
+    with all their texts, but a text that a lower doc_id has too goes with that one; a row
+    without a doc_id has the class of the documents with its shingles, or none; an empty table
+    gives no rows; other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -379,32 +431,15 @@ def near_classes(
     heads = signed.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("id"), F.max("bands").alias("bands"))
     heads = staged(heads.filter("id is not null"), "heads")
     banded = heads.select("id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1")
+    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     # never broadcast: a hot bucket's rows are then split, and the buckets are of no bounded size
     members = staged(banded.join(staged(buckets, "buckets").hint("merge"), "key"), "members")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        some = passing(rows_in, "doc_id", spark.sparkContext.broadcast(id_filter(wanted)))
-        return staged(some.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-
-    labels, tried = None, None
-    crowded = not members.filter(F.col("n") > SMALL).isEmpty()
-    if not crowded:
-        rounds = 1
-    for turn in range(rounds):
-        pairs = _star_pairs(members) if turn == 0 else _block_pairs(members, labels, turn)
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if turn and pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        found = staged(verify(pairs, texts_of(wanted), weights, similarity, n), "links")
-        labels = connected(found) if labels is None else _merged(labels, found)
-    if crowded:
-        rest = staged(_rest(members, labels), "rest")
-        if not rest.isEmpty():
-            texts = texts_of(rest.select(F.col("id").alias("doc_id")).distinct())
-            labels = _merged(labels, staged(_rest_links(rest, heads, texts, weights, similarity, n), "rest-links"))
+    pairs = staged(_star_pairs(members), "pairs")
+    labels = connected(staged(verify(pairs, rows_in, weights, similarity, n), "links"))
+    rest = staged(_rest(members, labels), "rest")
+    if not rest.isEmpty():
+        labels = _merged(labels, staged(_rest_links(rest, rows_in, weights, sketch_bits, similarity, n), "rest-links"))
     classes = heads.select("sig", "id").join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("class"))
     classes = staged(classes, "classes")
     return signed.select("doc_id", "sig").join(classes, "sig", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))

@@ -65,32 +65,53 @@ def line_brute(rows, least=5):
 
 
 def test_lines(odd, odd_texts, documents, texts, empty):
-    for df, rows, bits in ((odd, list(enumerate(odd_texts)), 25), (documents, list(texts.items()), 24), (documents, list(texts.items()), 16)):
-        got = line_dedup.line_dedup(df.repartition(5), filter_bits=bits)  # a filter that is full gives the same rows
+    for df, rows, most in ((odd, list(enumerate(odd_texts)), 28), (documents, list(texts.items()), 28), (documents, list(texts.items()), 8), (odd, list(enumerate(odd_texts)), 8)):
+        got = line_dedup.line_dedup(df.repartition(5), most_bits=most)  # filters that stay where they are give the same rows
         assert got.columns[-2:] == ["n_lines", "n_dropped"]
         assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got.collect()} == line_brute(rows)
-    assert line_dedup.line_dedup(empty).count() == 0
+    for most in (28, 8):
+        assert line_dedup.line_dedup(empty, most_bits=most).count() == 0
     kept = line_dedup.line_dedup(odd)
     assert set(kept.columns) == set(odd.columns) | {"n_dropped"} and kept.first().recipe == "clash"
 
 
-def test_merged_filters_lose_no_repeat():
+def test_lines_of_documents_without_an_id_stay(spark):
+    line = "A line that is well over forty code points long, it is."
+    rows = [(i, line) for i in range(4)] + [(None, f"{line}\nown")] * 3
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.n_dropped for r in got.collect()} == {0}  # four documents, not five
+    got = line_dedup.line_dedup(spark.createDataFrame([*rows, (9, line)], "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.n_dropped) for r in got) == Counter({**{(i, 1): 1 for i in range(4)}, (9, 0): 1, (None, 0): 3})
+
+
+def test_merged_filters_lose_no_repeat(spark):
     rng = np.random.default_rng(0)
-    parts = [rng.integers(0, 4000, 900).astype(np.uint64) for _ in range(6)]
-    parts = [words.mix(p) for p in parts]
+    parts = [words.mix(rng.integers(0, 4000, 900).astype(np.uint64)) for _ in range(6)]
     rows = []
     for p in parts:
-        seen = line_dedup.Seen(20)
-        for some in np.array_split(p, 3):
-            seen.add(some)
-        rows += list(seen.blocks())
-    merged = list(line_dedup._add_blocks([pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["block", "once", "twice"])]))[0]
-    table = np.zeros(1 << 20, bool)
-    for k, raw in zip(merged.column(0).to_pylist(), merged.column(1).to_pylist()):
-        table[k << 16 : (k + 1) << 16] = np.unpackbits(np.frombuffer(raw, np.uint8))
+        found, counts = np.unique(p, return_counts=True)
+        rows.append((len(found), bytearray(found.tobytes()), bytearray(found[counts > 1].tobytes())))
+    size = line_dedup.Size.of(sum(r[0] for r in rows))
+    table = np.zeros(1 << size.bits, bool)
+    for k, raw in line_dedup.twice_seen(spark.createDataFrame(rows, line_dedup.PARTS).repartition(3), size).collect():
+        table[k << size.inner : (k + 1) << size.inner] = np.unpackbits(np.frombuffer(raw, np.uint8))
     every, counts = np.unique(np.concatenate(parts), return_counts=True)
-    hit = table[line_dedup.positions(every, 20)].all(axis=1)
-    assert hit[counts > 1].all() and hit[counts == 1].mean() < 0.3
+    hit = table[(size.range_of(every) << size.inner)[:, None] + size.places(every)].all(axis=1)
+    assert hit[counts > 1].all() and hit[counts == 1].mean() < 0.05
+
+
+def test_the_filter_is_as_sharp_at_any_size():
+    rng = np.random.default_rng(1)
+    for lines in (1_000_000, 80_000_000, 3_000_000_000_000):
+        size = line_dedup.Size.of(lines)
+        assert lines * 12 <= 1 << size.bits <= lines * 24 and size.inner <= 22
+        # one range's share, all of them lines of one document, in 40 parts
+        share = lines >> size.ranges
+        own = rng.integers(0, 1 << 64, share, dtype=np.uint64)
+        seen = line_dedup.Seen(size)
+        for part in np.array_split(own, 40):
+            seen.add(part, part[:0])
+        assert seen.twice[size.places(own)].all(axis=1).mean() < 0.05
 
 
 def brute_classes(texts: dict, similarity=0.8):
@@ -148,7 +169,7 @@ def test_copies_that_are_near_their_base_only_are_one_class(spark):
     texts = {}
     for d in range(500):  # each like the base, few like each other; the base is not the least id
         text = list(base)
-        for at in rng.choice(np.arange(5, 595), 6, replace=False) if d != 250 else []:
+        for at in rng.choice(np.arange(5, 595), 7, replace=False) if d != 250 else []:
             text[at] = f"e{d}x{at}"
         texts[d] = " ".join(text)
     some, links = brute_classes({d: texts[d] for d in range(240, 261)})
@@ -157,6 +178,57 @@ def test_copies_that_are_near_their_base_only_are_one_class(spark):
     assert set(got.values()) == {0}
 
 
+def _templated(documents=240, template=400, own=36):
+    """Documents of one template, each with words of its own, in pairs that share 12 or 16 of these."""
+    frame = " ".join(f"t{i}" for i in range(template))
+    texts = {}
+    for pair in range(documents // 2):
+        shared = 12 if pair % 2 else 16
+        for k in (0, 1):
+            texts[2 * pair + k] = f"{frame} " + " ".join(f"p{pair}w{i}" if i < shared else f"p{pair}w{i}x{k}" for i in range(own))
+    return texts
+
+
+def test_no_pair_of_a_template_is_lost(spark):
+    texts = _templated()
+    wanted, links = brute_classes(texts)
+    assert len(links) == 120  # the pairs and no others
+    found = near_dedup.near_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4))
+    assert {r.doc_id: r.class_id for r in found.collect()} == wanted
+
+
+def test_prefixes_of_similar_documents_meet(documents, texts):
+    """Every similar pair shares a shingle in both prefixes, the lighter document's the short one."""
+    sample = {**{d: t for d, t in texts.items() if t and len(t) < 4000}, **{10**6 + d: t for d, t in _templated(60).items()}}
+    _, links = brute_classes(sample)
+    table = pa.table({"doc_id": list(sample), "label": list(sample), "text": list(sample.values())})
+    sketch = np.zeros(1 << 20, np.int64)
+    for _, keys, _, _ in near_dedup.doc_shingles(table.column("text").combine_chunks()):
+        sketch += np.bincount((keys & np.uint64((1 << 20) - 1)).astype(np.int64), minlength=1 << 20)
+
+    spark = documents.sparkSession
+    weights, counts = (spark.sparkContext.broadcast(x) for x in (near_dedup.idf_table(sketch, len(sample)), sketch))
+    rows = near_dedup.prefixes(spark.createDataFrame(table.to_pandas()).repartition(4), weights, counts).collect()
+    whole, probe, index = {r.id: r.whole for r in rows}, defaultdict(set), defaultdict(set)
+    for r in rows:
+        probe[r.id].add(r.key)
+        if r.indexed:
+            index[r.id].add(r.key)
+    assert len(links) > 50
+    for a, b in links:
+        light, heavy = sorted((a, b), key=lambda d: whole[d])
+        assert index[light] & probe[heavy]
+
+
+def test_weights_depend_on_shares_not_on_size():
+    rng = np.random.default_rng(0)
+    for docs in (20_000, 20_000_000):
+        sketch = rng.poisson(docs * 300 / (1 << 20), 1 << 20)
+        sketch[:3] += [1, docs // 100, docs]
+        table = near_dedup.idf_table(sketch, docs)
+        assert table[0] > 1.9 and abs(table[1] - 1.664) < 0.02 and table[2] < 1.01
+
+
 def test_near_odd(odd, odd_texts, empty, spark):
     got = {r.doc_id: r.class_id for r in near_dedup.near_classes(odd).collect()}
     assert set(got) == set(range(len(odd_texts)))
@@ -165,6 +237,9 @@ def test_near_odd(odd, odd_texts, empty, spark):
     assert near_dedup.near_classes(empty).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "x y z u v w"), (None, "a b c d e f")], "doc_id long, text string")
     assert Counter(r.doc_id for r in near_dedup.near_classes(twice).collect()) == Counter({1: 2, None: 1})
+    a, b = (" ".join(f"{k}{i}" for i in range(80)) for k in "ab")
+    linked = spark.createDataFrame([(1, a), (1, b), (2, f"{a} x"), (3, f"{b} x"), (4, "a b c")], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dedup.near_classes(linked).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
 
 
 def test_sampling_agrees_as_often_as_texts_are_similar():
@@ -186,6 +261,15 @@ def test_components_of_paths_and_stars(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_hubs_are_salted(spark, monkeypatch):
+    from snapstride.llm import components
+
+    monkeypatch.setattr(components, "HUB", 20)
+    links = [(500, i) for i in range(1, 200)] + [(i, i + 1) for i in range(600, 640)] + [(640, 3)]
+    got = {r.id: r.label for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(got.values()) == {1} and len(got) == 241
+
+
 def test_id_filter_parts_rows_without_loss(spark):
     rows = spark.range(2000).select("id", F.lit("x").alias("v")).unionByName(spark.createDataFrame([(None, "n")], "id long, v string"))
     ids = spark.range(0, 2000, 3)
@@ -193,6 +277,18 @@ def test_id_filter_parts_rows_without_loss(spark):
     assert idfilter.without(rows, ids.limit(0), "id").count() == 2001
 
 
+def test_id_filters_are_sized_by_their_ids():
+    rng = np.random.default_rng(2)
+    for n in (1000, 200_000):
+        bits = idfilter.bits_for(n)
+        table = np.zeros(1 << bits, bool)
+        table[idfilter._places(np.arange(n), bits)] = True
+        others = rng.integers(n, 1 << 60, 50_000)
+        assert idfilter.bit_at(np.packbits(table), idfilter._places(np.arange(n), bits)).all()
+        assert idfilter.bit_at(np.packbits(table), idfilter._places(others, bits)).all(axis=1).mean() < 0.03
+    assert idfilter.bits_for(0) == 16 and idfilter.bits_for(10**12) == idfilter.MOST_BITS
+
+
 def test_word_and_shingle_hashes():
     column = pa.array(["a bb  a", None, "", "bb", "x y z u v w x y z u v", "\t\n"])
     for part in (column, column.slice(1, 4)):
