@@ -6,8 +6,9 @@ random order without replacement. A source whose target is e times its size give
 complete epochs and then the documents at the front of that order until the rest is met.
 
 A running sum over a whole source would put a hot source into one task. The keys therefore
-fall into ``buckets`` equal ranges; sums by (source, bucket) give what stands before each
-bucket, and only the running sum inside a bucket touches documents.
+fall into equal ranges, about one for each BUCKET_ROWS documents; sums by (source, bucket)
+give what stands before each bucket, and only the running sum inside a bucket touches
+documents. The order, and so the mix, does not depend on the number of ranges.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import free_name, row_keys, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-BUCKETS = 1024
+BUCKET_ROWS = 4096
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -82,7 +84,7 @@ def plan_mix(
     weights=WEIGHTS,
     share: float = SHARE,
     most: float = MOST,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
 
@@ -101,8 +103,11 @@ def plan_mix(
         n_words(text).alias("size"),
         F.round(key, 12).alias("key"),
     )
+    rows = staged(rows, "mixkeys")
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, rows.count() // BUCKET_ROWS))
     # equal ranges of 1 - key, so that bucket 0 is taken first
-    rows = staged(rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.col("key")) * buckets)).cast("int")), "mixkeys")
+    rows = rows.withColumn("bucket", F.least(F.lit(buckets - 1), F.floor((1 - F.col("key")) * buckets)).cast("int"))
 
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     sizes = sums.groupBy("source").agg(F.sum("sum").alias("source_size"))
@@ -120,3 +125,17 @@ def plan_mix(
     copies = F.col("epochs") + F.when(chosen, F.lit(1)).otherwise(F.lit(0))
     planned = joined.select("d.doc_id", source_name(F.col("d.source")).alias("source"), "d.size", "m.source_size", "m.target", copies.cast("long").alias("copies"))
     return planned.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` as often as ``plan_mix`` takes them: not at all, once or more.
+
+    Defined cases: as ``plan_mix``; rows that repeat an id, or have none, are planned row by
+    row, by a number that the rows get in the order in which they are read.
+    """
+    rows, key = row_keys(docs, id_col)
+    mine, copies, copy = (free_name(rows, x) for x in ("mix_id", "mix_copies", "mix_copy"))
+    plan = plan_mix(rows, id_col=key, **options).select(F.col("doc_id").alias(mine), F.col("copies").alias(copies)).filter(F.col(copies) > 0)
+    taken = rows.join(plan.hint("merge"), rows[key] == plan[mine])
+    repeated = taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

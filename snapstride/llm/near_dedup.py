@@ -10,10 +10,11 @@ candidate pair is verified by the weighted Jaccard similarity of its whole texts
 Documents with the same shingles and counts are one from the start, so copies cost nothing.
 Small buckets give all their pairs. In a large one every member meets the leader, the member
 that shares most buckets with others. Where a large bucket then still holds several classes,
-its members are compared in full, but by a prefix filter and not pair by pair: two documents
-of similarity t share a shingle among the rarest that make up 1 - t of the heavier one's
-weight and (1 - t) / (1 + t) of the lighter one's. So no pair that agrees on a band is lost,
-and texts of one template are brought together by what they have besides it.
+members outside its largest class are compared with all others, block by block, so that texts
+move by block. If they are too many for that, a prefix filter deals them out first: two
+documents of similarity t share a shingle among the rarest that make up 1 - t of the heavier
+one's weight and (1 - t) / (1 + t) of the lighter one's, so texts of one template are brought
+together by what they have besides it. No pair that agrees on a band is lost.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .batches import bounded
 from .components import connected
-from .idfilter import id_filter, passing
-from .scratch import staged
+from .idfilter import id_filter, passing, without
+from .scratch import row_keys, staged
 from .words import LOWER, find_words, mix, plain, shingles, slices, text_bytes
 
 N = 5
@@ -42,6 +43,8 @@ RARE = 1024
 SMALL = 8
 #: Members and characters of a block that meets a leader, or another block.
 BLOCK = 256
+#: Members of one bucket outside its largest class that are still compared block by block.
+VAST = 1024
 BLOCK_CHARS = 4 << 20
 _SLICE_WORDS = 200_000
 
@@ -257,10 +260,12 @@ def _star_pairs(members: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, label) of the members of large buckets that hold more than one class."""
-    named = members.filter(F.col("n") > SMALL).select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("key")
-    return named.join(staged(mixed, "mixed").hint("merge"), "key", "left_semi").select("id", "label").distinct()
+    """(key, id, label, inner) of large buckets with more than one class; inner: in its largest."""
+    large = members.filter(F.col("n") > SMALL).select("key", "id")
+    named = large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    sizes = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    hubs = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("hub"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    return named.join(staged(hubs, "hubs").hint("merge"), "key").select("key", "id", "label", (F.col("label") == F.col("hub")).alias("inner"))
 
 
 def prefixes(docs: DataFrame, weights, counts, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
@@ -296,11 +301,25 @@ def prefixes(docs: DataFrame, weights, counts, similarity: float = SIMILARITY, n
     return docs.select("doc_id", "label", "text").mapInArrow(run, "key long, id long, label long, whole double, indexed boolean")
 
 
-def _rest_links(rest: DataFrame, rows: DataFrame, weights, sketch_bits: int, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
-    """Links (a, b) that join all classes of ``rest`` with a similar pair between them."""
+def _rest_links(rest: DataFrame, heads: DataFrame, rows: DataFrame, weights, sketch_bits: int, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
+    """Links (a, b) that join all classes of ``rest`` with a similar pair between them in one bucket."""
     spark = rest.sparkSession
-    some = passing(rows, "doc_id", spark.sparkContext.broadcast(id_filter(rest.select("id"))))
-    docs = staged(some.join(rest.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id"), "rest-texts")
+    ids = staged(rest.select(F.col("id").alias("doc_id")).distinct(), "rest-ids")
+    some = passing(rows, "doc_id", spark.sparkContext.broadcast(id_filter(ids)))
+    texts = staged(some.join(ids.hint("merge"), "doc_id", "left_semi"), "rest-texts")
+    vast = staged(rest.groupBy("key").agg(F.count_if(~F.col("inner")).alias("others")).filter(F.col("others") > VAST).select("key"), "vast")
+    if vast.isEmpty():
+        return _block_links(rest.join(heads.select("id", "bands"), "id"), texts, weights, similarity, n)
+    usual = rest.join(vast.hint("merge"), "key", "left_anti").join(heads.select("id", "bands"), "id")
+    links = staged(_block_links(usual, texts, weights, similarity, n), "block-links")
+    hard = rest.join(vast.hint("merge"), "key", "left_semi").select(F.col("id").alias("doc_id"), "label").distinct()
+    return links.unionByName(_prefix_links(texts.join(staged(hard, "hard").hint("merge"), "doc_id"), weights, sketch_bits, similarity, n))
+
+
+def _prefix_links(docs: DataFrame, weights, sketch_bits: int, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
+    """Links (a, b) that join all classes of (doc_id, label, text) with a similar pair between them."""
+    spark = docs.sparkSession
+    docs = staged(docs, "hard-texts")
     counts = spark.sparkContext.broadcast(frequency_sketch(docs, sketch_bits, n)[0])
     prefix = staged(prefixes(docs, weights, counts, similarity, n), "prefixes")
     groups = prefix.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most"), F.bool_or("indexed").alias("any"))
@@ -316,33 +335,39 @@ def _rest_links(rest: DataFrame, rows: DataFrame, weights, sketch_bits: int, sim
     large = shared.filter(F.col("n") > SMALL).select("key", "id", "label", (~F.col("indexed")).alias("inner")).distinct()
     if large.isEmpty():
         return links
-    return links.unionByName(_block_links(large, docs.select(F.col("doc_id").alias("id"), "text"), weights, similarity, n))
+    return links.unionByName(_block_links(large, docs.select("doc_id", "text"), weights, similarity, n))
 
 
-def _block_links(large: DataFrame, texts: DataFrame, weights, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
-    """Links (a, b) that join the classes in each group of ``large``, from all its cross-class pairs.
+def _block_links(groups: DataFrame, texts: DataFrame, weights, similarity: float = SIMILARITY, n: int = N) -> DataFrame:
+    """Links (a, b) that join the classes in each group (key), from all its cross-class pairs.
 
-    A group is dealt into blocks of bounded size, its ``inner`` members apart, which are not
-    compared with one another; each two other blocks meet, so that texts move by block and
-    not by pair. Of the links of two blocks only those that join two classes are returned.
+    groups: key, id, label, inner, and bands where the key is one of them. A group is dealt into
+    blocks of bounded size, its inner members apart, which are not compared with one another;
+    each two other blocks meet, so that texts move by block and not by pair. With bands, a
+    pair is compared in the bucket of its first common band only. Of the links of two blocks only
+    those that join two classes are returned.
     """
-    sized = large.join(texts.select("id", F.length("text").alias("chars")), "id")
+    texts = texts.withColumnRenamed("doc_id", "id")
+    sized = groups.join(texts.select("id", F.length("text").alias("chars")), "id")
 
     def blocks(inner: bool):
         of = F.when(F.col("inner") == inner, 1)
         return F.ceil(F.greatest(F.count(of) / BLOCK, F.sum(of * F.col("chars").cast("long")) / BLOCK_CHARS)).cast("int")
 
     counts = staged(sized.groupBy("key").agg(F.greatest(blocks(False), F.lit(1)).alias("others"), F.greatest(blocks(True), F.lit(1)).alias("inners")), "block-counts")
-    placed = large.join(counts.hint("merge"), "key")
+    placed = groups.join(counts.hint("merge"), "key")
     spot = F.xxhash64("id", "key")
-    block = F.when(F.col("inner"), F.col("others") + F.pmod(spot, F.col("inners"))).otherwise(F.pmod(spot, F.col("others"))).cast("int")
-    last = F.when(F.col("inner"), F.col("others")).otherwise(F.col("others") + F.col("inners")) - 1
+    # one block is enough where all fit; else those of the largest class are blocks of their own
+    one = (F.col("others") == 1) & (F.col("inners") == 1)
+    block = F.when(F.col("inner") & ~one, F.col("others") + F.pmod(spot, F.col("inners"))).otherwise(F.pmod(spot, F.col("others"))).cast("int")
+    last = F.when(one, 0).when(F.col("inner"), F.col("others") - 1).otherwise(F.col("others") + F.col("inners") - 1)
     placed = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    placed = placed.select("key", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    kept = [c for c in ("bands",) if c in groups.columns]
+    placed = placed.select("key", "id", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *kept)
     placed = placed.join(texts.hint("merge"), "id")
 
     def run(group: tuple, table: pa.Table) -> pa.Table:
-        return pa.table(_joining(table.sort_by([("block", "ascending"), ("id", "ascending")]), weights.value, similarity, n))
+        return pa.table(_joining(table.sort_by([("block", "ascending"), ("id", "ascending")]), group[0].as_py(), weights.value, similarity, n))
 
     return placed.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -351,11 +376,16 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[bounds])
 
 
-def _joining(rows: pa.Table, table: np.ndarray, similarity: float, n: int) -> dict:
+def _joining(rows: pa.Table, key: int, table: np.ndarray, similarity: float, n: int) -> dict:
     """Verified links between classes of the one or two blocks in ``rows``, sorted by block."""
     ids, block = (rows.column(c).to_numpy() for c in ("id", "block"))
     _, kind = np.unique(rows.column("label").to_numpy(), return_inverse=True)
     vectors = _vectors(rows.column("text"), table, n) if len(np.unique(kind)) > 1 else []
+    bands = np.zeros((len(ids), 0), np.int64)  # those before this one
+    if "bands" in rows.column_names:
+        bands = np.array(rows.column("bands").to_pylist(), np.int64)
+        here = (bands == key).any(axis=0)  # a document of several texts has several lists of bands
+        bands = bands[:, : int(here.argmax()) if here.any() else 0]
     out: dict = {"a": [], "b": []}
     if vectors:
         first = int(np.searchsorted(block, block[0], "right"))
@@ -368,7 +398,7 @@ def _joining(rows: pa.Table, table: np.ndarray, similarity: float, n: int) -> di
         for i in range(first):
             least = max(begin, i + 1)
             there = slice(least, None)
-            wanted = kind[there] != kind[i]
+            wanted = (kind[there] != kind[i]) & ~(bands[there] == bands[i]).any(axis=1)
             wanted &= np.minimum(whole[there], whole[i]) >= (similarity - 1e-6) * np.maximum(whole[there], whole[i])
             if not wanted.any():
                 continue
@@ -439,7 +469,25 @@ def near_classes(
     labels = connected(staged(verify(pairs, rows_in, weights, similarity, n), "links"))
     rest = staged(_rest(members, labels), "rest")
     if not rest.isEmpty():
-        labels = _merged(labels, staged(_rest_links(rest, rows_in, weights, sketch_bits, similarity, n), "rest-links"))
+        labels = _merged(labels, staged(_rest_links(rest, heads, rows_in, weights, sketch_bits, similarity, n), "rest-links"))
     classes = heads.select("sig", "id").join(labels, "id", "left").select("sig", F.coalesce("label", "id").alias("class"))
     classes = staged(classes, "classes")
     return signed.select("doc_id", "sig").join(classes, "sig", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without those near an earlier one: of each class the least id stays.
+
+    Defined cases: as ``near_classes``, but rows that repeat an id are told apart, and of such
+    rows in one class one stays; rows without an id are compared too and come last.
+    """
+    rows, key = row_keys(docs, id_col)
+    classes = near_classes(rows, id_col=key, text_col=text_col, **options)
+    if key == id_col:
+        gone = classes.filter("doc_id <> class_id").select("doc_id")
+        return without(rows, staged(gone, "dropped"), key)
+    names = rows.select(F.col(key).alias("doc_id"), F.col(id_col).cast("long").alias("name"))
+    named = staged(classes.join(names, "doc_id"), "named")
+    first = named.groupBy("class_id").agg(F.min(F.struct(F.col("name").isNull(), "name", "doc_id"))["doc_id"].alias("first"))
+    gone = named.join(staged(first, "firsts").hint("merge"), "class_id").filter("doc_id <> first").select("doc_id")
+    return without(rows, staged(gone, "dropped"), key).drop(key)

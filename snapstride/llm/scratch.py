@@ -7,10 +7,11 @@ re-read, never a recomputation of earlier stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-__all__ = ["free_name", "shared_dir", "staged"]
+__all__ = ["free_name", "row_keys", "shared_dir", "staged"]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -27,3 +28,15 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def row_keys(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """``docs`` and the name of a column that tells all its rows apart: ``id_col`` if it does.
+
+    Where ids are null or repeat, the rows are written with a number of their own.
+    """
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if ids.filter("id is null or n > 1").isEmpty():
+        return docs, id_col
+    key = free_name(docs, "row_key")
+    return staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from snapstride.llm import exact_dedup, idfilter, line_dedup, near_dedup, words
@@ -189,7 +190,9 @@ def _templated(documents=240, template=400, own=36):
     return texts
 
 
-def test_no_pair_of_a_template_is_lost(spark):
+@pytest.mark.parametrize("vast", [16, 1024])
+def test_no_pair_of_a_template_is_lost(spark, monkeypatch, vast):
+    monkeypatch.setattr(near_dedup, "VAST", vast)  # by the prefix filter, and block by block
     texts = _templated()
     wanted, links = brute_classes(texts)
     assert len(links) == 120  # the pairs and no others

@@ -31,6 +31,17 @@ def test_stages_one_by_one(spark, documents):
     assert all(x.columns == documents.columns for x in (a, b, c, d))
 
 
+def test_repeated_and_missing_ids_in_stages(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(80)) for k in "ab")
+    rows = [(1, a), (1, a), (1, b), (2, f"{a} x"), (None, a), (None, b), (None, "c d e"), (3, None), (3, None)]
+    df = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_stage(spark, df, SF)
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(1, a), (1, b), (None, "c d e"), (3, None), (3, None)], "doc_id long, text string").collect()))
+    twice = spark.createDataFrame([(7, "one two three", "s")] * 40 + [(None, "one two", "t")] * 20, "doc_id long, text string, source string")
+    sizes = {r.source: r.n for r in corpus_pipeline.mix_stage(spark, twice, SF).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    assert sizes["t"] in range(78, 81) or sizes["s"] + sizes["t"] in range(236, 245)
+
+
 def test_run_on_empty_and_odd_tables(spark, odd, empty, tmp_path):
     for name, df in (("odd", odd), ("empty", empty)):
         path = tmp_path / name

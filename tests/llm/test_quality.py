@@ -119,3 +119,108 @@ def test_prediction_does_not_see_the_label(documents):
     swapped = documents.withColumn("lang", F.when(language.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang")))
     a, b = ({(r.doc_id, r.lang_pred, r.score) for r in language.identify(d).collect()} for d in (documents, swapped))
     assert a == b
+
+
+def naive_language(docs, share=0.5, least=3, n=4, bits=18):
+    """The same filters from dictionaries, n-gram by n-gram; docs: (id, text, lang)."""
+    def grams(text):
+        raw = re.sub(rb"[A-Z]", lambda m: m.group().lower(), (text or "").encode())
+        return [int.from_bytes(raw[i : i + n], "little") for i in range(len(raw) - n + 1)]
+
+    def places(g):
+        return [((g * m) % (1 << 64)) >> (64 - bits) for m in language._MULTIPLIERS]
+
+    counts, totals = [Counter(), Counter()], Counter()
+    for d, text, lang in docs:
+        if text is not None and lang is not None and language.fold_of(d):
+            for g in grams(text):
+                totals[lang] += 1
+                for k, p in enumerate(places(g)):
+                    counts[k][lang, p] += 1
+    langs = sorted({x for _, t, x in docs if x is not None} & ({*totals} | {x for d, t, x in docs if t is not None and language.fold_of(d)}))
+    best = [Counter(), Counter()]
+    for k in (0, 1):
+        for (lang, p), c in counts[k].items():
+            best[k][p] = max(best[k][p], c / totals[lang])
+    members = [{(lang, p) for (lang, p), c in counts[k].items() if c >= least and c / totals[lang] >= share * best[k][p]} for k in (0, 1)]
+    chance = {x: np.prod([sum(lang == x for lang, _ in members[k]) / (1 << bits) for k in (0, 1)]) for x in langs}
+    out = {}
+    for d, text, _ in docs:
+        if not text or not any(c.isalpha() for c in text) or not langs:
+            out[d] = ("und", 0.0)
+            continue
+        own = [places(g) for g in grams(text)]
+        right = [max(sum((x, a) in members[0] and (x, b) in members[1] for a, b in own) - len(own) * chance[x], 0) / (1 - chance[x]) for x in langs]
+        i = int(np.argmax(right))
+        out[d] = (langs[i], right[i] / sum(right) if sum(right) else 0.0)
+    return out
+
+
+def test_predictions_are_those_of_brute_force(spark, documents):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.select("doc_id", "text", "lang").collect() if len(r.text or "") < 800][:150]
+    rows += [(10**6, None, "en"), (10**6 + 1, "12 34", "de"), (10**6 + 2, "ab", None), (10**6 + 3, "\u6f22\u5b57\u6f22\u5b57", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = naive_language(rows)
+    for r in language.identify(df).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-9, r
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = np.random.default_rng(3)
+    letters = [[chr(0x4E00 + 40 * i + j) for j in range(20)] for i in range(90)]
+    rows = [(k, "".join(rng.choice(letters[k % 90], 60)), f"l{k % 90:02d}") for k in range(1800)]
+    rows += [(10**6, letters[3][0] + "?", "l03")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(df).collect()}
+    assert np.mean([got[d].lang_pred == x for d, _, x in rows if got[d].held_out]) > 0.95
+    same = spark.createDataFrame([(k, "one and the same text", x) for k, x in enumerate(["b", "a", "c"] * 20)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(same).collect()} == {"a"}  # a tie
+
+
+def naive_score(forest, row):
+    """Path by path, node by node."""
+    total = 0.0
+    for column, value, length in zip(forest.column, forest.value, forest.length):
+        node = 0
+        while column[node] >= 0:
+            node = 2 * node + (1 if row[column[node]] < value[node] else 2)
+        total += length[node]
+    n = forest.rows
+    expected = 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+    return 2 ** -(total / len(forest.column) / max(1e-9, expected))
+
+
+def test_verdicts_are_those_of_brute_force(documents, texts, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = documents.select("doc_id", "text")
+    forest = quality.fit_forest(rows, labels)
+    got = {r.doc_id: r for r in quality.quality(documents, labels).collect()}
+    for d in sorted(texts)[::7]:
+        text = texts[d] or ""
+        n_words, word_chars, n_symbols, _, n_repeat = stats(text)
+        words = WORD.findall(text)
+        marks, upper = sum(c in "!?" for c in text), sum("A" <= c <= "Z" for c in text)
+        doubled = sum(a == b for a, b in zip(words, words[1:]))
+        w, c = n_words + quality.PRIOR_WORDS, word_chars + quality.PRIOR_WORDS * quality.PRIOR_CHARS
+        row = [x / (x + h) for x, h in ((n_symbols / w, 0.1), (marks / w, 0.1), (upper / c, 0.1), (doubled / w, 0.1), (c / w, 10.0))]
+        score = naive_score(forest, row)
+        assert abs(got[d].score - score) < 1e-9
+        assert got[d].kept == (not (n_words < 10 or 100 * n_repeat > 20 * n_words) and score <= forest.threshold)
+
+
+def test_reruns_agree_where_labelled_ids_repeat(documents, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    again = documents.unionByName(documents.withColumn("text", F.concat("text", F.lit(" ### !! ##")))).select("doc_id", "text")
+    a, b = (quality.fit_forest(x, labels) for x in (again.repartition(3), again.repartition(7)))
+    assert (a.value == b.value).all() and a.threshold == b.threshold
+
+
+def test_held_out_labels_agree(spark):
+    """Fitted on four fifths of the labels, judged on the last."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(5))
+    rows = quality.quality(docs, labels.filter(fold != 0)).filter("not base_failed").join(labels.filter(fold == 0), "doc_id")
+    kept = {r.quality: r.kept for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    print("held out", kept)
+    assert kept[1] > 0.98 and kept[0] < 0.2
