@@ -12,14 +12,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapstride.llm.idfilter import without
 from snapstride.llm.line_dedup import line_dedup
-from snapstride.llm.mixing import plan_mix
-from snapstride.llm.near_dedup import near_classes
+from snapstride.llm.mixing import mixed
+from snapstride.llm.near_dedup import keep_first
 from snapstride.llm.packing import pack
 from snapstride.llm.quality import keep_good
 from snapstride.llm.queries import prepared
-from snapstride.llm.scratch import free_name, staged
+from snapstride.llm.scratch import staged
 
 #: No SQL: the forest's verdict, the near-duplicate classes and the packing are not
 #: expressible; tests hold each stage against a brute-force version.
@@ -27,13 +26,21 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the forest reject go."""
+    """Documents that the base rules or the forest reject go.
+
+    A null or empty text goes; repeated rows are judged one by one; without labels only the
+    base rules decide.
+    """
     prepared(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose lines that many documents share; ``n_chars`` follows the text."""
+    """Texts lose lines that many documents share; ``n_chars`` follows the text.
+
+    A null text becomes empty, as does one all of whose lines go; rows that repeat a doc_id are
+    one document and are each cleaned; rows without a doc_id keep their lines.
+    """
     prepared(spark)
     cleaned = line_dedup(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
     if "n_chars" in docs.columns:
@@ -43,24 +50,30 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the least doc_id stays."""
+    """Of each class of near-duplicates the least doc_id stays.
+
+    Rows that repeat a doc_id, or have none, are told apart; of equal ones one stays. Texts
+    without a word are a class each.
+    """
     prepared(spark)
-    classes = near_classes(docs)
-    return without(docs, staged(classes.filter("doc_id <> class_id").select("doc_id"), "dropped"), "doc_id")
+    return keep_first(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Rows that repeat a doc_id, or have none, are planned one by one; texts without a word are
+    taken in whole epochs of their source only; null sources are one source.
+    """
     prepared(spark)
-    key, n, copy = (free_name(docs, x) for x in ("mix_id", "mix_copies", "mix_copy"))
-    plan = plan_mix(docs).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(n)).filter(F.col(n) > 0)
-    taken = docs.join(plan.hint("merge"), docs["doc_id"].eqNullSafe(plan[key]))
-    repeated = taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens, as pieces of documents."""
+    """Sequences of at most 4096 tokens, as pieces of documents.
+
+    A null or empty text is its end token alone; repeated rows are packed one by one.
+    """
     prepared(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
