@@ -48,6 +48,15 @@ REASON_RULES = [
     (r"\brest\b|load\s+management|maintenance|\bcoach|personal|not\s+with\s+team|g[- ]?league|two[- ]way|suspension|\btrade\b|\bwaiv", "rest"),
 ]
 
+#: Reports that are no injury, and the categories a report can have.
+NON_INJURY = r"protocol|ineligible|not available|^\s*$"
+CATEGORIES = ["season_ending", "major", "moderate", "minor", "illness", "recovery", "rest", "unknown"]
+
+
+def non_injury(text: Column) -> Column:
+    """Whether a report names something that is no injury, or nothing."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(NON_INJURY)
+
 
 def one_spaced(*parts: Column) -> Column:
     """Non-null parts as one lower-case string, dashes and underscores as blanks."""

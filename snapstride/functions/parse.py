@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,11 @@ def number(text: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def whole(text: Column) -> Column:
+    """A long, cut towards 0; null for what ``number`` does not read."""
+    return number(text).cast("long")
+
+
 def game_date(raw: Column) -> Column:
     """ISO date or datetime, or ``Jan 05, 2024``; null if neither."""
     iso = F.regexp_extract(raw, r"^(\d{4}-\d{2}-\d{2})", 1)
@@ -53,6 +58,34 @@ def true_shooting(points: Column, attempts: Column, throws: Column) -> Column:
     return F.when(weight > 0, points / weight)
 
 
+def opponent(matchup: Column) -> Column:
+    """The trailing token of ``X vs. Y`` or ``X @ Y``; null for other texts."""
+    return F.nullif(F.regexp_extract(matchup, r"(?:vs\.|@)\s*(\S+)\s*$", 1), F.lit(""))
+
+
+def history_points(landed: DataFrame, key: str, raw: str) -> DataFrame:
+    """One row for each landed {t, p} point that has both: key, at (UTC), price, best_bid, best_ask."""
+    points = F.from_json(raw, "struct<history:array<struct<t:bigint,p:double>>>")
+    rows = landed.select(key, F.explode(points["history"]).alias("h")).filter("h.t is not null and h.p is not null")
+    depth = [F.lit(None).cast("double").alias(n) for n in ("best_bid", "best_ask")]
+    return rows.select(key, F.timestamp_seconds("h.t").cast("timestamp_ntz").alias("at"), F.col("h.p").alias("price"), *depth)
+
+
+#: Positions as pages name them.
+POSITIONS = {"Point Guard": "PG", "Shooting Guard": "SG", "Small Forward": "SF", "Power Forward": "PF", "Center": "C"}
+
+
+def player_page(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, name, position (the first one listed), born, first_season, last_season of player pages."""
+    text = F.col(html)
+    listed = F.regexp_extract(text, f"Position:\\s*({'|'.join(POSITIONS)})", 1)
+    codes = F.create_map(*[F.lit(x) for pair in POSITIONS.items() for x in pair])
+    starts = F.transform(F.regexp_extract_all(text, F.lit(r'data-stat="season"[^>]*>(\d{4})-\d\d'), F.lit(1)), lambda x: x.cast("int"))
+    name = F.nullif(F.trim(F.regexp_extract(text, r"<h1[^>]*>\s*(?:<span[^>]*>)?([^<]*)", 1)), F.lit(""))
+    born = F.regexp_extract(text, r'data-birth="(\d{4}-\d\d-\d\d)"', 1).try_cast("date")
+    return pages.select(key, name.alias("name"), codes[F.nullif(listed, F.lit(""))].alias("position"), born.alias("born"), F.array_min(starts).alias("first_season"), F.array_max(starts).alias("last_season"))
+
+
 class _Table(HTMLParser):
     """Rows of the table with an id: data-stat -> (text, first link)."""
 

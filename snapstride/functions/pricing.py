@@ -16,6 +16,7 @@ CROSSOVER, CAP, FLOOR = 0.03, 0.10, 0.005
 #: Upper bound of the price bucket -> dollars near the touch.
 DEPTH = ((0.02, 40.0), (0.05, 80.0), (0.10, 150.0), (0.25, 300.0), (0.50, 600.0), (None, 900.0))
 IMPACT = 0.35
+# Depth multiplier and exit steepening of each liquidity regime.
 REGIMES = {"illiquid": (0.25, 1.6), "normal": (1.0, 1.2), "liquid": (4.0, 1.0)}
 
 
@@ -97,6 +98,11 @@ def kelly_star(p: Column, b: Column) -> Column:
     return clip((p * (b + 1) - 1) / b, 0.0, 1.0)
 
 
+def growth_slope(f: Column, p: Column, b: Column) -> Column:
+    """The first derivative of expected log growth."""
+    return p * b / (1 + b * f) - (1 - p) / (1 - f)
+
+
 def curvature(f: Column, p: Column, b: Column) -> Column:
     """Minus the second derivative of expected log growth."""
     return p * b * b / F.pow(1 + b * f, F.lit(2)) + (1 - p) / F.pow(1 - f, F.lit(2))
@@ -120,21 +126,110 @@ def half_life(frac: Column) -> Column:
     return 17.0 - 8.0 * clip(frac, 0.0, 1.0)
 
 
+def _wait_terms(needed: Column, j: Column, log_term: Column, q: Column) -> Column:
+    """From the log chance that the last needed success is trial j, that for trial j + 1."""
+    return log_term + F.ln(q) + F.ln(j / (j + 1 - needed))
+
+
 def binomial_sf(needed: Column, n: Column, p: Column) -> Column:
-    """P(successes >= needed) of n trials, by the ratio of neighbouring terms.
+    """P(successes >= needed) of n trials, for any n.
 
-    The smaller tail is summed: from 0 to needed - 1, one product at a time, starting at
-    (1 - p)^n, which is safe in doubles for n up to some hundreds at p up to 0.995.
+    That is the chance that the last needed success comes at trial ``needed`` to n. The terms
+    are all positive and each follows from the one before by a ratio, in logs, so nothing
+    underflows or cancels.
     """
     q = 1 - p
-    state = F.struct(F.pow(q, n).alias("term"), F.lit(0.0).alias("sum"))
-    odds = p / q
+    state = F.struct((needed * F.ln(p)).alias("term"), F.lit(0.0).alias("sum"))
+
+    def add(s: Column, j: Column) -> Column:
+        return F.struct(_wait_terms(needed, j, s["term"], q).alias("term"), (s["sum"] + F.exp(s["term"])).alias("sum"))
+
+    over = F.aggregate(F.sequence(needed, F.greatest(n, needed)), state, add, lambda s: s["sum"])
+    return F.when(needed <= 0, F.lit(1.0)).when(n < needed, F.lit(0.0)).when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(1.0)).otherwise(clip(over, 0.0, 1.0))
+
+
+def mixture_sf(needed: Column, n: Column, p: Column, misses: Column, total: Column) -> Column:
+    """Mean of binomial_sf(needed, n - miss, p) over a sample of misses.
+
+    misses: how often each miss from 0 on is in the sample; ``total`` counts those, and the
+    misses that never ended, which leave no trial. One walk over the trials serves all misses.
+    """
+    q = 1 - p
+    state = F.struct((needed * F.ln(p)).alias("term"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("mix"))
+
+    def add(s: Column, j: Column) -> Column:
+        upto = s["sum"] + F.exp(s["term"])
+        weight = F.coalesce(F.get(misses, (n - j).cast("int")), F.lit(0)).cast("double")
+        return F.struct(_wait_terms(needed, j, s["term"], q).alias("term"), upto.alias("sum"), (s["mix"] + weight * upto).alias("mix"))
+
+    mixed = F.aggregate(F.sequence(needed, F.greatest(n, needed)), state, add, lambda s: s["mix"]) / total
+    return F.when(needed <= 0, F.lit(1.0)).when(n < needed, F.lit(0.0)).otherwise(mixed)
+
+
+#: Price tiers by their upper ends, parts of a season, and bins of abs logit.
+PRICE_TIERS = [(0.005, "centre"), (0.03, "deep_lo"), (0.10, "lo"), (0.30, "mid_lo"), (0.70, "centre"), (0.90, "mid_hi"), (0.97, "hi"), (0.995, "deep_hi"), (None, "centre")]
+SEASON_BANDS = [(0.33, "early"), (0.66, "mid"), (None, "late")]
+LOGIT_BINS = [(0.85, "centre"), (2.2, "mid"), (None, "extreme")]
+
+
+def price_tier(price: Column) -> Column:
+    return steps(price, PRICE_TIERS)
+
+
+def season_band(frac: Column) -> Column:
+    return steps(frac, SEASON_BANDS)
+
+
+def logit_bin(far: Column) -> Column:
+    return steps(far, LOGIT_BINS)
+
+
+def qlike(realised: Column, forecast: Column) -> Column:
+    """Realised over forecast, less its log, less one; both at least 1e-9."""
+    ratio = F.greatest(realised, F.lit(1e-9)) / F.greatest(forecast, F.lit(1e-9))
+    return ratio - F.ln(ratio) - 1
+
+
+def assemble_vol(cross: Column, jump: Column, own: Column, frac: Column, al: Column, f0: Column, f1: Column, p0: Column, p1: Column) -> Column:
+    """The cross-section's volatility fading into the series' own one late, and that into jumps far out."""
+    late, out = sigmoid(f0 + f1 * frac), sigmoid(p0 + p1 * al)
+    series = F.when(own.isNull(), jump).otherwise(out * jump + (1 - out) * own)
+    return (1 - late) * cross + late * series
+
+
+def entry_price(leg: Column, cost: Column) -> Column:
+    """What a buyer pays on a leg, with the one-way cost as a fraction of the price."""
+    return leg * (1 + cost)
+
+
+def exit_price(leg: Column, cost: Column) -> Column:
+    return F.greatest(leg * (1 - cost), F.lit(0.0))
+
+
+def flat_curve(leg: Column) -> Column:
+    """A leg's price at any size, kept inside (0, 1)."""
+    return clip(leg, 1e-3, 1 - 1e-3)
+
+
+def root_curve(leg: Column, size: Column, c: float = 0.5, near_touch: float = 97.0, spread: float = 0.02) -> Column:
+    """A leg's price that grows with the root of the size."""
+    return flat_curve(leg) * (1 + spread) * (1 + c * F.sqrt(F.greatest(size, F.lit(0.0)) / near_touch))
+
+
+def turnover(current: Column, one_way, least: float = 1.0) -> Column:
+    """Round-trip cost fraction of adjusting a position, by the curve at its own size."""
+    return 2 * one_way(F.greatest(F.abs(current), F.lit(least)))
+
+
+def worth_half_life(edge: Column, round_trip_cost: Column, low: float = 1.0, high: float = 30.0) -> Column:
+    """Steps a position is worth holding for its edge, between low and high."""
+    ratio = F.greatest(edge, F.lit(1e-6)) / F.nullif(round_trip_cost, F.lit(0.0))
+    return F.when(round_trip_cost <= 0, F.lit(high)).otherwise(clip(ratio, low, high))
 
-    def add(s: Column, i: Column) -> Column:
-        return F.struct((s["term"] * odds * (n - i) / (i + 1)).alias("term"), (s["sum"] + s["term"]).alias("sum"))
 
-    under = F.aggregate(F.sequence(F.lit(0), F.greatest(needed, F.lit(1)) - 1), state, add, lambda s: s["sum"])
-    return F.when(needed <= 0, F.lit(1.0)).when(n < needed, F.lit(0.0)).when(p <= 0, F.lit(0.0)).when(p >= 1, F.lit(1.0)).otherwise(clip(1 - under, 0.0, 1.0))
+def gated_fill(target: Column, radj: Column, fill: Column, hurdle: float = 0.05, least: float = 0.05) -> Column:
+    """A target times its fill, or nothing below the hurdle or the least fill."""
+    return F.when((radj <= hurdle) | (fill < least), F.lit(0.0)).otherwise(target * fill)
 
 
 def first_match(text: Column, rules: list[tuple[str, object]], default: str) -> Column:

@@ -27,21 +27,35 @@ def _struct(df: DataFrame, names: list[str]):
     return T.StructType([T.StructField(n, df.schema[n].dataType) for n in names])
 
 
-def first_within(left: DataFrame, right: DataFrame, keys: list[str], at: str, when: str, value: str, days: int) -> DataFrame:
-    """Left rows with the first right ``value`` from ``at`` on, null if later than ``days``.
+def _nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, when: str, value: str, ahead: bool) -> DataFrame:
+    """Left rows with ``__v``, the (when, value) of the nearest right row at ``at`` or after (before) it.
 
-    The equality key bounds the range join; only the minimum leaves the aggregate.
+    Both sides are stacked and sorted once by key and time, so the cost is that of a sort
+    whatever the number of right rows in reach.
     """
-    on = [left[k] == right[k] for k in keys] + [right[when] >= left[at], right[when] <= left[at] + F.expr(f"INTERVAL {days} DAYS")]
-    joined = left.join(right, on, "left")
-    return joined.groupBy(*[left[c] for c in left.columns]).agg(F.min_by(right[value], right[when]).alias(value))
+    near = F.struct(F.col(when).alias("when"), F.col(value).alias("value"))
+    a = left.select(*left.columns, F.col(at).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(right.select(near.alias("v")).schema["v"].dataType).alias("__v"))
+    others = [F.col(k) if k in keys else F.lit(None).cast(left.schema[k].dataType).alias(k) for k in left.columns]
+    b = right.select(*others, F.col(when).alias("__t"), F.lit(0).alias("__side"), near.alias("__v"))
+    # a right row at the same time comes first in both directions
+    time = F.col("__t").desc() if ahead else F.col("__t").asc()
+    ties = F.col("__v").desc() if ahead else F.col("__v").asc()
+    run = Window.partitionBy(*keys).orderBy(time, "__side", ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return a.unionByName(b).withColumn("__v", F.last("__v", ignorenulls=True).over(run)).filter("__side = 1").select(*left.columns, "__v")
+
+
+def first_within(left: DataFrame, right: DataFrame, keys: list[str], at: str, when: str, value: str, days: int) -> DataFrame:
+    """Left rows with the first right ``value`` from ``at`` on, null if later than ``days``."""
+    found = _nearest(left, right, keys, at, when, value, True)
+    inside = F.col("__v.when") <= F.col(at) + F.expr(f"INTERVAL {days} DAYS")
+    return found.select(*left.columns, F.when(inside, F.col("__v.value")).alias(value))
 
 
 def last_within(left: DataFrame, right: DataFrame, keys: list[str], at: str, when: str, value: str, days: int, accept) -> DataFrame:
     """Left rows with the last right ``value`` up to ``at`` and at most ``days`` old, if accepted."""
-    on = [left[k] == right[k] for k in keys] + [right[when] <= left[at], right[when] >= left[at] - F.expr(f"INTERVAL {days} DAYS")]
-    joined = left.join(right, on, "left").groupBy(*[left[c] for c in left.columns]).agg(F.max_by(right[value], right[when]).alias(value))
-    return joined.withColumn(value, F.when(accept(F.col(value)), F.col(value)))
+    found = _nearest(left, right, keys, at, when, value, False)
+    inside = (F.col("__v.when") >= F.col(at) - F.expr(f"INTERVAL {days} DAYS")) & accept(F.col("__v.value"))
+    return found.select(*left.columns, F.when(inside, F.col("__v.value")).alias(value))
 
 
 def interpolate(x: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

@@ -7,12 +7,14 @@ its own rows only, and its randomness is seeded from its key.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HESSIAN_FLOOR = 1e-3
@@ -62,11 +64,14 @@ def fit_linear(x: np.ndarray, codes: np.ndarray, label: np.ndarray, rounds: int
 
 @dataclass
 class Tree:
-    """A regression tree on binned columns, as arrays by node; column -1 is a leaf."""
+    """A regression tree, as arrays by node; column -1 is a leaf."""
 
     column: np.ndarray
     cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
     value: np.ndarray
+    gain: np.ndarray  # by column
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), int)
@@ -76,23 +81,23 @@ class Tree:
             if not inner.any():
                 return self.value[node]
             right = x[np.arange(len(x)), np.maximum(c, 0)] > self.cut[node]
-            node = np.where(inner, 2 * node + 1 + right, node)
+            node = np.where(inner, np.where(right, self.right[node], self.left[node]), node)
 
 
-def fit_tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int = 3, least: int = 20, bins: int = 32, ridge: float = 1.0) -> Tree:
-    """Splits by the gain of second-order sums over quantile bins, level by level."""
-    nodes = 2 ** (depth + 1) - 1
-    column, cut, value = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
-    edges = [np.unique(np.quantile(x[:, c], np.linspace(0, 1, bins + 1)[1:-1])) for c in range(x.shape[1])]
-    todo = [(0, 0, np.arange(len(x)))]
-    while todo:
-        node, level, rows = todo.pop()
-        g, h = grad[rows].sum(), hess[rows].sum()
-        value[node] = -g / (h + ridge)
-        if level == depth or len(rows) < 2 * least:
-            continue
+def fit_tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, leaves: int = 31, depth: int = 8, least: int = 20, bins: int = 64, ridge: float = 1.0, columns: np.ndarray | None = None) -> Tree:
+    """Grows the leaf of the greatest gain next, by second-order sums over quantile bins.
+
+    ``columns`` are those it may split on.
+    """
+    columns = np.arange(x.shape[1]) if columns is None else columns
+    edges = {c: np.unique(np.quantile(x[:, c], np.linspace(0, 1, bins + 1)[1:-1])) for c in columns.tolist()}
+
+    def best_split(rows: np.ndarray, level: int) -> tuple[float, int, float]:
         best = (1e-9, -1, 0.0)
-        for c, marks in enumerate(edges):
+        if level >= depth or len(rows) < 2 * least:
+            return best
+        g, h = grad[rows].sum(), hess[rows].sum()
+        for c, marks in edges.items():
             if not len(marks):
                 continue
             at = np.searchsorted(marks, x[rows, c])
@@ -100,24 +105,46 @@ def fit_tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int = 3,
             gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
             gain[(n < least) | (len(rows) - n < least)] = -np.inf
             if gain.max() > best[0]:
-                best = (gain.max(), c, marks[gain.argmax()])
-        if best[1] >= 0:
-            column[node], cut[node] = best[1:]
-            right = x[rows, best[1]] > best[2]
-            todo += [(2 * node + 1, level + 1, rows[~right]), (2 * node + 2, level + 1, rows[right])]
-    return Tree(column, cut, value)
-
-
-def fit_boosted(x: np.ndarray, codes: np.ndarray, label: np.ndarray, rounds: int = 40, rate: float = 0.1, **options) -> list[Tree]:
+                best = (float(gain.max()), c, float(marks[gain.argmax()]))
+        return best
+
+    nodes = [[-1, 0.0, -1, -1, -grad.sum() / (hess.sum() + ridge)]]
+    gains, heap = np.zeros(x.shape[1]), []
+
+    def offer(node: int, rows: np.ndarray, level: int) -> None:
+        split = best_split(rows, level)
+        if split[1] >= 0:
+            heapq.heappush(heap, (-split[0], node, split, rows, level))
+
+    offer(0, np.arange(len(x)), 0)
+    for _ in range(leaves - 1):
+        if not heap:
+            break
+        _, node, (gain, c, mark), rows, level = heapq.heappop(heap)
+        gains[c] += gain
+        over = x[rows, c] > mark
+        for side, part in ((2, rows[~over]), (3, rows[over])):
+            nodes[node][side] = len(nodes)
+            nodes.append([-1, 0.0, -1, -1, -grad[part].sum() / (hess[part].sum() + ridge)])
+            offer(len(nodes) - 1, part, level + 1)
+        nodes[node][:2] = c, mark
+    column, cut, left, right, value = (np.array(v) for v in zip(*nodes, strict=True))
+    return Tree(column.astype(int), cut.astype(float), left.astype(int), right.astype(int), value.astype(float), gains)
+
+
+def fit_boosted(x: np.ndarray, codes: np.ndarray, label: np.ndarray, rounds: int = 60, rate: float = 0.05, fraction: float = 0.8, seed: int = 0, **options) -> list[Tree]:
+    """Trees on the grouped gradient, each on a random ``fraction`` of the columns."""
+    rng = np.random.default_rng(seed)
     score, trees = np.zeros(len(x)), []
+    some = max(1, int(round(fraction * x.shape[1])))
     for _ in range(rounds):
         g, h = pl_gradient(score, codes, label)
-        trees.append(fit_tree(x, g, h, **options))
+        trees.append(fit_tree(x, g, h, columns=np.sort(rng.choice(x.shape[1], some, replace=False)), **options))
         score += rate * trees[-1].predict(x)
     return trees
 
 
-def predict_boosted(trees: list[Tree], x: np.ndarray, rate: float = 0.1) -> np.ndarray:
+def predict_boosted(trees: list[Tree], x: np.ndarray, rate: float = 0.05) -> np.ndarray:
     return rate * sum((t.predict(x) for t in trees), np.zeros(len(x)))
 
 
@@ -130,7 +157,7 @@ def bootstrap_groups(codes: np.ndarray, rng: np.random.Generator) -> tuple[np.nd
     return np.concatenate(rows), np.repeat(np.arange(len(drawn)), [len(r) for r in rows])
 
 
-def walk_forward(rows: DataFrame, season: str, least: int = 3) -> DataFrame:
+def walk_forward(rows: DataFrame, season: str, least: int = 5) -> DataFrame:
     """Every row once for each fold: ``fold`` is the held-out season, ``test`` marks its rows.
 
     A season is held out if at least ``least`` come before it; later seasons are left out.
@@ -140,7 +167,7 @@ def walk_forward(rows: DataFrame, season: str, least: int = 3) -> DataFrame:
     return rows.join(F.broadcast(folds.select("fold")), rows[season] <= F.col("fold")).withColumn("test", F.col(season) == F.col("fold"))
 
 
-def ensemble_scores(rows: DataFrame, *, keys: list[str], season: str, group: list[str], features: list[str], label: str, replicates: int = 8, learner: str = "linear", least: int = 3, seed: int = 5) -> DataFrame:
+def ensemble_scores(rows: DataFrame, *, keys: list[str], season: str, group: list[str], features: list[str], label: str, replicates: int = 8, learner: str = "linear", least: int = 5, seed: int = 5) -> DataFrame:
     """Out-of-fold scores: keys, fold, k, score; one task fits and scores one (fold, k).
 
     Each row is scored by every replicate of the one model that saw no later season. Null
@@ -168,6 +195,23 @@ def ensemble_scores(rows: DataFrame, *, keys: list[str], season: str, group: lis
     return drawn.groupBy("fold", "k").applyInPandas(fit, schema)
 
 
+def gain_importance(rows: DataFrame, *, season: str, group: list[str], features: list[str], label: str, replicates: int = 2, least: int = 5, seed: int = 5, top: int = 25) -> DataFrame:
+    """feature, gain, place: the mean gain of boosted splits by feature over all folds, the ``top`` first."""
+    train = walk_forward(rows.select(*dict.fromkeys([season, *group, *features, label])), season, least).filter("not test")
+    drawn = train.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([*group, *features, label], kind="stable").reset_index(drop=True)
+        codes = part.groupby(group, sort=True).ngroup().to_numpy()
+        number = seed_of(seed, int(key[0]), int(key[1]))
+        picked, again = bootstrap_groups(codes, np.random.default_rng(number))
+        trees = fit_boosted(part[features].fillna(0).to_numpy(float)[picked], again, part[label].to_numpy(float)[picked], seed=number)
+        return pd.DataFrame({"feature": features, "gain": sum((t.gain for t in trees), np.zeros(len(features)))})
+
+    found = drawn.groupBy("fold", "k").applyInPandas(fit, "feature string, gain double").groupBy("feature").agg(F.avg("gain").alias("gain"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("gain").desc(), "feature"))).filter(F.col("place") <= top)
+
+
 MODEL = "fold int, k int, features array<string>, mean array<double>, sd array<double>, weights array<double>, digest string"
 
 
@@ -176,11 +220,13 @@ def feature_digest(features: list[str]) -> str:
     return hashlib.sha256(",".join(features).encode()).hexdigest()[:16]
 
 
-def fit_models(rows: DataFrame, *, season: str, group: list[str], features: list[str], label: str, replicates: int = 8, least: int = 3, seed: int = 5, sealed: int | None = None) -> DataFrame:
+def fit_models(rows: DataFrame, *, season: str, group: list[str], features: list[str], label: str, replicates: int = 8, least: int = 5, seed: int = 5, sealed: int | None = None, signs: dict[str, int] | None = None) -> DataFrame:
     """The linear ensembles as a table: one row a (fold, k), fitted on the seasons before the fold.
 
-    ``sealed`` refuses folds that would train on that season or a later one.
+    ``sealed`` refuses folds that would train on that season or a later one; ``signs`` holds the
+    weights of some features at or below 0 (-1) or at or above it (1).
     """
+    held = np.array([(signs or {}).get(f, 0) for f in features])
     train = walk_forward(rows.select(*dict.fromkeys([season, *group, *features, label])), season, least).filter("not test")
     if sealed is not None:
         train = train.filter(F.col("fold") <= sealed)
@@ -193,12 +239,18 @@ def fit_models(rows: DataFrame, *, season: str, group: list[str], features: list
         mean, sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
         codes = part.groupby(group, sort=True).ngroup().to_numpy()
         picked, again = bootstrap_groups(codes, np.random.default_rng(seed_of(seed, fold, k)))
-        w = fit_linear(((x - mean) / sd)[picked], again, part[label].to_numpy(float)[picked])
+        w = fit_linear(((x - mean) / sd)[picked], again, part[label].to_numpy(float)[picked], signs=held if held.any() else None)
         return pd.DataFrame({"fold": [fold], "k": [k], "features": [features], "mean": [mean], "sd": [sd], "weights": [w], "digest": [feature_digest(features)]})
 
     return drawn.groupBy("fold", "k").applyInPandas(fit, MODEL)
 
 
+def fit_arms(rows: DataFrame, arms: dict[str, tuple[str, dict[str, int]]], **options) -> DataFrame:
+    """``fit_models`` for each arm (its label column and held signs), under a column arm."""
+    found = [fit_models(rows, label=label, signs=signs, **options).select(F.lit(name).alias("arm"), "*") for name, (label, signs) in arms.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def score_with(rows: DataFrame, models: DataFrame, *, season: str, features: list[str], keys: list[str]) -> DataFrame:
     """keys, fold, k, score of the rows of each fold's season, in column expressions.
 

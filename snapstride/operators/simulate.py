@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .model import seed_of
 
@@ -276,32 +277,76 @@ def backtest(days: DataFrame, *, book: str, day: str, name: str, price: str, pro
     return days.groupBy(book).applyInPandas(run, schema)
 
 
-def forward_edge(rows: DataFrame, *, key: str, price: str, frac: str, moves: str, cost: float = 0.02, horizon: int = 14, draws: int = 2000, seed: int = 9) -> DataFrame:
+#: Horizons of the corpus of moves, kernel bandwidths, effective rows that need no model.
+MOVE_HORIZONS = (7, 14, 30)
+BANDWIDTHS, LEAST_EFFECTIVE = (0.12, 0.7), 15.0
+#: Steps of season fraction, logit and move in which the corpus is counted.
+CORPUS_STEPS = (0.05, 0.1, 0.05)
+
+
+def move_corpus(moves: DataFrame) -> dict[int, np.ndarray]:
+    """Counted moves (h, frac, z, net) by horizon: rows of frac, z, net, count.
+
+    Moves are counted in steps, so the table is bounded by the ranges of its columns, however
+    many moves there are; it is what every worker needs.
+    """
+    steps = dict(zip(("frac", "z", "net"), CORPUS_STEPS, strict=True))
+    binned = moves.filter("net is not null").groupBy("h", *[F.round(F.col(c) / s).cast("int").alias(c) for c, s in steps.items()]).agg(F.count(F.lit(1)).alias("n"))
+    rows = np.array([tuple(r) for r in binned.orderBy("h", *steps).collect()], float).reshape(-1, 5)
+    return {h: rows[rows[:, 0] == h, 1:] * [*CORPUS_STEPS, 1] for h in MOVE_HORIZONS}
+
+
+def sample_moves(corpus: dict[int, np.ndarray], steps: int, price: float, frac: float, vol: float, draws: int, rng: np.random.Generator) -> np.ndarray:
+    """Signed log-odds moves of so many steps, drawn around (frac, price).
+
+    Past moves of the nearest horizon are drawn by kernel weight, with a jitter of 0.15 of
+    their spread. Where few rows stand behind the weights, a share of the draws comes from the
+    volatility instead; all of them where there are hardly any.
+    """
+    table = corpus[min(MOVE_HORIZONS, key=lambda h: (abs(h - steps), h))]
+    scale = vol * np.sqrt(max(steps, 1))
+    if table[:, 3].sum() < 5:
+        return rng.normal(0.0, scale, draws)
+    z = np.log(price / (1 - price))
+    kernel = np.exp(-0.5 * (((table[:, 0] - frac) / BANDWIDTHS[0]) ** 2 + ((table[:, 1] - z) / BANDWIDTHS[1]) ** 2))
+    w = kernel * table[:, 3]
+    if w.sum() <= 0:
+        return rng.normal(0.0, scale, draws)
+    effective = w.sum() ** 2 / max((kernel * w).sum(), 1e-300)
+    own = int(round(min(1.0, effective / LEAST_EFFECTIVE) * draws))
+    mean = np.average(table[:, 2], weights=w)
+    spread = np.sqrt(max(np.average((table[:, 2] - mean) ** 2, weights=w), 1e-9))
+    found = table[rng.choice(len(table), own, p=w / w.sum()), 2] + rng.normal(0, 0.15 * spread, own)
+    moves = np.concatenate([found, rng.normal(0.0, scale, draws - own)])
+    rng.shuffle(moves)
+    return moves
+
+
+def forward_edge(rows: DataFrame, corpus: dict[int, np.ndarray], *, key: str, price: str, frac: str, vol: str, cost: float = 0.02, horizon: int = 14, draws: int = 2000, seed: int = 9) -> DataFrame:
     """key, edge_mean, cvar, radj, dispersion of a survival-weighted mixture of k-step moves.
 
-    ``moves`` holds past log-odds steps; k-step moves are sums of that many random ones, less
-    their mean. Rows are independent, so they go through in Arrow batches.
+    Moves of 1 to ``horizon`` steps are drawn from the corpus, as many of each as its survival
+    weight, and less their mean. Rows are independent, so they go through in Arrow batches.
     """
     kind = rows.schema[key].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(corpus)
 
     def run(parts):
         for part in parts:
             out = []
-            for name, p, f, past in zip(part[key], part[price], part[frac], part[moves], strict=True):
+            for name, p, f, sd in zip(part[key], part[price], part[frac], part[vol], strict=True):
                 rng = np.random.default_rng(seed_of(seed, name))
-                past = np.asarray(past, float)
-                past = past - past.mean() if len(past) else np.zeros(1)
+                p = min(max(p, 1e-4), 1 - 1e-4)
                 life = 17 - 8 * min(max(f, 0), 1)
                 w = 0.5 ** (np.arange(horizon) / life)
-                k = rng.choice(horizon, draws, p=w / w.sum()) + 1
-                steps = past[rng.integers(0, len(past), (draws, horizon))]
-                moved = np.where(np.arange(horizon) < k[:, None], steps, 0).sum(axis=1)
-                p = min(max(p, 1e-4), 1 - 1e-4)
-                future = 1 / (1 + np.exp(-(np.log(p / (1 - p)) + moved)))
+                counts = np.maximum(1, np.round(w / w.sum() * draws).astype(int))
+                moved = np.concatenate([sample_moves(shared.value, k, p, f, sd, n, rng) for k, n in enumerate(counts.tolist(), 1)])
+                moved -= moved.mean()
+                future = np.clip(1 / (1 + np.exp(-(np.log(p / (1 - p)) + moved))), 1e-4, 1 - 1e-4)
                 edge = future - p - cost
                 low = edge[edge <= np.quantile(edge, 0.05)]
                 cvar = max(1e-6, -low.mean())
                 out.append((name, edge.mean(), cvar, float(np.clip(edge.mean() / max(cvar, 0.05), -10, 10)), future.std()))
             yield pd.DataFrame(out, columns=[key, "edge_mean", "cvar", "radj", "dispersion"])
 
-    return rows.select(key, price, frac, moves).mapInPandas(run, f"`{key}` {kind}, edge_mean double, cvar double, radj double, dispersion double")
+    return rows.select(key, price, frac, vol).mapInPandas(run, f"`{key}` {kind}, edge_mean double, cvar double, radj double, dispersion double")

@@ -121,22 +121,44 @@ def missed_streaks(spark, sf):
 _CELLS = _MISS + f""", obs AS (SELECT ({_list(_STATUS)})[(player_id + seq) % 4 + 1] AS status, ({_list(REPORTS)})[(player_id * 7 + seq) % 12 + 1] AS description,
    coalesce(nxt, last + 1) - seq AS missed, CAST(nxt IS NULL AS INT) AS censored FROM miss WHERE NOT played),
   cat AS (SELECT *, {_case("regexp_replace(lower(trim(description)), '" + classify.REPORT_PREFIX + "', ' ', 'g')", classify.REASON_RULES, "'unknown'")} AS plain FROM obs),
-  c2 AS (SELECT status, CASE WHEN regexp_matches(lower(description), 'acl; tear|achilles; n/a|femur') THEN 'season_ending' ELSE plain END AS category, missed, censored FROM cat),
+  c2 AS (SELECT status, CASE WHEN regexp_matches(lower(description), 'acl; torn|achilles; n/a|femur') THEN 'season_ending' ELSE plain END AS category, missed, censored FROM cat),
   gs AS (SELECT status, category, count(*) AS n, avg(censored) AS censor_rate, avg(missed) AS mean, CAST(floor(median(missed)) AS BIGINT) AS med,
            list_sort(list(missed))[CAST(greatest(1, floor(0.9 * count(*))) AS INT)] AS p90 FROM c2 GROUP BY GROUPING SETS ((status, category), (category), ()))"""
 
 
-def _cells(spark, sf):
+def _observed(spark, sf):
+    """status, category, missed, censored, n: how often each number of missed weeks was seen in each cell."""
     rows = _missed(spark, sf)
 
     def pick(values, of):
         return F.element_at(F.array(*[F.lit(v) for v in values]), (of % len(values) + 1).cast("int"))
 
     seen = rows.select(pick(_STATUS, F.col("player_id") + F.col("seq")).alias("status"), classify.reason(pick(REPORTS, F.col("player_id") * 7 + F.col("seq"))).alias("category"), "missed", "censored")
-    n = F.count(F.lit(1))
-    nth = F.element_at(F.sort_array(F.collect_list("missed")), F.greatest(F.lit(1), F.floor(n * 0.9)).cast("int"))
-    sets = seen.groupingSets([["status", "category"], ["category"], []], "status", "category")
-    return sets.agg(n.alias("n"), F.avg("censored").alias("censor_rate"), F.avg("missed").alias("mean"), F.floor(F.median("missed")).cast("long").alias("med"), nth.alias("p90"))
+    return seen.groupBy("status", "category", "missed", "censored").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cells(spark, sf):
+    """Statistics of missed weeks by cell, by category and of all.
+
+    Rows are counted by value first, so that what a total is made of is a histogram of at most
+    a season's weeks, not the rows.
+    """
+    seen = _observed(spark, sf)
+    sets = seen.groupingSets([["status", "category", "missed"], ["category", "missed"], ["missed"]], "status", "category", "missed")
+    counts = sets.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("censored")).alias("cut"), F.grouping_id().alias("level"))
+    run = Window.partitionBy("level", "status", "category").orderBy("missed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy("level", "status", "category")
+    counts = counts.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(whole))
+
+    def nth(k):  # the k-th smallest, from 1
+        return F.min(F.when(F.col("upto") >= k, F.col("missed")))
+
+    total = F.col("all")
+    middle = F.floor((nth(F.floor((total + 1) / 2)) + nth(F.ceil((total + 1) / 2))) / 2).cast("long")
+    found = counts.groupBy("level", "status", "category").agg(
+        F.sum("n").alias("n"), (F.sum("cut") / F.sum("n")).alias("censor_rate"), (F.sum(F.col("missed") * F.col("n")) / F.sum("n")).alias("mean"), middle.alias("med"), nth(F.greatest(F.lit(1), F.floor(total * 0.9))).alias("p90")
+    )
+    return found.drop("level")
 
 
 @query("miss_cells", with_roles("game_log", more=_CELLS) + "SELECT status, category, n, round(censor_rate, 4) AS censor_rate, round(mean, 6) AS mean, med, p90 FROM gs")
@@ -147,8 +169,8 @@ def miss_cells(spark, sf):
 @query(
     "miss_cells_fallback",
     with_roles("game_log", more=_CELLS + f""", keys AS (SELECT s.status, c.category FROM (SELECT unnest({_list(_STATUS)}) AS status) s, (SELECT DISTINCT category FROM c2) c)""")
-    + """SELECT k.status, k.category, CASE WHEN a.n >= 200 THEN 'cell' WHEN b.n >= 200 THEN 'category' ELSE 'all' END AS level,
-  round(CASE WHEN a.n >= 200 THEN a.mean WHEN b.n >= 200 THEN b.mean ELSE t.mean END, 6) AS mean
+    + """SELECT k.status, k.category, CASE WHEN a.n >= 30 THEN 'cell' WHEN b.n >= 30 THEN 'category' ELSE 'all' END AS level,
+  round(CASE WHEN a.n >= 30 THEN a.mean WHEN b.n >= 30 THEN b.mean ELSE t.mean END, 6) AS mean
 FROM keys k LEFT JOIN gs a ON a.status = k.status AND a.category = k.category LEFT JOIN gs b ON b.status IS NULL AND b.category = k.category, (SELECT mean FROM gs WHERE status IS NULL AND category IS NULL) t""",
 )
 def miss_cells_fallback(spark, sf):
@@ -158,24 +180,59 @@ def miss_cells_fallback(spark, sf):
     every = cells.filter("status is null and category is null").select(F.col("mean").alias("m3"))
     keys = margin.crossJoin(spark.createDataFrame([(s,) for s in _STATUS], "status string")).crossJoin(every)
     rows = keys.join(own, ["status", "category"], "left")
-    level = F.when(F.col("n1") >= 200, "cell").when(F.col("n2") >= 200, "category").otherwise("all")
-    mean = F.when(F.col("n1") >= 200, F.col("m1")).when(F.col("n2") >= 200, F.col("m2")).otherwise(F.col("m3"))
+    level = F.when(F.col("n1") >= LEAST_CELL, "cell").when(F.col("n2") >= LEAST_CELL, "category").otherwise("all")
+    mean = F.when(F.col("n1") >= LEAST_CELL, F.col("m1")).when(F.col("n2") >= LEAST_CELL, F.col("m2")).otherwise(F.col("m3"))
     return rows.select("status", "category", level.alias("level"), _r(mean).alias("mean"))
 
 
+#: Observations from which a cell, or its category, speaks for itself.
+LEAST_CELL = 30
+
+
+def _samples(spark, sf):
+    """status, category, misses, total: the sample of missed weeks that stands for each cell.
+
+    The cell's own if it has enough, else its category's, else all. ``misses`` counts each
+    number of weeks from 0 on; observations that the season's end cut off are in the total only.
+    """
+    seen = _observed(spark, sf)
+    sets = seen.groupingSets([["status", "category", "missed", "censored"], ["category", "missed", "censored"], ["missed", "censored"]], "status", "category", "missed", "censored")
+    counts = sets.agg(F.sum("n").alias("n")).groupBy("status", "category")
+    ended = F.col("censored") == 0
+    counts = counts.agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.when(ended, F.struct("missed", "n")))).alias("by"), F.max(F.when(ended, F.col("missed"))).alias("most"))
+    misses = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("most", F.lit(0))), lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0)))
+    cells = counts.select("status", "category", "total", misses.alias("misses"))
+    parts = {k: cells.filter(c).drop(*d) for k, c, d in (("own", "status is not null", []), ("margin", "status is null and category is not null", ["status"]), ("every", "category is null", ["status", "category"]))}
+    named = {k: df.withColumnsRenamed({"total": f"{k}_n", "misses": f"{k}_m"}) for k, df in parts.items()}
+    keys = parts["margin"].select("category").crossJoin(spark.createDataFrame([(s,) for s in _STATUS], "status string"))
+    rows = keys.join(named["own"], ["status", "category"], "left").join(named["margin"], "category").crossJoin(named["every"])  # a row a cell
+
+    def chosen(c: str):
+        return F.when(F.col("own_n") >= LEAST_CELL, F.col(f"own_{c}")).when(F.col("margin_n") >= LEAST_CELL, F.col(f"margin_{c}")).otherwise(F.col(f"every_{c}"))
+
+    return rows.select("status", "category", chosen("m").alias("misses"), chosen("n").alias("total"))
+
+
 def _sf_sql(needed: str, n: str, p: str) -> str:
     """Binomial survival by a list of terms, for integers needed and n."""
     term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))"
     return f"CASE WHEN {needed} <= 0 THEN 1e0 WHEN {n} < {needed} THEN 0e0 ELSE list_sum([{term} for i in range({needed}, {n} + 1)]) END"
 
 
-#: Our schedule has up to 122 games a season; a player qualifies with this many full ones.
-NEEDED, GAMES = 20, 60
+#: Games that a player has to play, of a schedule that no player here exceeds.
+NEEDED, GAMES = 65, 150
+
+_SAMPLE = _CELLS + f""", obs_n AS (SELECT status, category, missed, censored, count(*) AS n FROM c2 GROUP BY 1, 2, 3, 4),
+  lv AS (SELECT s.status, c.category, CASE WHEN a.n >= {LEAST_CELL} THEN 2 WHEN b.n >= {LEAST_CELL} THEN 1 ELSE 0 END AS lev FROM (SELECT unnest({_list(_STATUS)}) AS status) s JOIN (SELECT DISTINCT category FROM c2) c ON true
+     LEFT JOIN gs a ON a.status = s.status AND a.category = c.category LEFT JOIN gs b ON b.status IS NULL AND b.category = c.category),
+  sample AS (SELECT l.status, l.category, o.missed, o.censored, sum(o.n) AS n FROM lv l JOIN obs_n o ON (l.lev = 0 OR o.category = l.category) AND (l.lev < 2 OR o.status = l.status) GROUP BY 1, 2, 3, 4)"""
 
-_ELIG = _QUAL + f""", e AS (SELECT player_id, season, snapshot_date, CAST(greatest(0, {NEEDED} - (n_full + least(2, n_near))) AS BIGINT) AS needed,
-   CAST(greatest(0, {GAMES} - appeared) AS BIGINT) AS avail, least(0.995, greatest(0.02, n_full / appeared)) AS p FROM q),
-  f AS (SELECT *, CASE WHEN season < 1997 OR needed = 0 THEN 1e0 WHEN avail <= 0 THEN 0e0 WHEN player_id % 5 = 0 THEN
-     ({_sf_sql("needed", "avail", "p")} + {_sf_sql("needed", "greatest(0, avail - 5)", "p")} + {_sf_sql("needed", "greatest(0, avail - 20)", "p")}) / 3 ELSE {_sf_sql("needed", "avail", "p")} END AS factor FROM e),
+_ELIG = _QUAL + ", " + _SAMPLE + f""", e AS (SELECT player_id, season, snapshot_date, CAST(greatest(0, {NEEDED} - (n_full + least(2, n_near))) AS BIGINT) AS needed,
+   CAST(greatest(0, {GAMES} - appeared) AS BIGINT) AS avail, least(0.995, greatest(0.02, n_full / appeared)) AS p, ({_list(_STATUS)})[player_id % 4 + 1] AS status FROM q WHERE appeared > 0),
+  cats AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT category FROM c2)),
+  hurt AS (SELECT e.player_id, e.season, e.snapshot_date, sum(s.n * CASE WHEN s.censored = 1 THEN 0 ELSE {_sf_sql("needed", "greatest(0, avail - s.missed)", "p")} END) / sum(s.n) AS mix
+     FROM e JOIN cats ON cats.i = e.player_id % cats.k JOIN sample s ON s.status = e.status AND s.category = cats.category WHERE e.player_id % 5 = 0 AND needed > 0 AND avail > 0 GROUP BY 1, 2, 3),
+  f AS (SELECT e.*, CASE WHEN e.season < 1993 OR needed = 0 THEN 1e0 WHEN avail <= 0 THEN 0e0 WHEN e.player_id % 5 = 0 AND e.status <> 'probable' THEN mix ELSE {_sf_sql("needed", "avail", "p")} END AS factor FROM e LEFT JOIN hurt USING (player_id, season, snapshot_date)),
   v AS (SELECT f.*, pts FROM f JOIN box USING (player_id, season, snapshot_date))"""
 
 
@@ -187,15 +244,23 @@ _ELIG = _QUAL + f""", e AS (SELECT player_id, season, snapshot_date, CAST(greate
     dates=("snapshot_date",),
 )
 def eligibility_factor(spark, sf):
+    """Chance of still playing enough games; every fifth player is hurt, and the empirical misses of the cell count."""
     key = ["player_id", "season", "snapshot_date"]
     rows = _qualifying(spark, sf).withColumn("needed", F.greatest(F.lit(0).cast("long"), NEEDED - (F.col("n_full") + F.least(F.lit(2).cast("long"), F.col("n_near")))))
     rows = rows.withColumn("avail", F.greatest(F.lit(0).cast("long"), GAMES - F.col("appeared"))).withColumn("p", pricing.clip(F.col("n_full") / F.col("appeared"), 0.02, 0.995))
-
-    def chance(missed: int):
-        return pricing.binomial_sf(F.col("needed"), F.greatest(F.lit(0).cast("long"), F.col("avail") - missed), F.col("p"))
-
-    factor = F.when((F.col("season") < 1997) | (F.col("needed") == 0), 1.0).when(F.col("avail") <= 0, 0.0)
-    factor = factor.when(F.col("player_id") % 5 == 0, (chance(0) + chance(5) + chance(20)) / 3).otherwise(chance(0))
+    rows = rows.withColumn("status", F.element_at(F.array(*[F.lit(s) for s in _STATUS]), (F.col("player_id") % 4 + 1).cast("int")))
+    samples = _samples(spark, sf)
+    names = F.sort_array(F.collect_set("category"))
+    samples = samples.crossJoin(samples.agg(names.alias("names")))  # nine categories at most
+    samples = samples.select("status", (F.array_position("names", F.col("category")) - 1).alias("i"), F.size("names").alias("k"), "misses", "total")
+    kinds = samples.agg(F.max("k").alias("kinds"))
+    rows = rows.crossJoin(F.broadcast(kinds)).withColumn("i", F.when(F.col("player_id") % 5 == 0, F.col("player_id") % F.col("kinds")))
+    rows = rows.join(F.broadcast(samples.drop("k")), ["status", "i"], "left")  # a row a cell
+
+    needed, avail, p = F.col("needed"), F.col("avail"), F.col("p")
+    factor = F.when((F.col("season") < 1993) | (needed == 0), 1.0).when(avail <= 0, 0.0)
+    hurt = (F.col("player_id") % 5 == 0) & (F.col("status") != "probable")
+    factor = factor.when(hurt, pricing.mixture_sf(needed, avail, p, F.col("misses"), F.col("total"))).otherwise(pricing.binomial_sf(needed, avail, p))
     rows = rows.withColumn("factor", factor).join(roles.box_asof(roles.game_log(spark, sf)).select(*key, "pts"), key)
     w = Window.partitionBy("season", "snapshot_date")
     gated = F.col("pts") * F.col("factor")
@@ -228,3 +293,30 @@ def fatigue_reweight(spark, sf):
     mult = F.when(F.col("n") >= 1, pricing.clip(1 - 0.1 * decline * F.pow("n", F.lit(1.3)), 0.2, 1.0)).otherwise(1.0)
     weight = F.exp("z") * mult
     return rows.select("player_id", "season", F.coalesce("n", F.lit(0)).alias("prior_tops"), _r(mult).alias("multiplier"), _r(weight / F.sum(weight).over(Window.partitionBy("season"))).alias("share"))
+
+
+_SIGNS = {"pts": 1, "mpg": 1, "gp": -1}
+
+
+@query(
+    "sign_aligned_composite",
+    with_roles("box", more="f AS (SELECT player_id, season, snapshot_date, pts, CASE WHEN gp >= 5 THEN mpg END AS mpg, CASE WHEN player_id % 7 <> 0 THEN gp END AS gp FROM box), z AS (SELECT player_id, season, snapshot_date, "
+    + ", ".join(f"CASE WHEN {c} IS NOT NULL AND count({c}) OVER w >= 2 THEN {sign} * CASE WHEN stddev_pop({c}) OVER w = 0 THEN 0 ELSE ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END END AS {c}" for c, sign in _SIGNS.items())
+    + " FROM f WINDOW w AS (PARTITION BY season, snapshot_date))")
+    + "SELECT player_id, season, snapshot_date, CAST((pts IS NOT NULL)::INT + (mpg IS NOT NULL)::INT + (gp IS NOT NULL)::INT AS INT) AS shared, round((coalesce(pts, 0) + coalesce(mpg, 0) + coalesce(gp, 0)) / nullif((pts IS NOT NULL)::INT + (mpg IS NOT NULL)::INT + (gp IS NOT NULL)::INT, 0), 6) AS composite FROM z",
+    dates=("snapshot_date",),
+)
+def sign_aligned_composite(spark, sf):
+    """Group z-scores turned so that more is better, averaged over the columns a row has; under two members there is none."""
+    box = roles.box_asof(roles.game_log(spark, sf))
+    rows = box.withColumn("mpg", F.when(F.col("gp") >= 5, F.col("mpg"))).withColumn("gp", F.when(F.col("player_id") % 7 != 0, F.col("gp")))
+    w = Window.partitionBy("season", "snapshot_date")
+
+    def aligned(c: str, sign: int):
+        z = F.when(F.stddev_pop(c).over(w) == 0, 0.0).otherwise((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)))
+        return F.when(F.col(c).isNotNull() & (F.count(c).over(w) >= 2), sign * z)
+
+    rows = rows.select("player_id", "season", "snapshot_date", *[aligned(c, s).alias(c) for c, s in _SIGNS.items()])
+    shared = sum((F.col(c).isNotNull().cast("int") for c in _SIGNS), F.lit(0))
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in _SIGNS), F.lit(0.0))
+    return rows.select("player_id", "season", "snapshot_date", shared.alias("shared"), _r(total / F.nullif(shared, F.lit(0))).alias("composite"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import availability, ensembles, features, markets, parsing, registry, simulations, strategy
+from . import availability, design, ensembles, features, ingest, ledger, markets, parsing, registry, simulations, strategy, volatility
 
 flagship = features.flagship
-_MODULES = (availability, ensembles, features, markets, parsing, simulations, strategy)  # entering their queries
+_MODULES = (availability, design, ensembles, features, ingest, ledger, markets, parsing, simulations, strategy, volatility)  # entering their queries
 
 
 def queries() -> dict[str, registry.Query]:

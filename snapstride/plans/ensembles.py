@@ -11,6 +11,8 @@ from .registry import query
 from .roles import with_roles
 
 K = 64
+#: Names that a race's contenders are, by award (the group stands for it).
+TOP_NAMES = (20, 15, 10)
 _MU = "mus AS (SELECT *, list_avg(raw) AS mu FROM scores), shares AS (SELECT *, exp(mu - max(mu) OVER w) / sum(exp(mu)) OVER w * exp(max(mu) OVER w) AS vs FROM mus WINDOW w AS (PARTITION BY grp))"
 
 
@@ -161,7 +163,7 @@ def winner_true_rank(spark, sf):
     "contender_set_renorm",
     with_roles("scores", "ticks", more=_MU + """,
   market AS (SELECT candidate, avg(price) AS price FROM ticks GROUP BY 1),
-  flags AS (SELECT s.*, row_number() OVER (PARTITION BY grp ORDER BY vs DESC, s.candidate) <= 20 AS rf, coalesce(m.price >= 0.4, false) AS mk,
+  flags AS (SELECT s.*, row_number() OVER (PARTITION BY grp ORDER BY vs DESC, s.candidate) <= CASE grp % 3 WHEN 0 THEN 20 WHEN 1 THEN 15 ELSE 10 END AS rf, coalesce(m.price >= 0.4, false) AS mk,
                    s.candidate % 10 <> 3 AS tr FROM shares s LEFT JOIN market m USING (candidate)),
   sets AS (SELECT *, bool_or(rf AND mk) OVER (PARTITION BY grp) AS any_both FROM flags),
   chosen AS (SELECT *, (rf OR mk) AS s_union, CASE WHEN any_both THEN rf AND mk ELSE rf END AS s_both FROM sets)""")
@@ -174,7 +176,8 @@ def contender_set_renorm(spark, sf):
     market = roles.ticks(spark, sf).groupBy("candidate").agg(F.avg("price").alias("price"))
     rows = _shares(spark, sf).join(market, "candidate", "left")
     rank = F.row_number().over(w.orderBy(F.col("vs").desc(), "candidate"))
-    rows = rows.withColumn("rf", rank <= 20).withColumn("mk", F.coalesce(F.col("price") >= 0.4, F.lit(False))).withColumn("tr", F.col("candidate") % 10 != 3)
+    names = F.element_at(F.array(*[F.lit(n) for n in TOP_NAMES]), (F.col("grp") % 3 + 1).cast("int"))
+    rows = rows.withColumn("rf", rank <= names).withColumn("mk", F.coalesce(F.col("price") >= 0.4, F.lit(False))).withColumn("tr", F.col("candidate") % 10 != 3)
     both = F.col("rf") & F.col("mk")
     rows = rows.withColumn("s_union", F.col("rf") | F.col("mk")).withColumn("s_both", F.when(F.bool_or(both).over(w), both).otherwise(F.col("rf")))
 
@@ -245,3 +248,110 @@ def book_budget(spark, sf):
     total, k = F.sum("s").over(every), F.count(F.lit(1)).over(every)
     books = books.withColumn("raw", F.when(total > 0, F.col("s") / F.nullif(total, F.lit(0.0))).otherwise(F.lit(1.0) / k)).withColumn("weight", F.lit(0.5) / k + 0.5 * F.col("raw"))
     return books.select("grp", _r("raw").alias("raw_weight"), _r("weight").alias("weight"), F.bround(3000 * F.col("weight")).cast("long").alias("budget"))
+
+
+# ---- sets and reweights applied to the whole cloud of draws
+
+_CLOUD = _MU + """,
+  flags AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY vs DESC, candidate) <= CASE grp % 3 WHEN 0 THEN 20 WHEN 1 THEN 15 ELSE 10 END AS rf, CASE WHEN candidate % 11 = 0 THEN 0e0 ELSE 0.5 + (candidate % 4) / 4e0 END AS rw, candidate % 10 <> 3 AS tr FROM shares),
+  inset AS (SELECT *, rf AND rw > 0 AS ins FROM flags),
+  cloud AS (SELECT d.grp, d.candidate, d.k, i.vs, i.tr, i.ins, CASE WHEN i.ins THEN d.s + ln(i.rw) ELSE -1e9 END AS s FROM draws d JOIN inset i USING (grp, candidate)),
+  soft AS (SELECT *, exp(s - max(s) OVER (PARTITION BY grp, k)) AS e FROM cloud),
+  q AS (SELECT *, e / sum(e) OVER (PARTITION BY grp, k) AS p FROM soft),
+  red AS (SELECT grp, candidate, any_value(vs) AS vs, any_value(tr) AS tr, any_value(ins) AS ins, avg(s) AS m, avg(p) AS sizing, var_pop(s) AS spread FROM q GROUP BY 1, 2),
+  fin AS (SELECT *, exp(m - max(m) OVER (PARTITION BY grp)) AS e FROM red),
+  fin2 AS (SELECT *, CASE WHEN ins THEN e / sum(e) OVER (PARTITION BY grp) ELSE 0 END AS share FROM fin)"""
+
+#: Rows outside a set stay finite, so that no reduction meets a NaN.
+MASKED = -1e9
+
+
+def _masked_cloud(spark, sf):
+    """grp, candidate, vs, tr, ins, cloud: draws shifted by the log of their factor, masked outside the set."""
+    w = Window.partitionBy("grp")
+    names = F.element_at(F.array(*[F.lit(n) for n in TOP_NAMES]), (F.col("grp") % 3 + 1).cast("int"))
+    rows = _shares(spark, sf).withColumn("rf", F.row_number().over(w.orderBy(F.col("vs").desc(), "candidate")) <= names)
+    factor = F.when(F.col("candidate") % 11 == 0, 0.0).otherwise(0.5 + (F.col("candidate") % 4) / 4.0)
+    rows = rows.withColumn("rw", factor).withColumn("ins", F.col("rf") & (factor > 0)).withColumn("tr", F.col("candidate") % 10 != 3)
+    shift = F.ln("rw")
+    cloud = F.transform("raw", lambda x: F.when(F.col("ins"), x + shift).otherwise(F.lit(MASKED)))
+    return rows.select("grp", "candidate", "vs", "tr", "ins", cloud.alias("cloud"))
+
+
+def _reduced(rows):
+    """Both reductions of a cloud, zero outside the set: softmax of the mean and mean of the softmax."""
+    rows = rows.withColumn("m", _mean(F.col("cloud")))
+    draws = rows.select("grp", "candidate", F.posexplode("cloud").alias("k", "s")).withColumn("p", relative.softmax(F.col("s"), ["grp", "k"]))
+    sizing = draws.groupBy("grp", "candidate").agg(F.avg("p").alias("sizing"))
+    rows = rows.withColumn("share", F.when(F.col("ins"), relative.softmax(F.col("m"), ["grp"])).otherwise(0.0))
+    return rows.join(sizing, ["grp", "candidate"]).withColumn("sizing", F.when(F.col("ins"), F.col("sizing")).otherwise(0.0))
+
+
+@query(
+    "masked_cloud_renorm",
+    with_roles("draws", more=_CLOUD) + "SELECT grp, candidate, round(share, 6) AS share, round(CASE WHEN ins THEN sizing ELSE 0 END, 6) AS sizing, CAST(ins AND tr AS INT) AS allocated, share > 0.5 AND vs > 1e-6 AND share / vs > 3 AS tripwire FROM fin2",
+)
+def masked_cloud_renorm(spark, sf):
+    """Factors as log shifts, names outside the set masked, both reductions anew, and a wire for mass that moves to one name."""
+    rows = _reduced(_masked_cloud(spark, sf))
+    wire = (F.col("share") > 0.5) & (F.col("vs") > 1e-6) & (F.col("share") / F.col("vs") > 3)
+    return rows.select("grp", "candidate", _r("share").alias("share"), _r("sizing").alias("sizing"), (F.col("ins") & F.col("tr")).cast("int").alias("allocated"), wire.alias("tripwire"))
+
+
+@query(
+    "peak_shifted_cloud",
+    with_roles("draws", more=_CLOUD + """, pk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY share DESC, candidate) AS r FROM fin2 WHERE ins),
+  lift AS (SELECT *, CASE WHEN r = 1 THEN share + 0.5 * (1 - share) ELSE share * 0.5 END AS aim FROM pk)""")
+    + "SELECT grp, candidate, round(ln(greatest(aim, 1e-300)) - m, 6) AS delta, round(aim, 6) AS share, round(spread, 6) AS variance FROM lift",
+)
+def peak_shifted_cloud(spark, sf):
+    """A new point reached by one constant for each row of the cloud: its mean moves, its variance stays."""
+    rows = _masked_cloud(spark, sf).filter("ins").withColumn("m", _mean(F.col("cloud")))
+    rows = rows.withColumn("share", relative.softmax(F.col("m"), ["grp"]))
+    first = F.row_number().over(Window.partitionBy("grp").orderBy(F.col("share").desc(), "candidate")) == 1
+    aim = F.when(first, F.col("share") + 0.5 * (1 - F.col("share"))).otherwise(F.col("share") * 0.5)
+    rows = rows.withColumn("aim", aim).withColumn("delta", F.ln(F.greatest(F.col("aim"), F.lit(1e-300))) - F.col("m"))
+    moved = F.transform("cloud", lambda x: x + F.col("delta"))
+    rows = rows.withColumn("moved", moved).withColumn("mm", _mean(F.col("moved")))
+    back = relative.softmax(F.col("mm"), ["grp"])
+    variance = F.aggregate("moved", F.lit(0.0), lambda a, x: a + (x - F.col("mm")) * (x - F.col("mm"))) / F.size("moved")
+    return rows.select("grp", "candidate", _r("delta").alias("delta"), _r(back).alias("share"), _r(variance).alias("variance"))
+
+
+_CONTEND = """lab AS (SELECT grp, candidate, won, vs, candidate % 17 = grp % 17 AS voted FROM shares),
+  cnt AS (SELECT *, count(*) FILTER (WHERE voted) OVER (PARTITION BY grp) AS nv, row_number() OVER (PARTITION BY grp ORDER BY vs DESC, candidate) AS r FROM lab),
+  con AS (SELECT * FROM cnt WHERE CASE WHEN nv >= 2 THEN voted ELSE r <= 5 END),
+  bs AS (SELECT grp, avg((vs - won) * (vs - won)) AS brier, var_pop(won) AS base FROM con GROUP BY 1),
+  sk AS (SELECT b.grp, CASE WHEN base > 0 THEN 1 - brier / base END AS skill FROM (SELECT DISTINCT grp FROM lab) g JOIN bs b USING (grp))"""
+
+
+@query(
+    "contender_skill",
+    with_roles("scores", more=_MU + ", " + _CONTEND)
+    + "SELECT grp, round(skill, 6) AS skill, round(avg(skill) OVER (ORDER BY grp ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS trailing FROM sk",
+)
+def contender_skill(spark, sf):
+    """Brier skill among those with a vote, or the five likeliest where fewer than two have one, and its trailing mean."""
+    w = Window.partitionBy("grp")
+    rows = _shares(spark, sf).withColumn("voted", F.col("candidate") % 17 == F.col("grp") % 17)
+    rows = rows.withColumn("nv", F.count_if("voted").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.col("vs").desc(), "candidate")))
+    among = rows.filter(F.when(F.col("nv") >= 2, F.col("voted")).otherwise(F.col("r") <= 5))
+    sums = among.groupBy("grp").agg(F.avg(F.pow(F.col("vs") - F.col("won"), F.lit(2))).alias("brier"), F.var_pop("won").alias("base"))
+    skill = sums.select("grp", F.when(F.col("base") > 0, 1 - F.col("brier") / F.nullif(F.col("base"), F.lit(0.0))).alias("skill"))
+    before = Window.partitionBy(F.lit(0)).orderBy("grp").rowsBetween(-10, -1)  # one row a race
+    return skill.select("grp", _r("skill").alias("skill"), _r(F.avg("skill").over(before)).alias("trailing"))
+
+
+@query(
+    "autopsy_rows",
+    with_roles("scores", more=_MU + ", rk AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY vs DESC, candidate) AS r FROM shares), v AS (SELECT grp, max(r) FILTER (WHERE won = 1) AS wr, max(vs) FILTER (WHERE won = 1) AS p FROM rk GROUP BY 1)")
+    + "SELECT v.grp, v.wr AS winner_rank, round(v.p, 6) AS winner_share, CASE WHEN wr = 1 THEN 'hit' WHEN wr <= 3 THEN 'near' ELSE 'miss' END AS verdict, r AS place, candidate, round(vs, 6) AS share FROM v JOIN rk USING (grp) WHERE wr > 3 AND r <= 3",
+)
+def autopsy_rows(spark, sf):
+    """For each race whose winner was not among the first three, who was."""
+    rows = _shares(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("vs").desc(), "candidate")).cast("long"))
+    won = F.col("won") == 1
+    races = rows.groupBy("grp").agg(F.max(F.when(won, F.col("r"))).alias("winner_rank"), F.max(F.when(won, F.col("vs"))).alias("p"))
+    verdict = F.when(F.col("winner_rank") == 1, "hit").when(F.col("winner_rank") <= 3, "near").otherwise("miss")
+    missed = races.filter("winner_rank > 3").select("grp", "winner_rank", _r("p").alias("winner_share"), verdict.alias("verdict"))
+    return missed.join(rows.filter("r <= 3").select("grp", F.col("r").alias("place"), "candidate", _r("vs").alias("share")), "grp")

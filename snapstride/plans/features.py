@@ -208,16 +208,16 @@ def _production(spark, sf):
 
 
 def _carry_in(spark, sf):
-    """Players with a top-three share of last season's awards, at every snapshot not yet admitted."""
+    """Players with any share of last season's awards, at every snapshot not yet admitted."""
     log = roles.game_log(spark, sf)
-    last = roles.award_voting(log).filter("rank <= 3").select("player_id", (F.col("season") + 1).alias("season")).distinct()
+    last = roles.award_voting(log).filter("vote_share > 0").select("player_id", (F.col("season") + 1).alias("season")).distinct()
     spots = last.join(F.broadcast(roles.grid(log).select(*SNAP)), "season").select("player_id", *SNAP)
     return spots.join(_production(spark, sf), ["player_id", *SNAP], "left_anti")
 
 
 _ADMIT = """ranked AS (SELECT *, percent_rank() OVER (PARTITION BY season, snapshot_date ORDER BY pts) AS pct FROM box),
   production AS (SELECT player_id, season, snapshot_date FROM ranked WHERE pct >= 0.9),
-  lasts AS (SELECT DISTINCT player_id, season + 1 AS season FROM voting WHERE rank <= 3),
+  lasts AS (SELECT DISTINCT player_id, season + 1 AS season FROM voting WHERE vote_share > 0),
   carry AS (SELECT l.player_id, g.season, g.snapshot_date FROM lasts l JOIN grid g ON g.season = l.season
             WHERE NOT EXISTS (SELECT 1 FROM production p WHERE p.player_id = l.player_id AND p.season = g.season AND p.snapshot_date = g.snapshot_date))"""
 
@@ -343,13 +343,13 @@ def one_winner_check(spark, sf):
     "walk_forward_folds",
     with_roles("game_log", more="s AS (SELECT DISTINCT season FROM game_log)")
     + """SELECT t.season AS held_out, count(*) AS train_seasons, max(e.season) AS train_le
-FROM s t JOIN s e ON e.season < t.season GROUP BY 1 HAVING count(*) >= 3""",
+FROM s t JOIN s e ON e.season < t.season GROUP BY 1 HAVING count(*) >= 5""",
 )
 def walk_forward_folds(spark, sf):
     seasons = roles.game_log(spark, sf).select("season").distinct()
     earlier = F.row_number().over(Window.orderBy("season")) - 1
     rows = seasons.select(F.col("season").alias("held_out"), earlier.cast("long").alias("train_seasons"), F.lag("season").over(Window.orderBy("season")).alias("train_le"))
-    return rows.filter("train_seasons >= 3")
+    return rows.filter("train_seasons >= 5")
 
 
 @query(

@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..operators import asof
-from ..session import table
+from ..operators import asof, quantiles
+from ..session import shared_dir, table
 from ..sources import landing
 from . import roles
 from .registry import query
@@ -138,13 +138,13 @@ def naive_vol(spark, sf):
 
 @query(
     "jump_rates",
-    with_roles("daily", more=_STEPS + ", b AS (SELECT *, CASE WHEN abs(lag(z) OVER (PARTITION BY candidate ORDER BY i)) < 0.85 THEN 'near' WHEN abs(lag(z) OVER (PARTITION BY candidate ORDER BY i)) < 2 THEN 'mid' ELSE 'far' END AS bin FROM st)")
+    with_roles("daily", more=_STEPS + ", b AS (SELECT *, CASE WHEN abs(lag(z) OVER (PARTITION BY candidate ORDER BY i)) < 0.85 THEN 'centre' WHEN abs(lag(z) OVER (PARTITION BY candidate ORDER BY i)) < 2.2 THEN 'mid' ELSE 'extreme' END AS bin FROM st)")
     + """SELECT bin, count(*) AS days, count(*) FILTER (WHERE abs(s) > 0.5) AS jumps, round(greatest(1e-4, avg((abs(s) > 0.5)::INT)), 6) AS rate,
   round(coalesce(avg(s * s) FILTER (WHERE abs(s) > 0.5), 0.64), 6) AS size FROM b WHERE s IS NOT NULL GROUP BY bin""",
 )
 def jump_rates(spark, sf):
     far = F.abs(F.lag("z").over(_by_day()))
-    rows = _steps(spark, sf).withColumn("bin", F.when(far < 0.85, "near").when(far < 2, "mid").otherwise("far")).filter("s is not null")
+    rows = _steps(spark, sf).withColumn("bin", pricing.logit_bin(far)).filter("s is not null")
     jump = F.abs("s") > 0.5
     return rows.groupBy("bin").agg(
         F.count(F.lit(1)).alias("days"), F.count_if(jump).alias("jumps"), _r(F.greatest(F.lit(1e-4), F.avg(jump.cast("int")))).alias("rate"), _r(F.coalesce(F.avg(F.when(jump, F.col("s") * F.col("s"))), F.lit(0.64))).alias("size")
@@ -176,12 +176,19 @@ def _coverage(spark, sf):
     + """SELECT tier, n, round(q, 6) AS q80, round(CASE WHEN n < 10 THEN q0 ELSE least(1, greatest(0, (n - 10) / 70e0)) * q + (1 - least(1, greatest(0, (n - 10) / 70e0))) * q0 END, 6) AS shrunk FROM cell, pool""",
 )
 def coverage_surface(spark, sf):
-    rows = _coverage(spark, sf).select("tier", "r")
-    cells = rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.percentile("r", F.lit(0.8)).alias("q"))
-    pooled = rows.agg(F.percentile("r", F.lit(0.8)).alias("q0"))
+    rows = _written(spark, _coverage(spark, sf).select("tier", "r"), "coverage")
+    cells = rows.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).join(quantiles.percentile(rows, ["tier"], "r", 0.8, "q"), "tier")
+    pooled = quantiles.percentile(rows, [], "r", 0.8, "q0")
     w = pricing.clip((F.col("n") - 10) / 70.0, 0.0, 1.0)
     shrunk = F.when(F.col("n") < 10, F.col("q0")).otherwise(w * F.col("q") + (1 - w) * F.col("q0"))
-    return cells.crossJoin(F.broadcast(pooled)).select("tier", "n", _r("q").alias("q80"), _r(shrunk).alias("shrunk"))
+    return cells.crossJoin(F.broadcast(pooled)).select("tier", "n", _r("q").alias("q80"), _r(shrunk).alias("shrunk"))  # one row
+
+
+def _written(spark, rows, name: str):
+    """``rows`` written once to the shared folder, as quantiles read them several times."""
+    path = shared_dir(spark, name)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query(
@@ -193,14 +200,11 @@ def coverage_surface(spark, sf):
     + "SELECT x0, round(min(r) FILTER (WHERE c >= 0.8), 6) AS q80, round(max(n_eff), 4) AS n_eff FROM cum GROUP BY x0",
 )
 def kernel_quantile(spark, sf):
-    at = F.explode(F.array(*[F.lit(x) for x in (-2.0, -1.0, 0.0, 1.0)]))
-    rows = _coverage(spark, sf).select("*", at.alias("x0"))
-    far = (F.ln(F.col("price") / (1 - F.col("price"))) - F.col("x0")) / 0.75
-    rows = rows.withColumn("w", F.exp(-0.5 * F.pow(far, F.lit(2))))
-    every = Window.partitionBy("x0")
-    rows = rows.withColumn("c", F.sum("w").over(every.orderBy("r", "candidate", "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("w").over(every))
-    kish = F.pow(F.sum("w"), F.lit(2)) / F.sum(F.col("w") * F.col("w"))
-    return rows.groupBy("x0").agg(_r(F.min(F.when(F.col("c") >= 0.8, F.col("r")))).alias("q80"), _r(kish, 4).alias("n_eff"))
+    spots = F.array(*[F.lit(x) for x in (-2.0, -1.0, 0.0, 1.0)])
+    rows = _coverage(spark, sf).select("r", F.ln(F.col("price") / (1 - F.col("price"))).alias("x"), F.explode(spots).alias("x0"))
+    rows = _written(spark, rows.select("x0", "r", F.exp(-0.5 * F.pow((F.col("x") - F.col("x0")) / 0.75, F.lit(2))).alias("w")), "kernel")
+    found = quantiles.weighted(rows, ["x0"], "r", "w", 0.8, "q")
+    return found.select("x0", _r("q").alias("q80"), _r("n_eff", 4).alias("n_eff"))
 
 
 @query(
@@ -210,10 +214,16 @@ def kernel_quantile(spark, sf):
   round(sum(d), 4) AS xd, round(sum(d * d), 4) AS dd, round(sum(c * d), 4) AS cd, round(sum(y), 4) AS xy, round(sum(b * y), 4) AS byy, round(sum(c * y), 4) AS cy, round(sum(d * y), 4) AS dy FROM x""",
 )
 def glm_normal_equations(spark, sf):
+    sums = normal_sums(spark, sf)
+    return sums.select("n", *[_r(c, 4).alias(c) for c in sums.columns if c != "n"])
+
+
+def normal_sums(spark, sf):
+    """The sums of products behind the normal equations, not rounded."""
     x = F.ln(F.col("price") / (1 - F.col("price")))
     rows = _coverage(spark, sf).select(x.alias("b"), F.pow(x, F.lit(2)).alias("c"), F.ln("vol").alias("d"), F.ln(F.greatest("reach", F.lit(1e-3))).alias("y"))
     pairs = {"xb": ["b"], "bb": ["b", "b"], "bc": ["b", "c"], "cc": ["c", "c"], "bd": ["b", "d"], "xd": ["d"], "dd": ["d", "d"], "cd": ["c", "d"], "xy": ["y"], "byy": ["b", "y"], "cy": ["c", "y"], "dy": ["d", "y"]}
-    sums = [_r(F.sum(F.col(p[0]) * F.col(p[1]) if len(p) == 2 else F.col(p[0])), 4).alias(n) for n, p in pairs.items()]
+    sums = [F.sum(F.col(p[0]) * F.col(p[1]) if len(p) == 2 else F.col(p[0])).alias(n) for n, p in pairs.items()]
     return rows.agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
@@ -285,14 +295,14 @@ def size_scaling(spark, sf):
     with_roles("ticks", more=_SIG + f""", sp AS (SELECT *, {_SPREAD} AS c0 FROM sg),
   k AS (SELECT *, (1 - price) / price AS b, least(0.95, price + 0.1) AS p, abs(raw) / 1000 AS f FROM sp),
   g AS (SELECT *, 1000 * 2 * c0 / (p * b * b / power(1 + b * f, 2) + (1 - p) / power(1 - f, 2)) AS width, 25 * (candidate % 13) AS cur FROM k)""")
-    + """SELECT candidate, round(greatest(0, least(1, (p * (b + 1) - 1) / b)), 6) AS kelly, round(width, 6) AS width,
+    + """SELECT candidate, round(greatest(0, least(1, (p * (b + 1) - 1) / b)), 6) AS kelly, round(width, 6) AS width, round(p * b / (1 + b * f) - (1 - p) / (1 - f), 6) AS slope,
   round(CASE WHEN abs(cur - raw) <= width THEN cur ELSE raw + sign(cur - raw) * width END, 6) AS position FROM g""",
 )
 def no_trade_band(spark, sf):
     rows = _sigmas(spark, sf).withColumn("b", (1 - F.col("price")) / F.col("price")).withColumn("p", F.least(F.lit(0.95), F.col("price") + 0.1))
     curve = pricing.curvature(F.abs("raw") / 1000, F.col("p"), F.col("b"))
     rows = rows.withColumn("width", 1000 * 2 * pricing.half_spread(F.col("price")) / curve).withColumn("cur", (25 * (F.col("candidate") % 13)).cast("double"))
-    return rows.select("candidate", _r(pricing.kelly_star(F.col("p"), F.col("b"))).alias("kelly"), _r("width").alias("width"), _r(pricing.project(F.col("raw"), F.col("cur"), F.col("width"))).alias("position"))
+    return rows.select("candidate", _r(pricing.kelly_star(F.col("p"), F.col("b"))).alias("kelly"), _r("width").alias("width"), _r(pricing.growth_slope(F.abs("raw") / 1000, F.col("p"), F.col("b"))).alias("slope"), _r(pricing.project(F.col("raw"), F.col("cur"), F.col("width"))).alias("position"))
 
 
 @query(
@@ -303,9 +313,11 @@ def no_trade_band(spark, sf):
     + "SELECT candidate, round(mean, 6) AS mean, round(cvar, 6) AS cvar, round(down, 6) AS sigma_down, round(greatest(-10, least(10, mean / greatest(cvar, 0.05))), 6) AS radj, greatest(-10, least(10, mean / greatest(cvar, 0.05))) > 0.05 AS open FROM s",
 )
 def cvar_radj(spark, sf):
-    w = Window.partitionBy("candidate")
-    rows = roles.ticks(spark, sf).withColumn("edge", F.col("price") - F.avg("price").over(w) + (F.col("candidate") % 5) / 20.0)
-    rows = rows.withColumn("q05", F.percentile("edge", F.lit(0.05)).over(w))
+    rows = roles.ticks(spark, sf)
+    means = rows.groupBy("candidate").agg(F.avg("price").alias("m"))
+    rows = rows.join(means, "candidate").select("candidate", (F.col("price") - F.col("m") + (F.col("candidate") % 5) / 20.0).alias("edge"))
+    rows = _written(spark, rows, "edges")
+    rows = rows.join(quantiles.percentile(rows, ["candidate"], "edge", 0.05, "q05"), "candidate")
     down = F.least(F.col("edge"), F.lit(0.0))
     sums = rows.groupBy("candidate").agg(F.avg("edge").alias("mean"), F.greatest(F.lit(1e-6), -F.avg(F.when(F.col("edge") <= F.col("q05"), F.col("edge")))).alias("cvar"), F.sqrt(F.avg(down * down)).alias("down"))
     radj = pricing.clip(F.col("mean") / F.greatest(F.col("cvar"), F.lit(0.05)), -10.0, 10.0)
@@ -325,15 +337,15 @@ def survival_horizon(spark, sf):
     return rows.select("candidate", _r(life).alias("half_life"), _r(mean).alias("mean_steps"), _r(F.col("w")[0]).alias("first_weight"))
 
 
-_SWEEP = """pts AS (SELECT user_id, event_type, ts, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS rk FROM events WHERE (user_id + day(ts)) % 5 = 0 AND user_id % 11 <> 0),
+_SWEEP = """pts AS (SELECT user_id, event_type, ts, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS rk FROM events WHERE user_id % 11 <> 0),
   best AS (SELECT user_id, min(rk) AS rk FROM pts GROUP BY 1), fine AS (SELECT pts.* FROM pts JOIN best USING (user_id, rk))"""
 
 
 def _sweep(spark, sf):
-    """Points of each user by granularity (the event type), some users without any."""
+    """Points of each user by granularity (the event type); every eleventh user is a target without any."""
     kind = F.col("event_type")
     rank = F.when(kind == "purchase", 1).when(kind == "error", 2).when(kind == "view", 3).otherwise(4)
-    rows = table(spark, sf, "events").filter("(user_id + day(ts)) % 5 = 0 and user_id % 11 <> 0")
+    rows = table(spark, sf, "events").filter("user_id % 11 <> 0")
     return landing.finest_history(rows.select("user_id", "event_type", "ts", rank.alias("rk")), "user_id", "rk")
 
 
@@ -391,8 +403,8 @@ def target_union_held(spark, sf):
 )
 def held_out_coverage(spark, sf):
     """Leave one fold of series out: the others' 80% quantile, and how much of the fold it covers."""
-    rows = _coverage(spark, sf).select("r", (F.col("candidate") % 5).alias("fold"))
-    others = rows.select("r", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))).alias("out"))
-    fitted = others.groupBy(F.col("out").cast("long").alias("fold")).agg(F.count(F.lit(1)).alias("train_rows"), F.percentile("r", F.lit(0.8)).alias("q"))
+    rows = _written(spark, _coverage(spark, sf).select("r", (F.col("candidate") % 5).alias("fold")), "folds")
+    others = rows.select("r", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: k != F.col("fold"))).alias("out")).withColumn("out", F.col("out").cast("long"))
+    fitted = others.groupBy("out").agg(F.count(F.lit(1)).alias("train_rows")).join(quantiles.percentile(others, ["out"], "r", 0.8, "q"), "out").withColumnRenamed("out", "fold")
     tested = rows.join(F.broadcast(fitted), "fold")  # one row a fold
     return tested.groupBy("fold", "train_rows", _r("q").alias("q80")).agg(F.count(F.lit(1)).alias("rows"), _r(F.avg((F.col("r") <= F.col("q")).cast("int"))).alias("covered"))

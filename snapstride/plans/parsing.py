@@ -10,7 +10,7 @@ from .registry import query
 
 #: Fixed test descriptions, by the number in an event's properties.
 REPORTS = [
-    "Injury/Illness - Right Acl; Tear",
+    "Injury/Illness - Both Acl; Torn",
     "Injury/Illness - Left Achilles; Soreness",
     "Injury/Illness - Right Knee; Meniscus Surgery",
     "Injury/Illness - Left Ankle; Sprain",
@@ -165,3 +165,61 @@ def coerce_and_derive(spark, sf):
     season = parse.season_start(F.col("day"), 10)
     ts = parse.true_shooting(F.col("l_extendedprice"), F.col("l_quantity"), line)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "price", "day", F.round(ts, 9).alias("ts_pct"), season.alias("season"), parse.season_label(season).alias("label"))
+
+
+_TALK = "t AS (SELECT conv_id, turn, lower(trim(regexp_replace(translate(coalesce(text, ''), '-_', '  '), '\\s+', ' ', 'g'))) AS x FROM conversations)"
+
+
+@query(
+    "family_matches",
+    f"WITH {_TALK}, m AS (SELECT conv_id, turn, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN '{v}' END" for p, v in classify.FAMILY_RULES) + "], lambda f: f IS NOT NULL) AS f FROM t) SELECT conv_id, turn, len(f) AS matches, f[1] AS first, array_to_string(f, ',') AS families FROM m",
+)
+def family_matches(spark, sf):
+    """All families that a turn of conversation names, and the first of them."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", classify.one_spaced(F.coalesce("text", F.lit(""))).alias("x"))
+    found = F.filter(F.array(*[F.when(F.col("x").rlike(p), F.lit(v)) for p, v in classify.FAMILY_RULES]), lambda f: f.isNotNull())
+    rows = rows.select("conv_id", "turn", found.alias("f"))
+    return rows.select("conv_id", "turn", F.size("f").cast("long").alias("matches"), F.get("f", F.lit(0)).alias("first"), F.array_join("f", ",").alias("families"))
+
+
+@query(
+    "text_reasons",
+    f"""WITH p AS (SELECT doc_id, lower(trim(coalesce(text, ''))) AS d FROM documents), s AS (SELECT *, regexp_replace(d, '{classify.REPORT_PREFIX}', ' ', 'g') AS s FROM p)
+SELECT doc_id, CASE WHEN d = '' THEN 'unknown' WHEN regexp_matches(s, '{classify.SEASON_ENDING}') OR (regexp_matches(s, '{classify.SEVERE_PART}') AND (regexp_matches(s, '{classify.SEVERE_TOKEN}') OR NOT regexp_matches(s, '{classify.BENIGN_TOKEN}'))) THEN 'season_ending'
+  ELSE {_case("s", classify.REASON_RULES, "'unknown'")} END AS category, regexp_matches(d, '{classify.NON_INJURY}') AS other FROM s""",
+)
+def text_reasons(spark, sf):
+    """The report rules over every whole document, most of which are no report."""
+    text = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", classify.reason(text).alias("category"), classify.non_injury(text).alias("other"))
+
+
+#: Words that make a market relevant, wherever they stand in its fields.
+KEYWORDS = ["steel", "brass", "#11"]
+
+
+@query(
+    "relevant_markets",
+    "WITH p AS (SELECT p_partkey AS market_id, lower(concat_ws(' ', p_name, p_type, p_brand)) AS x, p_size FROM part) SELECT market_id, CASE WHEN p_size % 5 = 0 THEN 'resolved' WHEN p_size % 3 = 0 THEN 'closed' WHEN p_size % 2 = 0 THEN 'open' END AS status, CAST(("
+    + " + ".join(f"contains(x, '{k}')::INT" for k in KEYWORDS)
+    + ") AS INT) AS hits FROM p WHERE "
+    + " OR ".join(f"contains(x, '{k}')" for k in KEYWORDS),
+)
+def relevant_markets(spark, sf):
+    """Markets with any keyword in their fields, and what state they are in: resolved before closed before open."""
+    text = F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand"))
+    size = F.col("p_size")
+    status = F.when(size % 5 == 0, "resolved").when(size % 3 == 0, "closed").when(size % 2 == 0, "open")
+    hits = sum((text.contains(k).cast("int") for k in KEYWORDS), F.lit(0))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("market_id"), status.alias("status"), hits.alias("hits")).filter("hits > 0")
+
+
+@query(
+    "whole_numbers",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 4 = 0 THEN NULL ELSE CAST(trunc(l_extendedprice) AS BIGINT) END AS units FROM lineitem""",
+)
+def whole_numbers(spark, sf):
+    """Whole numbers from text: what stands after the point is cut, what is no number is null."""
+    line = F.col("l_linenumber")
+    text = F.when(line % 4 == 0, F.element_at(F.array(F.lit(""), F.lit("nan"), F.lit("-"), F.lit("n/a")), (F.pmod(F.col("l_orderkey"), F.lit(4)) + 1).cast("int"))).otherwise(F.format_number("l_extendedprice", 2))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", parse.whole(text).alias("units"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import model, relative, simulate
 from ..session import shared_dir, ship
-from . import ensembles, markets, roles
+from . import ensembles, markets, roles, volatility
 from .registry import query
 
 SNAP = ["season", "snapshot_date"]
@@ -17,10 +17,10 @@ SNAP = ["season", "snapshot_date"]
 def _design(spark, sf):
     """Month-end rows with group-relative features and each candidate's season share as label."""
     log = roles.game_log(spark, sf)
-    votes = roles.award_voting(log).filter("award = 'N'").select("player_id", "season", "vote_share")
+    votes = roles.award_voting(log).filter("award = 'N'").select("player_id", "season", "vote_share", "votes")
     box = roles.box_asof(log).join(votes, ["player_id", "season"])
     label = F.col("vote_share") / F.sum("vote_share").over(Window.partitionBy(*SNAP))
-    return box.select("player_id", *SNAP, *[relative.zscore(c, SNAP).alias(f"z_{c}") for c in ("pts", "mpg", "gp")], label.alias("label"))
+    return box.select("player_id", *SNAP, *[relative.zscore(c, SNAP).alias(f"z_{c}") for c in ("pts", "mpg", "gp")], label.alias("label"), "vote_share", "votes")
 
 
 @query("pl_ensemble_fit", dates=("snapshot_date",))
@@ -41,6 +41,23 @@ def pl_boosted_fit(spark, sf):
     return scored.groupBy("player_id", *SNAP).agg(F.avg("score").alias("mu"))
 
 
+@query("gain_importance")
+def gain_importance(spark, sf):
+    ship(spark)
+    return model.gain_importance(_design(spark, sf).filter("z_pts is not null"), season="season", group=SNAP, features=["z_pts", "z_mpg", "z_gp"], label="label")
+
+
+@query("retrain_arms")
+def retrain_arms(spark, sf):
+    """Linear ensembles of four arms: as they are, one sign held, by points' share and by first-place share."""
+    ship(spark)
+    rows = _design(spark, sf)
+    w = Window.partitionBy(*SNAP)
+    rows = rows.withColumn("first", F.coalesce(F.col("votes") / F.nullif(F.sum("votes").over(w), F.lit(0)), F.lit(0.0)))
+    arms = {"baseline": ("label", {}), "monotone": ("label", {"z_gp": -1}), "vs": ("vote_share", {}), "fp": ("first", {})}
+    return model.fit_arms(rows, arms, season="season", group=SNAP, features=["z_pts", "z_mpg", "z_gp"]).drop("features", "mean", "sd")
+
+
 @query("joint_samples")
 def joint_samples(spark, sf):
     ship(spark)
@@ -63,12 +80,12 @@ def garch_vol(spark, sf):
 
 @query("forward_edge")
 def forward_edge(spark, sf):
+    """Each candidate's forward edge at its last price, its moves drawn from all series around that point."""
     ship(spark)
-    steps = markets._steps(spark, sf).groupBy("candidate").agg(
-        F.max_by("price", "i").alias("price"), F.sort_array(F.collect_list(F.struct("i", "s"))).alias("m")
-    )
-    rows = steps.select("candidate", "price", ((F.col("candidate") % 11) / 10.0).alias("frac"), F.filter(F.transform("m", lambda x: x["s"]), lambda x: x.isNotNull()).alias("moves"))
-    return simulate.forward_edge(rows, key="candidate", price="price", frac="frac", moves="moves")
+    corpus = simulate.move_corpus(volatility._moves(spark, sf))
+    last = markets._steps(spark, sf).groupBy("candidate").agg(F.max_by("price", "i").alias("price"), F.sqrt(F.avg(F.col("s") * F.col("s"))).alias("vol"))
+    rows = last.select("candidate", "price", ((F.col("candidate") % 11) / 10.0).alias("frac"), "vol")
+    return simulate.forward_edge(rows, corpus, key="candidate", price="price", frac="frac", vol="vol")
 
 
 @query("kelly_backtest", dates=("day",))
@@ -98,7 +115,7 @@ def score_from_models(spark, sf):
 @query("glm_fit")
 def glm_fit(spark, sf):
     """Weights of log reach on (1, x, x squared, log vol): Spark sums, a 4 x 4 ridge solve here."""
-    s = markets.glm_normal_equations(spark, sf).first()
+    s = markets.normal_sums(spark, sf).first()
     a = np.array([[s.n, s.xb, s.bb, s.xd], [s.xb, s.bb, s.bc, s.bd], [s.bb, s.bc, s.cc, s.cd], [s.xd, s.bd, s.cd, s.dd]], float)
     w = np.linalg.solve(a + 1e-3 * np.eye(4), np.array([s.xy, s.byy, s.cy, s.dy]))
     return spark.createDataFrame([(n, float(x)) for n, x in zip(("one", "logit", "logit2", "log_vol"), w, strict=True)], "term string, weight double")

@@ -20,7 +20,7 @@ def _r(c, n=6):
 # Three books (event types), each a running sum of signed values, marked on their own days.
 _BOOKS = ["purchase", "error", "view"]
 _EQ = """flow AS (SELECT event_type AS book, CAST(ts AS DATE) AS day, sum(CAST(floor(value) AS BIGINT) * CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END) AS f FROM events
-    WHERE event_type IN ('purchase', 'error', 'view') AND event_id % 4 = 0 GROUP BY 1, 2),
+    WHERE event_type IN ('purchase', 'error', 'view') GROUP BY 1, 2),
   eq AS (SELECT book, day, 50000 + sum(f) OVER (PARTITION BY book ORDER BY day) AS e FROM flow),
   days AS (SELECT DISTINCT day FROM eq), books AS (SELECT DISTINCT book FROM eq),
   filled AS (SELECT b.book, d.day, coalesce(last_value(e IGNORE NULLS) OVER w, first_value(e IGNORE NULLS) OVER (PARTITION BY b.book ORDER BY d.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS e
@@ -32,7 +32,7 @@ _EQ = """flow AS (SELECT event_type AS book, CAST(ts AS DATE) AS day, sum(CAST(f
 def _equity(spark, sf):
     """book, day, e: each book on every day of any, carried forward, and their sum."""
     sign = F.when(F.col("event_id") % 3 == 0, -1).otherwise(1)
-    rows = table(spark, sf, "events").filter(F.col("event_type").isin(*_BOOKS) & (F.col("event_id") % 4 == 0))
+    rows = table(spark, sf, "events").filter(F.col("event_type").isin(*_BOOKS))
     flow = rows.groupBy(F.col("event_type").alias("book"), F.to_date("ts").alias("day")).agg(F.sum(F.floor("value") * sign).alias("f"))
     eq = flow.select("book", "day", (50000 + F.sum("f").over(Window.partitionBy("book").orderBy("day"))).alias("e"))
     grid = eq.select("book").distinct().crossJoin(F.broadcast(eq.select("day").distinct()))
@@ -122,6 +122,24 @@ def verdicts(spark, sf):
     return _attributed(spark, sf).groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"), _r(F.sum("realised"), 4).alias("realised"))
 
 
+@query(
+    "book_summary",
+    with_roles(more=_TR)
+    + """SELECT pid % 3 AS book, count(*) AS positions, round(sum(realised), 4) AS pnl, round(100 * sum(realised) / sum(cash_in), 6) AS return_pct, round(avg((realised > 0)::INT), 6) AS win_rate,
+  round(sum(fve), 4) AS fair_value_edge, round(sum(cost), 4) AS cost_drag, round(sum(osur), 4) AS outcome_surprise, round(sum(path), 4) AS path_residual,
+  abs(sum(realised) - sum(fve) - sum(cost) - sum(osur) - sum(path)) < 1e-6 AS reconciled FROM res GROUP BY 1""",
+)
+def book_summary(spark, sf):
+    """Each book's profit, return and win rate, and whether its attribution adds up."""
+    parts = {"fve": "fair_value_edge", "cost": "cost_drag", "osur": "outcome_surprise", "path": "path_residual"}
+    rows = _attributed(spark, sf).groupBy((F.col("pid") % 3).alias("book"))
+    gap = F.sum("realised") - sum((F.sum(c) for c in parts), F.lit(0.0))
+    return rows.agg(
+        F.count(F.lit(1)).alias("positions"), _r(F.sum("realised"), 4).alias("pnl"), _r(100 * F.sum("realised") / F.sum("cash_in")).alias("return_pct"), _r(F.avg((F.col("realised") > 0).cast("int"))).alias("win_rate"),
+        *[_r(F.sum(c), 4).alias(n) for c, n in parts.items()], (F.abs(gap) < 1e-6).alias("reconciled"),
+    )
+
+
 @query(
     "churn",
     with_roles(more=_TR + ", per AS (SELECT pid, count(*) AS n, sum(shares * mid) AS gross FROM tr GROUP BY pid)")
@@ -180,4 +198,4 @@ def stream_upsert(spark, sf):
     rows = rows.select("user_id", "event_type", "value", "event_id")
     folder = shared_dir(spark, "latest")
     started = prices.upsert_stream(rows, folder, ["user_id", "event_type"], ["event_id"], shared_dir(spark, "stream"))
-    return prices.latest_version(spark, folder, started)
+    return prices.latest_version(spark, folder, started, rows.schema)

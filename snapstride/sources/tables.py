@@ -35,6 +35,33 @@ def residual(done: DataFrame, kind: str) -> DataFrame:
     return done.filter((F.col("pull_type") == kind) & (F.col("n_failed") > 0)).select("season").orderBy(F.col("season").desc())
 
 
+def mark_complete(done: DataFrame, kind: str, found: DataFrame) -> DataFrame:
+    """``done`` with the seasons of ``found`` (season, n_failed) marked, a repeat in place of the old mark."""
+    marks = found.select(F.lit(kind).alias("pull_type"), "season", F.col("n_failed").cast("long").alias("n_failed"))
+    return upsert(done.select("pull_type", "season", F.col("n_failed").cast("long").alias("n_failed")), marks, ["pull_type", "season"], ["n_failed"])
+
+
+def utc_stamp(rows: DataFrame, column: str, at: str | None = None) -> DataFrame:
+    """``rows`` with one ISO stamp in UTC, to the second: ``at`` where a rerun has to agree, else now."""
+    when = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    return rows.withColumn(column, F.date_format(F.to_utc_timestamp(when, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
+def latest_selection(registry: DataFrame, award: str, number: str, kept: str) -> DataFrame:
+    """award, number, place, column_name of each award's greatest number; ``kept`` is a JSON list."""
+    last = registry.groupBy(award).agg(F.max_by(F.struct(number, kept), number).alias("last"))
+    names = F.from_json(F.col(f"last.{kept}"), "array<string>")
+    return last.select(award, F.col(f"last.{number}").alias(number), F.posexplode(names).alias("place", "column_name"))
+
+
+def keep_columns(rows: DataFrame, wanted: list[str], always: Iterable[str] = ()) -> DataFrame:
+    """The ``wanted`` columns, and those of ``always`` that are there; raises if one is missing."""
+    missing = [c for c in wanted if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {missing}")
+    return rows.select(*wanted, *[c for c in always if c in rows.columns and c not in wanted])
+
+
 def fill_null(rows: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:
     """``rows`` with ``column`` from ``found`` where it is null."""
     other = found.select(key, F.col(column).alias("__found"))
@@ -60,6 +87,11 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.withColumns(nested).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls among its fields."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def cached(spark: SparkSession, folder: str, parts: dict, build: Callable[[], DataFrame]) -> DataFrame:
     """The table under the digest of ``parts``; built and written if it is not there.
 

@@ -29,3 +29,19 @@ def test_filter_on_a_partition_key_goes_below_the_window(spark):
     plan = catalog.queries()["group_zscore"](spark, SMALL).filter("season = 1996")
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.rfind("1996") > text.find("Window")
+
+
+def test_no_query_buffers_all_rows_for_a_quantile(spark):
+    for name in ("coverage_surface", "kernel_quantile", "held_out_coverage", "cvar_radj", "coverage_cells", "signed_quantiles", "miss_cells"):
+        plan = catalog.queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert " percentile(" not in plan and "collect_list" not in plan, name
+
+
+def test_sealed_prices_are_one_sort_and_no_range_join(spark):
+    plan = catalog.queries()["exec_price_seal"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and ">= " not in plan.split("SortMergeJoin")[-1].split("\n")[0]
+
+
+def test_scans_read_only_the_columns_they_need(spark):
+    plan = catalog.queries()["game_log_tally"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "o_comment" not in plan and "ReadSchema" in plan

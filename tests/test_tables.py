@@ -48,9 +48,17 @@ def test_stream_upsert_over_batches_equals_one_upsert(spark):
     for part in range(3):
         spark.range(30).coalesce(1).select((F.col("id") % 7).alias("k"), (F.col("id") + 100 * part).alias("seq")).write.mode("append").parquet(src)
     rows = prices.replay(spark, src, spark.read.parquet(src).schema)
-    folder = shared_dir(spark, "latest")
-    done = prices.latest_version(spark, folder, prices.upsert_stream(rows, folder, ["k"], ["seq"], shared_dir(spark, "ck")))
-    assert {(r.k, r.seq) for r in done.collect()} == {(k, 200 + max(i for i in range(30) if i % 7 == k)) for k in range(7)}
+    folder, checkpoint = shared_dir(spark, "latest"), shared_dir(spark, "ck")
+
+    def run():
+        return prices.latest_version(spark, folder, prices.upsert_stream(rows, folder, ["k"], ["seq"], checkpoint), rows.schema)
+
+    wanted = {(k, 200 + max(i for i in range(30) if i % 7 == k)) for k in range(7)}
+    assert {(r.k, r.seq) for r in run().collect()} == wanted
+    assert {(r.k, r.seq) for r in run().collect()} == wanted  # a restart without new data
+    spark.range(2).select(F.lit(3).cast("long").alias("k"), (F.col("id") + 900).alias("seq")).coalesce(1).write.mode("append").parquet(src)
+    assert {(r.k, r.seq) for r in run().collect()} == {*(x for x in wanted if x[0] != 3), (3, 901)}
+    assert len(prices._versions(spark, folder)) == 2  # older ones are gone
 
 
 def _drain(spark, df, name, mode="append"):
