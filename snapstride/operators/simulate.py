@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .model import seed_of
+from .region import Region
 
 MIN_TICKET = 15.0
 
@@ -205,21 +206,6 @@ def kelly_solve(q: np.ndarray, price: np.ndarray, wealth: float, budget: float,
     return best
 
 
-def region_step(target: float, held: float, width: float, streak: int, fresh: bool, confirm: int = 2, margin: float = 1.0) -> tuple[float, int]:
-    """Next position and reversal streak of one name.
-
-    A flat name opens at its target; a held one stays inside the band and else goes to its
-    near edge; the opposite side needs ``confirm`` fresh snapshots in a row, then trades fully.
-    """
-    if abs(held) < 1e-9:
-        return target, 0
-    if np.sign(target) == -np.sign(held) and abs(target) > margin:
-        streak += fresh
-        return (held, streak) if streak < confirm else (target, 0)
-    gap = held - target
-    return (held if abs(gap) <= width else target + np.sign(gap) * width), (0 if fresh else streak)
-
-
 def backtest(days: DataFrame, *, book: str, day: str, name: str, price: str, prob: str, snapshot: str, won: str, wealth: float = 1000.0, spread: float = 0.02, rounds: int = 120) -> DataFrame:
     """The daily fold of each book: book, day, equity, n_open, traded, and a settled last row.
 
@@ -231,13 +217,12 @@ def backtest(days: DataFrame, *, book: str, day: str, name: str, price: str, pro
     schema = f"`{book}` {kinds[book]}, `{day}` {kinds[day]}, equity double, n_open long, traded double, settled boolean"
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        cash, shares, streaks, seen, marks = wealth, {}, {}, None, []
+        cash, shares, fairs, region, marks = wealth, {}, {}, Region(), []
         part = part.sort_values([day, name], kind="stable")
         last: dict = {}
         winners = set(part.loc[part[won] == 1, name])
         for when, today in part.groupby(day, sort=True):
             last.update(zip(today[name], today[price], strict=True))
-            fresh = today[snapshot].iloc[0] != seen
             seen = today[snapshot].iloc[0]
             solved = today[name].tolist()
             ids = solved + sorted(set(shares) - set(solved))
@@ -249,9 +234,11 @@ def backtest(days: DataFrame, *, book: str, day: str, name: str, price: str, pro
             equity = cash + sum(s * last[i] if s > 0 else -s * (1 - last[i]) for i, s in shares.items())
             target = kelly_solve(q, px[:n], max(equity, 1.0), max(equity, 1.0) * 0.5, np.full(n, spread), held[:n], np.ones(n, bool), seed_of(key[0], when), rounds=rounds)
             target = np.concatenate([target, np.zeros(len(ids) - n)])
+            fairs.update(zip(solved, q.tolist(), strict=True))
+            fair = np.array([fairs[i] for i in ids])  # the last one known of a name without a price
+            stakes = region.step(ids, target, held, fair, px, lambda size: np.full(len(size), spread), equity, seen)
             traded = 0.0
-            for i, p, t, h in zip(ids, px, target, held, strict=True):
-                new, streaks[i] = region_step(t, h, 0.02 * equity, streaks.get(i, 0), fresh)
+            for i, p, new, h in zip(ids, px, stakes.tolist(), held.tolist(), strict=True):
                 if abs(new - h) < MIN_TICKET:
                     continue
                 if h and np.sign(new) != np.sign(h):  # close the other side first

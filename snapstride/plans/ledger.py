@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pricing
-from ..operators import ledger
+from ..operators import asof, ledger
 from . import markets, roles
 from .registry import query
 from .roles import with_roles
@@ -102,3 +102,16 @@ def model_legs_at_exec(spark, sf):
     scores = roles.scores(spark, sf).select("candidate", mean.alias("mu"))
     rows = priced.join(first, "candidate").withColumn("snapshot", snapshot).filter((F.col("snapshot") >= F.col("since")) & version.like("oof_1%"))
     return rows.join(scores, "candidate").select("candidate", "day", "snapshot", _r("mu").alias("score"), _r("fwd", 9).alias("price"))
+
+
+@query(
+    "budget_asof",
+    with_roles("daily", more="""b AS (SELECT candidate, day, round(100 * price, 4) AS budget FROM daily WHERE dayofmonth(day) IN (1, 10, 20))""")
+    + "SELECT d.candidate, d.day, arg_max(b.budget, b.day) AS budget, max(b.day) AS since FROM daily d LEFT JOIN b ON b.candidate = d.candidate AND b.day <= d.day GROUP BY 1, 2",
+    dates=("day", "since"),
+)
+def budget_asof(spark, sf):
+    """The budget in force on each day: the last one set up to it."""
+    days = roles.daily_prices(spark, sf)
+    budgets = days.filter(F.dayofmonth("day").isin(1, 10, 20)).select("candidate", F.col("day").alias("since"), _r(100 * F.col("price"), 4).alias("budget"))
+    return asof.latest(days.select("candidate", "day"), budgets, ["candidate"], "day", "since", ["since"], ["budget", "since"])

@@ -124,14 +124,16 @@ def flatten_markets(spark, sf):
 
 @query(
     "uncomment_tables",
-    """SELECT page_id, length(html) AS n_before, (length(html) - length(replace(html, '<!--', ''))) // 4 AS comments,
-  CASE WHEN page_id % 3 = 0 THEN '<p><table id="mvp"></table></p><!-- ad -->' ELSE '<p></p><!-- ad -->' END AS opened FROM pages""",
+    """WITH p AS (SELECT page_id, html, '<table id="mvp"><tr><td>' || page_id || '</td></tr></table>' AS t, page_id % 3 = 0 AS hidden FROM pages)
+SELECT page_id, length(html) AS n_before, (length(html) - length(replace(html, '<!--', ''))) // 4 AS comments, md5(CASE WHEN hidden THEN t || html ELSE html END) AS opened FROM p""",
 )
 def uncomment_tables(spark, sf):
-    made = F.when(F.col("page_id") % 3 == 0, F.lit('<p><!--<table id="mvp"></table>--></p><!-- ad -->')).otherwise(F.lit("<p></p><!-- ad -->"))
+    """Every third page gets a table in a comment, which has to come out; the page's own comments have to stay."""
     html = F.col("html")
+    hidden = F.concat(F.lit('<!--<table id="mvp"><tr><td>'), F.col("page_id").cast("string"), F.lit("</td></tr></table>-->"))
+    made = F.when(F.col("page_id") % 3 == 0, F.concat(hidden, html)).otherwise(html)
     comments = ((F.length(html) - F.length(F.replace(html, F.lit("<!--"), F.lit("")))) / 4).cast("long")
-    return table(spark, sf, "pages").select("page_id", F.length(html).cast("long").alias("n_before"), comments.alias("comments"), parse.uncomment_tables(made).alias("opened"))
+    return table(spark, sf, "pages").select("page_id", F.length(html).cast("long").alias("n_before"), comments.alias("comments"), F.md5(parse.uncomment_tables(made)).alias("opened"))
 
 
 @query(

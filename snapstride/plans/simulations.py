@@ -94,7 +94,7 @@ def kelly_backtest(spark, sf):
     ship(spark)
     prices = markets._grid_prices(spark, sf, 3, 4).select("candidate", "day", F.coalesce("fwd", "locf").alias("price")).filter("price is not null")
     shares = ensembles._shares(spark, sf).select("candidate", "vs", F.col("grp").alias("g"))
-    rows = prices.join(F.broadcast(shares), "candidate").withColumn("book", (F.col("g") % 3).cast("int"))
+    rows = prices.join(shares, "candidate").withColumn("book", (F.col("g") % 3).cast("int"))
     rows = rows.withColumn("prob", F.col("vs") / F.sum("vs").over(Window.partitionBy("book", "day"))).withColumn("snapshot", F.date_trunc("week", "day"))
     winner = F.col("candidate") == F.min("candidate").over(Window.partitionBy("book"))
     return simulate.backtest(rows.withColumn("won", winner.cast("int")), book="book", day="day", name="candidate", price="price", prob="prob", snapshot="snapshot", won="won")

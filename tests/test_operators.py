@@ -146,13 +146,39 @@ def test_kelly_is_near_the_best_of_a_grid():
     assert simulate.log_growth(best, q, price, 100.0, flat, flat) >= top - 2e-3
 
 
-def test_reversal_needs_two_snapshots():
-    held, streak = simulate.region_step(-50.0, 40.0, 5.0, 0, True)
-    assert (held, streak) == (40.0, 1)
-    assert simulate.region_step(-50.0, 40.0, 5.0, streak, False) == (40.0, 1)
-    assert simulate.region_step(-50.0, 40.0, 5.0, streak, True) == (-50.0, 0)
-    assert simulate.region_step(30.0, 0.0, 5.0, 0, True) == (30.0, 0)
-    assert simulate.region_step(30.0, 40.0, 5.0, 1, True) == (35.0, 0)
+def _region(**options):
+    from snapstride.operators.region import Region
+
+    region = Region(**options)
+
+    def step(target, held, snapshot, fair=0.5, price=0.5, cost=0.01, **more):
+        return float(region.step(["x"], [target], [held], [fair], [price], lambda size: np.full(len(size), cost), 1000.0, snapshot, **more)[0])
+
+    return step
+
+
+def test_a_reversal_waits_for_fresh_snapshots():
+    step = _region()
+    assert step(-50.0, 40.0, "a") == 40.0
+    assert step(-50.0, 40.0, "a") == 40.0  # the same snapshot does not count again
+    assert step(-50.0, 40.0, "b") == -50.0
+    assert step(30.0, 0.0, "b") == 30.0
+
+
+def test_the_band_holds_trims_by_drift_and_closes_on_command():
+    width = 2 * 0.01 / 1.0 * 1000  # cost over a curvature of about one at even odds
+    assert _region()(100.0, 100.0 - 0.5 * width, "a") == 100.0 - 0.5 * width  # inside the band
+    assert abs(_region()(300.0, 200.0, "a") - (300.0 - width / (0.5 / 1.3**2 + 0.5 / 0.7**2))) < 1e-6  # to its edge
+    trims = {}
+    for name, second in (("up", 0.6), ("still", 0.5), ("down", 0.4)):
+        step = _region()
+        step(100.0, 100.0, "a", fair=0.5)
+        trims[name] = 400.0 - step(100.0, 400.0, "b", fair=second)
+    assert 0 < trims["up"] < trims["still"] < trims["down"]
+    assert _region()(100.0, 100.0, "a", out=[True]) == 0.0
+    assert _region()(100.0, 0.0, "a", radj=np.array([0.01])) == 0.0  # below the hurdle nothing opens
+    assert abs(_region()(100.0, 0.0, "a", sigma=np.array([0.5])) - 100 / 2.6) < 1e-9
+    assert _region(least_trade=0.5)(300.0, 200.0, "a") == 200.0
 
 
 def test_garch_gives_up_on_short_series():
@@ -174,11 +200,11 @@ def test_models_as_a_table(spark):
     rows = [(s, g, i, float(x), float(np.exp(2 * x))) for s in range(2000, 2005) for g in range(4) for i, x in enumerate(rng.normal(size=6))]
     df = spark.createDataFrame(rows, "season int, g int, i int, x double, y double")
     df = df.withColumn("y", F.expr("y / sum(y) over (partition by season, g)"))
-    models = model.fit_models(df, season="season", group=["season", "g"], features=["x"], label="y", replicates=2).cache()
+    models = model.fit_models(df, season="season", group=["season", "g"], features=["x"], label="y", replicates=2, least=3).cache()
     assert {(r.fold, r.k) for r in models.collect()} == {(f, k) for f in (2003, 2004) for k in (0, 1)}
     scored = model.score_with(df, models, season="season", features=["x"], keys=["season", "g", "i", "x"])
     assert scored.count() == 2 * 2 * 24 and scored.select(F.corr("x", "score")).first()[0] > 0.9
-    assert model.fit_models(df, season="season", group=["season", "g"], features=["x"], label="y", replicates=2, sealed=2003).count() == 2
+    assert model.fit_models(df, season="season", group=["season", "g"], features=["x"], label="y", replicates=2, least=3, sealed=2003).count() == 2
     with pytest.raises(Exception, match="other features"):
         model.score_with(df.withColumn("z", F.col("x")), models, season="season", features=["z"], keys=["i"]).collect()
 
