@@ -67,7 +67,7 @@ WITH docs AS (
   SELECT k, max(doc_id) AS keep FROM keyed WHERE length(k) >= 40
   GROUP BY k HAVING count(DISTINCT doc_id) >= 5
 ), marked AS (
-  SELECT keyed.*, repeated.k IS NOT NULL AND keyed.doc_id <> repeated.keep AS gone
+  SELECT keyed.*, coalesce(keyed.doc_id <> repeated.keep, false) AS gone
   FROM keyed LEFT JOIN repeated ON keyed.k = repeated.k
 )
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
