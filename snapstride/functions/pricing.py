@@ -69,9 +69,14 @@ def round_trip(price: Column, size: Column, **options) -> Column:
     return cost_fraction(price, size, leg="entry", **options) + cost_fraction(price, size, leg="exit", **options)
 
 
-def taker_fee(notional: Column, price: Column, category: str = "sports") -> Column:
+def fee_amount(notional: Column, price: Column, category: str = "sports") -> Column:
+    """The fee to five places at any price; below the least amount there is none."""
     fee = F.round(notional * FEE_RATES[category] * (1 - price), 5)
-    return F.when((price <= 0) | (price >= 1) | (notional <= 0) | (fee < 1e-5), F.lit(0.0)).otherwise(fee)
+    return F.when(fee < 1e-5, F.lit(0.0)).otherwise(fee)
+
+
+def taker_fee(notional: Column, price: Column, category: str = "sports") -> Column:
+    return F.when((price <= 0) | (price >= 1) | (notional <= 0), F.lit(0.0)).otherwise(fee_amount(notional, price, category))
 
 
 def fill_fraction(sigma: Column, form: str = "inverse", k: float = 3.2, ceiling: float = 1.0, reference: float = 0.08) -> Column:

@@ -58,6 +58,6 @@ def zeros(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["glm_normal_equations"])
+@pytest.mark.parametrize("name", ["glm_normal_equations", "taker_fee"])
 def test_prices_of_zero_count_as_in_the_sql(spark, zeros, name):
     assert_same(spark, catalog.queries()[name], catalog.oracle_sql()[name], zeros)
