@@ -157,21 +157,58 @@ def log_growth(a: np.ndarray, q: np.ndarray, price: np.ndarray, wealth: float, c
     return float((q * np.log(np.maximum(after, 1e-12) / wealth)).sum())
 
 
+#: Terms of the series of a sum of logarithms, and how far from the least wealth it is used: the rest is below rounding.
+TERMS, NEAR = 8, 0.02
+
+
 def growth_gradient(a: np.ndarray, q: np.ndarray, price: np.ndarray, wealth: float, cost: np.ndarray, held: np.ndarray, h: float) -> np.ndarray:
-    """Central differences of ``log_growth`` by each stake, all names at once."""
+    """Central differences of ``log_growth`` by each stake, all names at once.
+
+    A moved name shifts the wealth under every winner by one amount, and under its own by one
+    more. The sum of logarithms over winners is a power series of that amount, whose sums are
+    the same for all names. Names whose shift is not small are summed winner by winner.
+    """
     yes, no = price * (1 + cost), (1 - price) * (1 + cost)
+    base = wealth - np.abs(a).sum() - (cost * np.abs(a - held)).sum() + np.maximum(a, 0) / yes + (np.maximum(-a, 0) / no).sum() - np.maximum(-a, 0) / no
+    live = q > 0
+    least = base[live].min(initial=np.inf)
 
-    def values(step):
+    def shifts(step):
+        """Of each moved name: the shift under all winners, and what its own has besides."""
         new = a + step
         up, down = np.maximum(new, 0) / yes - np.maximum(a, 0) / yes, np.maximum(-new, 0) / no - np.maximum(-a, 0) / no
-        base = wealth - np.abs(a).sum() - (cost * np.abs(a - held)).sum() + np.maximum(a, 0) / yes + (np.maximum(-a, 0) / no).sum() - np.maximum(-a, 0) / no
-        rest = np.abs(a) - np.abs(new) + cost * (np.abs(a - held) - np.abs(new - held)) + down
-        after = base[None, :] + rest[:, None]  # one row a moved name, one column a winner
-        after[np.diag_indices(len(a))] += up - down
-        ruined = (after[:, q > 0] <= 0).any(axis=1)
+        return np.abs(a) - np.abs(new) + cost * (np.abs(a - held) - np.abs(new - held)) + down, up - down
+
+    (up, own_up), (down, own_down) = shifts(h), shifts(-h)
+    far = np.ones(len(a), bool)
+    if least > 0:
+        far = (np.maximum(np.abs(up), np.abs(down)) > NEAR * least) | (live & (np.maximum(np.abs(own_up), np.abs(own_down)) > base / 2))
+
+    out = np.zeros(len(a))
+    near = ~far
+    if near.any():
+        u, power, terms = least / base[live], q[live], []
+        for k in range(1, TERMS + 1):
+            power = power * u
+            terms.append((-1) ** (k + 1) * power.sum() / k)
+        total = np.zeros((2, int(near.sum())))
+        x = np.stack([up[near], down[near]]) / least
+        for term in reversed(terms):
+            total = (total + term) * x
+        own = np.where(live, base, 1.0)[near]
+        out[near] = total[0] - total[1] + q[near] * np.where(live[near], np.log1p(own_up[near] / (own + up[near])) - np.log1p(own_down[near] / (own + down[near])), 0.0)
+
+    def values(rows, shift, own):
+        after = base[None, :] + shift[rows, None]  # one row a moved name, one column a winner
+        after[np.arange(len(rows)), rows] += own[rows]
+        ruined = (after[:, live] <= 0).any(axis=1)
         return np.where(ruined, -1e6, (q * np.log(np.maximum(after, 1e-12) / wealth)).sum(axis=1))
 
-    return (values(h) - values(-h)) / (2 * h)
+    every = np.flatnonzero(far)
+    for i in range(0, len(every), 256):
+        rows = every[i : i + 256]
+        out[rows] = values(rows, up, own_up) - values(rows, down, own_down)
+    return out / (2 * h)
 
 
 def kelly_solve(q: np.ndarray, price: np.ndarray, wealth: float, budget: float, cost: np.ndarray, held: np.ndarray, free: np.ndarray, seed: int = 0, rounds: int = 120) -> np.ndarray:

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -217,6 +218,22 @@ def test_gradient_of_all_names_is_that_of_each():
     assert np.allclose(simulate.growth_gradient(a, *rest, 0.01), each, rtol=1e-6, atol=1e-9)
 
 
+def test_gradient_of_many_names_is_that_of_each_and_quick():
+    rng = np.random.default_rng(8)
+    for scale, n in ((2.0, 40), (60.0, 40)):  # far from ruin, and close to it
+        q, price, a = rng.dirichlet(np.ones(n)) * (rng.random(n) > 0.2), rng.uniform(0.01, 0.99, n), rng.normal(0, scale / 4, n)
+        rest = (q, price, 20 * scale, np.full(n, 0.02), np.where(rng.random(n) < 0.5, a, 0))
+        each = [(simulate.log_growth(a + 0.05 * e, *rest) - simulate.log_growth(a - 0.05 * e, *rest)) / 0.1 for e in np.eye(n)]
+        assert np.allclose(simulate.growth_gradient(a, *rest, 0.05), each, rtol=1e-6, atol=1e-8)
+    n = 2000
+    q, price = rng.dirichlet(np.ones(n)), rng.uniform(0.05, 0.95, n)
+    rest = (q, price, 1000.0, np.full(n, 0.02), np.zeros(n))
+    begin = time.process_time()
+    for _ in range(20):
+        simulate.growth_gradient(rng.normal(0, 0.1, n), *rest, 0.05)
+    assert time.process_time() - begin < 1  # names by winners is 160 million logarithms
+
+
 def test_backtest_trades_all_names_and_what_it_holds(spark):
     rows = [("b", 1, i, 0.02, 0.05 if i == 7 else 0.1, 1, 0) for i in range(10)]
     rows[7] = ("b", 1, 7, 0.005, 0.05, 1, 0)  # the best bet is the least likely of ten
