@@ -1,23 +1,34 @@
 """Grouped-softmax models: gradient, folds, bootstrap, linear and tree learners, ensembles.
 
-Fits are independent by (fold, replicate), so each is one task of a grouped map; a fit sees
-its own rows only, and its randomness is seeded from its key.
+Fits are independent by (fold, replicate), so each is one task, its randomness seeded from its
+key. A resample draws whole groups, so a fit gets each group it draws once, as blocks of plain
+numbers, with how often it was drawn.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import pickle
 import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import shared_dir
 
 HESSIAN_FLOOR = 1e-3
+#: The most that an Arrow batch of blocks holds.
+BATCH_BYTES = 8 << 20
+#: Partitions for each fit, so that hardly any two fits meet in one.
+SPREAD = 8
 
 
 def seed_of(*key) -> int:
@@ -26,6 +37,9 @@ def seed_of(*key) -> int:
 
 def group_softmax(score: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Softmax within groups of equal codes (0..n-1, in any order)."""
+    if not codes.any():
+        e = np.exp(score - score.max())
+        return e / e.sum()
     top = np.full(codes.max() + 1, -np.inf)
     np.maximum.at(top, codes, score)
     e = np.exp(score - top[codes])
@@ -42,19 +56,44 @@ def grouped_loss(score: np.ndarray, codes: np.ndarray, label: np.ndarray) -> flo
     return float(-(label * np.log(np.clip(group_softmax(score, codes), 1e-300, 1))).sum())
 
 
-def fit_linear(x: np.ndarray, codes: np.ndarray, label: np.ndarray, rounds: int = 60, ridge: float = 1.0, signs: np.ndarray | None = None) -> np.ndarray:
-    """Weights by damped diagonal Newton steps; ``signs`` clips weights to -1 (<= 0) or +1 (>= 0)."""
-    w = np.zeros(x.shape[1])
-    loss = grouped_loss(x @ w, codes, label) + ridge * w @ w / 2
+Part = tuple[np.ndarray, np.ndarray, int]
+
+
+def parts_of(x: np.ndarray, codes: np.ndarray, label: np.ndarray) -> list[Part]:
+    """Rows, labels and weight 1 of each group of equal codes (0..n-1, in any order)."""
+    order = np.argsort(codes, kind="stable")
+    cuts = np.flatnonzero(np.diff(codes[order])) + 1
+    return [(x[rows], label[rows], 1) for rows in np.split(order, cuts)]
+
+
+def fit_linear(x: np.ndarray, codes: np.ndarray, label: np.ndarray, **options) -> np.ndarray:
+    return fit_linear_parts(parts_of(x, codes, label), **options)
+
+
+def fit_linear_parts(parts: list[Part], rounds: int = 60, ridge: float = 1.0, signs: np.ndarray | None = None) -> np.ndarray:
+    """Weights by damped diagonal Newton steps over groups (rows, labels, how often each counts).
+
+    ``signs`` clips weights to -1 (<= 0) or +1 (>= 0).
+    """
+    one = [np.zeros(len(x), int) for x, _, _ in parts]
+
+    def penalised(w):
+        return sum(times * grouped_loss(x @ w, code, y) for (x, y, times), code in zip(parts, one, strict=True)) + ridge * w @ w / 2
+
+    w = np.zeros(parts[0][0].shape[1])
+    loss = penalised(w)
     step = 1.0
     for _ in range(rounds):
-        g, h = pl_gradient(x @ w, codes, label)
-        move = (x.T @ g + ridge * w) / (x.T**2 @ h + ridge)
+        slope, bend = ridge * w, np.full(len(w), ridge)
+        for (x, y, times), code in zip(parts, one, strict=True):
+            g, h = pl_gradient(x @ w, code, y)
+            slope, bend = slope + times * (x.T @ g), bend + times * ((x * x).T @ h)
+        move = slope / bend
         while step > 1e-4:
             new = w - step * move
             if signs is not None:
                 new = np.where(signs > 0, np.maximum(new, 0), np.where(signs < 0, np.minimum(new, 0), new))
-            after = grouped_loss(x @ new, codes, label) + ridge * new @ new / 2
+            after = penalised(new)
             if after <= loss:
                 w, loss, step = new, after, min(1.0, 2 * step)
                 break
@@ -84,63 +123,106 @@ class Tree:
             node = np.where(inner, np.where(right, self.right[node], self.left[node]), node)
 
 
+def cut_points(x: np.ndarray, bins: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Quantiles between ``bins`` parts of a column, a row of weight n being n equal rows."""
+    if weight is None:
+        return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1]))
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(weight[order], dtype=np.int64)
+    at = np.linspace(0, 1, bins + 1)[1:-1] * (upto[-1] - 1)
+    low, high = (x[order[np.searchsorted(upto, f(at), side="right")]] for f in (np.floor, np.ceil))
+    return np.unique(low + (high - low) * (at - np.floor(at)))
+
+
 def fit_tree(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, leaves: int = 31, depth: int = 8, least: int = 20, bins: int = 64, ridge: float = 1.0, columns: np.ndarray | None = None) -> Tree:
     """Grows the leaf of the greatest gain next, by second-order sums over quantile bins.
 
     ``columns`` are those it may split on.
     """
     columns = np.arange(x.shape[1]) if columns is None else columns
-    edges = {c: np.unique(np.quantile(x[:, c], np.linspace(0, 1, bins + 1)[1:-1])) for c in columns.tolist()}
+    edges = {c: cut_points(x[:, c], bins) for c in columns.tolist()}
+    binned = {c: np.searchsorted(marks, x[:, c]).astype(np.uint16) for c, marks in edges.items()}
+    return grow_tree(binned, edges, grad, hess, np.ones(len(x), np.uint16), x.shape[1], leaves, depth, least, ridge)[0]
+
 
-    def best_split(rows: np.ndarray, level: int) -> tuple[float, int, float]:
-        best = (1e-9, -1, 0.0)
-        if level >= depth or len(rows) < 2 * least:
+def grow_tree(binned: dict[int, np.ndarray], edges: dict[int, np.ndarray], grad: np.ndarray, hess: np.ndarray, weight: np.ndarray, width: int, leaves: int = 31, depth: int = 8, least: int = 20, ridge: float = 1.0) -> tuple[Tree, np.ndarray]:
+    """The tree over binned columns, and the leaf value of each row; ``grad`` and ``hess`` are weighted."""
+    def best_split(rows: np.ndarray, level: int) -> tuple[float, int, int]:
+        best = (1e-9, -1, 0)
+        own, n_all = weight[rows], int(weight[rows].sum(dtype=np.int64))
+        if level >= depth or n_all < 2 * least:
             return best
-        g, h = grad[rows].sum(), hess[rows].sum()
+        gr, hr = grad[rows], hess[rows]
+        g, h = gr.sum(), hr.sum()
         for c, marks in edges.items():
             if not len(marks):
                 continue
-            at = np.searchsorted(marks, x[rows, c])
-            gl, hl, n = (np.cumsum(np.bincount(at, w, len(marks) + 1))[:-1] for w in (grad[rows], hess[rows], np.ones(len(rows))))
+            at = binned[c][rows]
+            gl, hl, n = (np.cumsum(np.bincount(at, w, len(marks) + 1))[:-1] for w in (gr, hr, own))
             gain = gl**2 / (hl + ridge) + (g - gl) ** 2 / (h - hl + ridge) - g**2 / (h + ridge)
-            gain[(n < least) | (len(rows) - n < least)] = -np.inf
+            gain[(n < least) | (n_all - n < least)] = -np.inf
             if gain.max() > best[0]:
-                best = (float(gain.max()), c, float(marks[gain.argmax()]))
+                best = (float(gain.max()), c, int(gain.argmax()))
         return best
 
     nodes = [[-1, 0.0, -1, -1, -grad.sum() / (hess.sum() + ridge)]]
-    gains, heap = np.zeros(x.shape[1]), []
+    gains, heap = np.zeros(width), []
+    out = np.full(len(grad), nodes[0][4])
 
     def offer(node: int, rows: np.ndarray, level: int) -> None:
         split = best_split(rows, level)
         if split[1] >= 0:
             heapq.heappush(heap, (-split[0], node, split, rows, level))
 
-    offer(0, np.arange(len(x)), 0)
+    offer(0, np.arange(len(grad), dtype=np.int32), 0)
     for _ in range(leaves - 1):
         if not heap:
             break
         _, node, (gain, c, mark), rows, level = heapq.heappop(heap)
         gains[c] += gain
-        over = x[rows, c] > mark
+        over = binned[c][rows] > mark
         for side, part in ((2, rows[~over]), (3, rows[over])):
             nodes[node][side] = len(nodes)
             nodes.append([-1, 0.0, -1, -1, -grad[part].sum() / (hess[part].sum() + ridge)])
+            out[part] = nodes[-1][4]
             offer(len(nodes) - 1, part, level + 1)
-        nodes[node][:2] = c, mark
+        nodes[node][:2] = c, float(edges[c][mark])
     column, cut, left, right, value = (np.array(v) for v in zip(*nodes, strict=True))
-    return Tree(column.astype(int), cut.astype(float), left.astype(int), right.astype(int), value.astype(float), gains)
+    return Tree(column.astype(int), cut.astype(float), left.astype(int), right.astype(int), value.astype(float), gains), out
 
 
-def fit_boosted(x: np.ndarray, codes: np.ndarray, label: np.ndarray, rounds: int = 60, rate: float = 0.05, fraction: float = 0.8, seed: int = 0, **options) -> list[Tree]:
-    """Trees on the grouped gradient, each on a random ``fraction`` of the columns."""
+def fit_boosted(x: np.ndarray, codes: np.ndarray, label: np.ndarray, **options) -> list[Tree]:
+    return fit_boosted_parts(parts_of(x, codes, label), **options)
+
+
+def fit_boosted_parts(parts: list[Part], rounds: int = 60, rate: float = 0.05, fraction: float = 0.8, seed: int = 0, bins: int = 64, **options) -> list[Tree]:
+    """Trees on the grouped gradient, each on a random ``fraction`` of the columns.
+
+    ``parts`` is emptied: rows are kept as bins, which do not change between rounds.
+    """
     rng = np.random.default_rng(seed)
-    score, trees = np.zeros(len(x)), []
-    some = max(1, int(round(fraction * x.shape[1])))
+    width = parts[0][0].shape[1]
+    sizes = [len(y) for _, y, _ in parts]
+    weight = np.repeat(np.array([times for _, _, times in parts], np.uint16), sizes)
+    label = np.concatenate([y for _, y, _ in parts])
+    edges, binned = {}, {}
+    for c in range(width):
+        x = np.concatenate([p[0][:, c] for p in parts])
+        edges[c] = cut_points(x, bins, weight)
+        binned[c] = np.searchsorted(edges[c], x).astype(np.uint8 if bins < 256 else np.uint16)
+    parts.clear()
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    score, trees = np.zeros(len(label)), []
+    g, h = np.zeros(len(label)), np.zeros(len(label))
+    some = max(1, int(round(fraction * width)))
     for _ in range(rounds):
-        g, h = pl_gradient(score, codes, label)
-        trees.append(fit_tree(x, g, h, columns=np.sort(rng.choice(x.shape[1], some, replace=False)), **options))
-        score += rate * trees[-1].predict(x)
+        for i, j in zip(bounds, bounds[1:]):
+            own = pl_gradient(score[i:j], np.zeros(j - i, int), label[i:j])
+            g[i:j], h[i:j] = own[0] * weight[i], own[1] * weight[i]
+        columns = np.sort(rng.choice(width, some, replace=False)).tolist()
+        tree, value = grow_tree({c: binned[c] for c in columns}, {c: edges[c] for c in columns}, g, h, weight, width, **options)
+        trees.append(tree)
+        score += rate * value
     return trees
 
 
@@ -167,48 +249,154 @@ def walk_forward(rows: DataFrame, season: str, least: int = 5) -> DataFrame:
     return rows.join(F.broadcast(folds.select("fold")), rows[season] <= F.col("fold")).withColumn("test", F.col(season) == F.col("fold"))
 
 
+def _numbers(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Columns as doubles by row, nulls as 0, the mean of a standardised column."""
+    return np.stack([batch.column(c).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+
+
+def _blocks(rows: DataFrame, key: list[str], order: list[str], features: list[str], label: str) -> DataFrame:
+    """key, number, x, y: runs of rows of one key as plain doubles, in order."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in key)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            own = batch.select(key).to_pandas()
+            cuts = np.flatnonzero((own != own.shift()).any(axis=1)) if len(own) else np.array([], int)
+            x = _numbers(batch, features)
+            y = batch.column(label).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            ends = [*cuts[1:].tolist(), len(own)]
+            spans = list(zip(cuts.tolist(), ends))
+            head = [batch.column(c).take(pa.array(cuts)) for c in key]
+            numbers = pa.array(range(number, number + len(spans)), pa.int64())
+            number += len(spans)
+            blobs = [pa.array([v[i:j].tobytes() for i, j in spans], pa.binary()) for v in (x, y)]
+            yield pa.RecordBatch.from_arrays([*head, numbers, *blobs], names=[*key, "number", "x", "y"])
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(pack, f"{kinds}, number long, x binary, y binary")
+
+
+def _fitted(rows: DataFrame, fit: Callable, schema: str, *, season: str, group: list[str], features: list[str], label: str, order: list[str], replicates: int, least: int, seed: int, sealed: int | None = None) -> DataFrame:
+    """What ``fit`` gives of each (fold, k): fold, k and the columns of ``schema``.
+
+    fit(parts, seed of the fit, mean, sd) sees the groups that the resample drew from the
+    seasons before the fold, each once with its count, standardised by all rows of these seasons.
+    ``rows`` are read several times and should be a table. A fit holds its rows in one task, at
+    8 bytes for each feature and label.
+    """
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    key = list(dict.fromkeys([season, *group]))
+    rows = rows.filter(F.col(season).isNotNull()).select(*dict.fromkeys([*key, *order, *features, label]))
+    found = [tuple(r) for r in rows.select(*key).distinct().collect()]
+    name = [key.index(g) for g in group]
+    seasons = sorted({r[0] for r in found})
+    folds = [s for i, s in enumerate(seasons) if i >= least and (sealed is None or s <= sealed)]
+    output = f"fold int, k int, {schema}"
+    if not folds:
+        return spark.createDataFrame([], output)
+    plan = []
+    for fold in folds:
+        train = [r for r in found if r[0] < fold]
+        names = sorted({tuple(r[i] for i in name) for r in train})
+        codes = dict(zip(names, range(len(names))))
+        for k in range(replicates):
+            drawn = np.random.default_rng(seed_of(seed, int(fold), k)).integers(0, len(names), len(names))
+            times = np.bincount(drawn, minlength=len(names)).tolist()
+            plan += [(int(fold), k, *r, codes[own], times[codes[own]]) for r in train if times[codes[own := tuple(r[i] for i in name)]]]
+    kind = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("k", T.IntegerType()), *[rows.schema[c] for c in key], T.StructField("code", T.IntegerType()), T.StructField("times", T.IntegerType())])
+    deals = F.broadcast(spark.createDataFrame(plan, kind))
+
+    before = F.broadcast(spark.createDataFrame([(int(f),) for f in folds], "fold int"))
+    plain = rows.select(season, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]).join(before, F.col(season) < F.col("fold"))
+    spread = [F.when(F.min(c) < F.max(c), F.stddev_pop(c)).otherwise(1.0) for c in features]
+    scale = {r[0]: (np.array(r[1]), np.array(r[2])) for r in plain.groupBy("fold").agg(F.array(*[F.avg(c) for c in features]), F.array(*spread)).collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, groups = None, {}
+
+        def done() -> pa.RecordBatch:
+            parts = []
+            for code in sorted(groups):
+                times, xs, ys = groups.pop(code)
+                parts.append((np.concatenate(xs), np.concatenate(ys), times))
+            made = fit(parts, seed_of(seed, *now), *scale[now[0]])
+            return pa.RecordBatch.from_pylist([{"fold": now[0], "k": now[1], **made}], arrow)
+
+        for batch in batches:
+            for fold, k, code, times, x, y in zip(*[batch.column(c).to_pylist() for c in ("fold", "k", "code", "times", "x", "y")], strict=True):
+                if now is not None and now != (fold, k):
+                    yield done()
+                now = fold, k
+                mean, sd = scale[fold]
+                own = groups.setdefault(code, (times, [], []))
+                own[1].append((np.frombuffer(x).reshape(-1, len(features)) - mean) / sd)
+                own[2].append(np.frombuffer(y))
+        if now is not None:
+            yield done()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(spark.createDataFrame([], output).schema)
+    blocks = _blocks(rows.filter(F.col(season) < max(folds)), key, order, features, label)
+    fits = blocks.join(deals, key).repartition(SPREAD * len(folds) * replicates, "fold", "k").sortWithinPartitions("fold", "k", "code", *key, "number")
+    return fits.select("fold", "k", "code", "times", "x", "y").mapInArrow(run, output)
+
+
+def _kept(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """These columns written once to the shared folder, as fits read them several times."""
+    path = shared_dir(rows.sparkSession, "fits")
+    rows.select(*dict.fromkeys(columns)).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def ensemble_scores(rows: DataFrame, *, keys: list[str], season: str, group: list[str], features: list[str], label: str, replicates: int = 8, learner: str = "linear", least: int = 5, seed: int = 5) -> DataFrame:
-    """Out-of-fold scores: keys, fold, k, score; one task fits and scores one (fold, k).
+    """Out-of-fold scores: keys, fold, k, score; one task fits one (fold, k), all score.
 
     Each row is scored by every replicate of the one model that saw no later season. Null
-    features count as 0, the mean of a standardised column.
+    features count as 0, the mean of a standardised column. The fits run at once, and their
+    models, which are small, pass through the driver.
     """
-    folded = walk_forward(rows.select(*dict.fromkeys([*keys, season, *group, *features, label])), season, least)
-    drawn = folded.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", fold int, k int, score double"
-
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        fold, k = int(key[0]), int(key[1])
-        part = part.sort_values([*group, *keys], kind="stable").reset_index(drop=True)
-        train = part[~part["test"]]
-        x = train[features].fillna(0).to_numpy(float)
-        mean, sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        codes = train.groupby(group, sort=True).ngroup().to_numpy()
-        picked, again = bootstrap_groups(codes, np.random.default_rng(seed_of(seed, fold, k)))
-        xs, y = ((x - mean) / sd)[picked], train[label].to_numpy(float)[picked]
-        test = part[part["test"]]
-        xt = (test[features].fillna(0).to_numpy(float) - mean) / sd
-        score = xt @ fit_linear(xs, again, y) if learner == "linear" else predict_boosted(fit_boosted(xs, again, y), xt)
-        return test[keys].assign(fold=fold, k=k, score=score)
-
-    return drawn.groupBy("fold", "k").applyInPandas(fit, schema)
+    rows = _kept(rows, [*keys, season, *group, *features, label])
+    options = dict(season=season, group=group, features=features, label=label, order=keys, replicates=replicates, least=least, seed=seed)
+    spark = rows.sparkSession
+    if learner == "linear":
+        models = spark.createDataFrame(_linear(rows, None, **options).collect(), MODEL)
+        return score_with(rows, models, season=season, features=features, keys=keys)
+
+    def fit(parts, number, mean, sd):
+        return {"mean": mean.tolist(), "sd": sd.tolist(), "trees": pickle.dumps(fit_boosted_parts(parts))}
+
+    found = {}
+    for r in _fitted(rows, fit, "mean array<double>, sd array<double>, trees binary", **options).collect():
+        found.setdefault(r.fold, []).append((r.k, np.array(r["mean"]), np.array(r.sd), pickle.loads(bytes(r.trees))))
+    shared = spark.sparkContext.broadcast(found)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, seasons = _numbers(batch, features), batch.column(season).to_numpy(zero_copy_only=False)
+            for fold in np.unique(seasons).tolist():
+                at = np.flatnonzero(seasons == fold)
+                head = [batch.column(c).take(pa.array(at)) for c in keys]
+                for k, mean, sd, trees in shared.value[fold]:
+                    own = predict_boosted(trees, (x[at] - mean) / sd)
+                    yield pa.RecordBatch.from_arrays([*head, pa.array([fold] * len(at), pa.int32()), pa.array([k] * len(at), pa.int32()), pa.array(own)], names=[*keys, "fold", "k", "score"])
+
+    return rows.filter(F.col(season).isin(list(found))).select(*dict.fromkeys([*keys, season, *features])).mapInArrow(score, f"{kinds}, fold int, k int, score double")
 
 
 def gain_importance(rows: DataFrame, *, season: str, group: list[str], features: list[str], label: str, replicates: int = 2, least: int = 5, seed: int = 5, top: int = 25) -> DataFrame:
     """feature, gain, place: the mean gain of boosted splits by feature over all folds, the ``top`` first."""
-    train = walk_forward(rows.select(*dict.fromkeys([season, *group, *features, label])), season, least).filter("not test")
-    drawn = train.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([*group, *features, label], kind="stable").reset_index(drop=True)
-        codes = part.groupby(group, sort=True).ngroup().to_numpy()
-        number = seed_of(seed, int(key[0]), int(key[1]))
-        picked, again = bootstrap_groups(codes, np.random.default_rng(number))
-        trees = fit_boosted(part[features].fillna(0).to_numpy(float)[picked], again, part[label].to_numpy(float)[picked], seed=number)
-        return pd.DataFrame({"feature": features, "gain": sum((t.gain for t in trees), np.zeros(len(features)))})
-
-    found = drawn.groupBy("fold", "k").applyInPandas(fit, "feature string, gain double").groupBy("feature").agg(F.avg("gain").alias("gain"))
+    rows = _kept(rows, [season, *group, *features, label])
+
+    def fit(parts, number, mean, sd):
+        trees = fit_boosted_parts(parts, seed=number)
+        return {"gain": sum((t.gain for t in trees), np.zeros(len(features))).tolist()}
+
+    fits = _fitted(rows, fit, "gain array<double>", season=season, group=group, features=features, label=label, order=[*features, label], replicates=replicates, least=least, seed=seed)
+    pairs = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("gain").alias("gain"))
+    found = fits.select(F.inline(pairs)).toDF("feature", "gain").groupBy("feature").agg(F.avg("gain").alias("gain"))
     return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("gain").desc(), "feature"))).filter(F.col("place") <= top)
 
 
@@ -220,29 +408,24 @@ def feature_digest(features: list[str]) -> str:
     return hashlib.sha256(",".join(features).encode()).hexdigest()[:16]
 
 
+def _linear(rows: DataFrame, signs: dict[str, int] | None, *, features: list[str], **options) -> DataFrame:
+    held = np.array([(signs or {}).get(f, 0) for f in features])
+
+    def fit(parts, number, mean, sd):
+        w = fit_linear_parts(parts, signs=held if held.any() else None)
+        return {"features": features, "mean": mean.tolist(), "sd": sd.tolist(), "weights": w.tolist(), "digest": feature_digest(features)}
+
+    return _fitted(rows, fit, MODEL.removeprefix("fold int, k int, "), features=features, **options)
+
+
 def fit_models(rows: DataFrame, *, season: str, group: list[str], features: list[str], label: str, replicates: int = 8, least: int = 5, seed: int = 5, sealed: int | None = None, signs: dict[str, int] | None = None) -> DataFrame:
     """The linear ensembles as a table: one row a (fold, k), fitted on the seasons before the fold.
 
     ``sealed`` refuses folds that would train on that season or a later one; ``signs`` holds the
     weights of some features at or below 0 (-1) or at or above it (1).
     """
-    held = np.array([(signs or {}).get(f, 0) for f in features])
-    train = walk_forward(rows.select(*dict.fromkeys([season, *group, *features, label])), season, least).filter("not test")
-    if sealed is not None:
-        train = train.filter(F.col("fold") <= sealed)
-    drawn = train.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        fold, k = int(key[0]), int(key[1])
-        part = part.sort_values([*group, *features, label], kind="stable").reset_index(drop=True)
-        x = part[features].fillna(0).to_numpy(float)
-        mean, sd = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
-        codes = part.groupby(group, sort=True).ngroup().to_numpy()
-        picked, again = bootstrap_groups(codes, np.random.default_rng(seed_of(seed, fold, k)))
-        w = fit_linear(((x - mean) / sd)[picked], again, part[label].to_numpy(float)[picked], signs=held if held.any() else None)
-        return pd.DataFrame({"fold": [fold], "k": [k], "features": [features], "mean": [mean], "sd": [sd], "weights": [w], "digest": [feature_digest(features)]})
-
-    return drawn.groupBy("fold", "k").applyInPandas(fit, MODEL)
+    rows = _kept(rows, [season, *group, *features, label])
+    return _linear(rows, signs, season=season, group=group, features=features, label=label, order=[*features, label], replicates=replicates, least=least, seed=seed, sealed=sealed)
 
 
 def fit_arms(rows: DataFrame, arms: dict[str, tuple[str, dict[str, int]]], **options) -> DataFrame:

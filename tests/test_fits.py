@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapstride.functions import pricing
-from snapstride.operators import quantiles, simulate
+from snapstride.operators import model, quantiles, simulate
 from snapstride.plans import catalog, volatility
 from snapstride.sources import tables
 
@@ -213,8 +213,6 @@ def test_a_hard_winner_resampled_gives_the_soft_weights(spark):
 
 
 def test_trees_grow_the_best_leaf_within_their_bounds():
-    from snapstride.operators import model
-
     rng = np.random.default_rng(5)
     x = rng.normal(size=(4000, 3))
     want = np.where(x[:, 0] > 0, 2.0, 0.0) + np.where((x[:, 0] > 0) & (x[:, 1] > 1), 3.0, 0.0)
@@ -234,3 +232,22 @@ def test_arms_hold_their_signs(spark):
     rows = catalog.queries()["retrain_arms"](spark, "/root/testdata/sf0.001").collect()
     assert {r.arm for r in rows} == {"baseline", "monotone", "vs", "fp"}
     assert all(r.weights[2] <= 0 for r in rows if r.arm == "monotone")
+
+
+def _groups():
+    rng = np.random.default_rng(6)
+    codes, times = np.repeat(np.arange(6), 50), [2, 1, 0, 3, 1, 1]
+    x = rng.normal(size=(300, 3))
+    y = model.group_softmax(x[:, 0] - 2 * x[:, 1], codes)
+    again = np.concatenate([np.flatnonzero(codes == g) for g, n in enumerate(times) for _ in range(n)])
+    parts = [(x[codes == g], y[codes == g], n) for g, n in enumerate(times) if n]
+    return parts, x[again], np.repeat(np.arange(sum(times)), 50), y[again]
+
+
+def test_a_group_drawn_twice_counts_twice_in_linear_fits(spark):
+    parts, x, codes, y = _groups()
+    assert np.allclose(model.fit_linear_parts(parts), model.fit_linear(x, codes, y), atol=1e-9)
+    rows = spark.createDataFrame([(s, i, float(i), 0.25) for s in range(2000, 2003) for i in range(4)], "season int, i int, x double, y double")
+    models = model.fit_models(rows, season="season", group=["season"], features=["x"], label="y", replicates=2, least=1)
+    plan = models._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "explode" not in plan and models.count() == 4  # no task holds its rows as a data frame
