@@ -251,3 +251,10 @@ def test_a_group_drawn_twice_counts_twice_in_linear_fits(spark):
     models = model.fit_models(rows, season="season", group=["season"], features=["x"], label="y", replicates=2, least=1)
     plan = models._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "explode" not in plan and models.count() == 4  # no task holds its rows as a data frame
+
+
+def test_a_group_drawn_twice_counts_twice_in_tree_fits():
+    parts, x, codes, y = _groups()
+    one, two = model.fit_boosted_parts(parts, rounds=5), model.fit_boosted(x, codes, y, rounds=5)
+    assert np.allclose(model.predict_boosted(one, x), model.predict_boosted(two, x), atol=1e-9)
+    assert all(np.array_equal(a.column, b.column) for a, b in zip(one, two))
