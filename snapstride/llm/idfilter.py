@@ -33,6 +33,13 @@ def bit_at(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 != 0
 
 
+def may_hold(packed: np.ndarray, key: pa.Array) -> np.ndarray:
+    """Which ids may be in the filter; null ids are not."""
+    bits = (8 * len(packed)).bit_length() - 1
+    ids = key.fill_null(0).to_numpy(zero_copy_only=False)
+    return bit_at(packed, _places(ids, bits)).all(axis=1) & np.asarray(key.is_valid())
+
+
 def id_filter(ids: DataFrame, bits: int | None = None) -> np.ndarray:
     """The filter of a one-column table of longs, packed: 2**bits / 8 bytes.
 
@@ -82,13 +89,8 @@ def passing(rows: DataFrame, id_col: str, packed, passes: bool = True) -> DataFr
     at = rows.columns.index(id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = packed.value
-        bits = (8 * len(table)).bit_length() - 1
         for batch in batches:
-            key = batch.column(at)
-            ids = key.fill_null(0).to_numpy(zero_copy_only=False)
-            hit = bit_at(table, _places(ids, bits)).all(axis=1) & np.asarray(key.is_valid())
-            yield batch.filter(pa.array(hit == passes))
+            yield batch.filter(pa.array(may_hold(packed.value, batch.column(at)) == passes))
 
     return rows.mapInArrow(run, rows.schema)
 

@@ -1,10 +1,11 @@
 """Quality rules: an isolation forest over rule statistics.
 
 Each text gives rule statistics (words, symbols, repeated lines and words, letter case,
-exclamation). Two fixed rules reject at once. For the rest, random trees split bounded
-samples of labelled documents, almost all of them good, on random statistics at random
-values; a document that they isolate after few splits is anomalous. The score from which a document is rejected is
-calibrated on the labelled rows.
+exclamation). Two fixed rules reject at once. For the rest, random trees split labelled
+documents, almost all of them good, on random statistics at random values; as in any
+isolation forest a tree splits few rows, its own draw from all labelled ones. A document that
+they isolate after few splits is anomalous. The score from which a document is rejected is
+calibrated on all labelled rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import bounded
-from .words import BLANK, doc_sums, find_words, plain, shingles, slices, text_bytes
+from .idfilter import id_filter, may_hold
+from .scratch import staged
+from .words import BLANK, doc_sums, find_words, mix, plain, shingles, slices, text_bytes
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -29,8 +32,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 PRIOR_WORDS, PRIOR_CHARS = 40, 5
 TREES = 200
 TREE_ROWS = 256
-#: Labelled rows that fit the forest and its threshold: those with the least id hashes.
-FIT_ROWS = 20_000
 #: Bad rows for each good one in what the trees split, so that bad values stay rare.
 BAD_SHARE = 0.05
 #: Of the labelled good rows, the share that the threshold may reject.
@@ -139,11 +140,17 @@ class Forest:
     def fit(cls, x: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 11) -> "Forest":
         rng = np.random.default_rng(seed)
         rows = min(tree_rows, len(x))
+        return cls.grow([x[rng.choice(len(x), rows, replace=False)] for _ in range(trees)], rows, seed)
+
+    @classmethod
+    def grow(cls, samples: list[np.ndarray], rows: int, seed: int = 11) -> "Forest":
+        """One tree for each sample of ``rows`` rows."""
+        rng, trees = np.random.default_rng(seed), len(samples)
         depth = max(1, int(np.ceil(np.log2(max(2, rows)))))
         nodes = 2 ** (depth + 1) - 1
         column, value, length = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
         for t in range(trees):
-            todo = [(0, 0, x[rng.choice(len(x), rows, replace=False)])]
+            todo = [(0, 0, samples[t])]
             while todo:
                 node, level, part = todo.pop()
                 low, high = part.min(axis=0), part.max(axis=0)
@@ -190,35 +197,94 @@ class Forest:
         return self
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, trees: int = TREES, tree_rows: int = TREE_ROWS, false_rejects: float = FALSE_REJECTS) -> Forest | None:
-    """Forest and threshold from at most ``fit_rows`` labelled documents; None without a good one.
+N_FEATURES = 5
 
-    docs: doc_id, text; labels: doc_id, quality (0 or 1). Only numbers reach the driver, at
-    most ``fit_rows`` rows of them; the labels that are broadcast are as many.
-    """
+
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, good and features x of all labelled documents that pass the base rules, written once."""
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id is not null and quality is not null")
-    some = some.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    wanted = F.broadcast(some)
+    some = some.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    packed = docs.sparkSession.sparkContext.broadcast(id_filter(some.select("doc_id")))
     names = [*BASE, *MORE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
-            stats = rule_statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *[pa.array(stats[n]) for n in names]], names=["doc_id", "quality", *names])
-
-    schema = "doc_id long, quality int, " + ", ".join(f"{n} long" for n in names)
-    found = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+        for batch in batches:
+            for part in bounded(iter([batch.filter(pa.array(may_hold(packed.value, batch.column("doc_id"))))])):
+                stats = rule_statistics(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(stats[n]) for n in names]], names=["doc_id", *names])
+
+    def rates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = {n: batch.column(n).to_numpy() for n in names}
+            x = pa.FixedSizeListArray.from_arrays(pa.array(features(stats).ravel()), N_FEATURES).cast(pa.list_(pa.float64()))
+            found = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(batch.column("quality").to_numpy() == 1), x], names=["doc_id", "good", "x"])
+            yield found.filter(pa.array(~base_failed(stats)))
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)).join(some, "doc_id")
     # of the rows of a repeated doc_id the least, so that reruns agree
-    least = found.mapInArrow(run, schema).groupBy("doc_id").agg(F.min(F.struct("quality", *names)).alias("row"))
-    rows = least.select("doc_id", "row.*").toPandas().sort_values("doc_id")
-    stats = {n: rows[n].to_numpy() for n in names}
-    usable = ~base_failed(stats)
-    x, good = features(stats)[usable], rows["quality"].to_numpy()[usable] == 1
-    if not good.any():
+    least = found.groupBy("doc_id").agg(F.min(F.struct("quality", *names)).alias("row")).select("doc_id", "row.*")
+    return staged(least.mapInArrow(rates, "doc_id long, good boolean, x array<double>"), "labelled")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, N_FEATURES)
+
+
+def _draws(rows: DataFrame, good: int, bad: int, trees: int, tree_rows: int) -> list[np.ndarray]:
+    """For each tree ``tree_rows`` of all rows, those with the least hashes of id and tree.
+
+    A bad row's hash counts as more, so that BAD_SHARE of what trees split is bad. Only rows
+    whose hash may be among the least, about twice as many, reach the driver.
+    """
+    few = max(1, int(BAD_SHARE * good))
+    share = min(1.0, few / max(1, bad))
+    rate = 2 * tree_rows / (good + share * bad)
+    salts = mix(np.arange(1, trees + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                ids = mix(part.column("doc_id").to_numpy().astype(np.int64).view(np.uint64))
+                key = (mix(ids[:, None] ^ salts[None, :]) >> np.uint64(11)) * 2.0**-53
+                key /= np.where(part.column("good").to_numpy(zero_copy_only=False), 1.0, share)[:, None]
+                row, tree = np.nonzero(key < rate)
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(key[row, tree]), part.column("x").take(pa.array(row))], names=["tree", "key", "x"])
+
+    found = rows.mapInArrow(run, "tree long, key double, x array<double>").toArrow().combine_chunks()
+    tree, key, x = found["tree"].to_numpy(), found["key"].to_numpy(), _matrix(pa.concat_arrays(found["x"].chunks)) if len(found) else np.zeros((0, N_FEATURES))
+    order = np.lexsort((*x.T, key, tree))
+    cuts = np.searchsorted(tree[order], np.arange(trees + 1))
+    return [x[order[i:j]][:tree_rows] for i, j in zip(cuts, cuts[1:])]
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, *, trees: int = TREES, tree_rows: int = TREE_ROWS, false_rejects: float = FALSE_REJECTS) -> Forest | None:
+    """Forest and threshold from all labelled documents; None without a good one.
+
+    docs: doc_id, text; labels: doc_id, quality (0 or 1). The threshold is that of
+    ``Forest.calibrate`` on all labelled rows. The trees' rows are all that reaches the driver.
+    """
+    rows = _labelled(docs, labels)
+    good, bad = rows.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    if not good:
         return None
-    few = np.flatnonzero(~good)[: max(1, int(BAD_SHARE * good.sum()))]
-    sample = np.concatenate([np.flatnonzero(good), few])
-    return Forest.fit(x[sample], trees, tree_rows).calibrate(x, good, false_rejects)
+    samples = _draws(rows, good, bad, trees, tree_rows)
+    forest = Forest.grow(samples, max(1, int(np.median([len(x) for x in samples]))))
+    if not bad:
+        return forest
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(shared.value.score(_matrix(batch.column("x"))))], names=["good", "score"])
+
+    scored = staged(rows.select("good", "x").mapInArrow(score, "good boolean, score double"), "label-scores")
+    above = good - min(good - 1, int(np.ceil((1 - false_rejects) * good)))  # good rows from the last one kept
+    most = scored.filter("good").select("score").orderBy(F.col("score").desc()).limit(above).agg(F.min("score")).first()[0]
+    nearest = scored.filter((~F.col("good")) & (F.col("score") > most)).agg(F.min("score")).first()[0]
+    forest.threshold = float(most if nearest is None else (most + nearest) / 2)
+    return forest
 
 
 def _verdicts(forest: Forest | None, stats: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

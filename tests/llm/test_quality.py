@@ -224,3 +224,17 @@ def test_held_out_labels_agree(spark):
     kept = {r.quality: r.kept for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
     print("held out", kept)
     assert kept[1] > 0.98 and kept[0] < 0.2
+
+
+def test_threshold_and_draws_are_those_of_all_labelled_rows(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    n = 30_000
+    x = rng.random((n, 5)).round(6)
+    good = rng.random(n) > 0.1
+    rows = spark.createDataFrame([(i, bool(g), v) for i, (g, v) in enumerate(zip(good, x.tolist()))], "doc_id long, good boolean, x array<double>")
+    monkeypatch.setattr(quality, "_labelled", lambda docs, labels: rows)
+    forest = quality.fit_forest(rows, rows, trees=20, tree_rows=64, false_rejects=0.1)
+    whole = quality.Forest(forest.column, forest.value, forest.length, forest.rows).calibrate(x, good, 0.1)
+    assert abs(forest.threshold - whole.threshold) < 1e-12
+    draws = quality._draws(rows, int(good.sum()), int((~good).sum()), 20, 64)
+    assert all(len(d) == 64 for d in draws) and len(np.unique(np.concatenate(draws), axis=0)) > 1200
