@@ -1,8 +1,9 @@
 """Grouped-softmax models: gradient, folds, bootstrap, linear and tree learners, ensembles.
 
 Fits are independent by (fold, replicate), so each is one task, its randomness seeded from its
-key. A resample draws whole groups, so a fit gets each group it draws once, as blocks of plain
-numbers, with how often it was drawn.
+key. A resample draws whole groups, so a fit gets each group it draws once, with how often it was
+drawn: a linear fit as blocks of plain numbers, a tree fit as counts of the rows that fall in the
+same bins, which score alike.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ HESSIAN_FLOOR = 1e-3
 BATCH_BYTES = 8 << 20
 #: Partitions for each fit, so that hardly any two fits meet in one.
 SPREAD = 8
+#: Parts of a column in which the wanted ranks of a quantile are looked for.
+PARTS = 256
 
 
 def seed_of(*key) -> int:
@@ -196,31 +199,71 @@ def fit_boosted(x: np.ndarray, codes: np.ndarray, label: np.ndarray, **options)
 
 
 def fit_boosted_parts(parts: list[Part], rounds: int = 60, rate: float = 0.05, fraction: float = 0.8, seed: int = 0, bins: int = 64, **options) -> list[Tree]:
-    """Trees on the grouped gradient, each on a random ``fraction`` of the columns.
+    """Trees on the grouped gradient, each on a random ``fraction`` of the columns."""
+    weight = np.repeat(np.array([times for _, _, times in parts]), [len(y) for _, y, _ in parts])
+    edges = [cut_points(np.concatenate([x[:, c] for x, _, _ in parts]), bins, weight) for c in range(parts[0][0].shape[1])]
+    groups = [(*merged(binned(x, edges), np.ones(len(y), np.int64), y), times) for x, y, times in parts]
+    return fit_boosted_cells(groups, edges, rounds, rate, fraction, seed, **options)
 
-    ``parts`` is emptied: rows are kept as bins, which do not change between rounds.
+
+Group = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def bin_kind(edges: list[np.ndarray]) -> type:
+    return np.uint8 if max(map(len, edges)) < 256 else np.uint16
+
+
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The bin of each value, by row and column."""
+    return np.stack([np.searchsorted(marks, x[:, c]).astype(bin_kind(edges)) for c, marks in enumerate(edges)], axis=1)
+
+
+def cells_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct row of bins, and which of these each row is."""
+    code, count = np.zeros(len(at), np.int64), 1
+    for c in range(at.shape[1]):
+        wide = int(at[:, c].max(initial=0)) + 1
+        if count * wide >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            count = len(found)
+        code, count = code * wide + at[:, c], count * wide
+    return np.unique(code, return_index=True, return_inverse=True)[1:]
+
+
+def merged(at: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, how many rows have them and the sum of their labels, each row of bins once."""
+    first, cell = cells_of(at)
+    return at[first], np.bincount(cell, n, len(first)).astype(np.int64), np.bincount(cell, y, len(first))
+
+
+def fit_boosted_cells(groups: list[Group], edges: list[np.ndarray], rounds: int = 60, rate: float = 0.05, fraction: float = 0.8, seed: int = 0, **options) -> list[Tree]:
+    """``fit_boosted_parts`` of groups (bins, rows with them, sum of their labels, how often each counts).
+
+    Trees split at edges of bins only, so rows of one group with the same bins have one score and
+    one gradient at all times, and rows of all groups with the same bins end in one leaf. Bins
+    are distinct within a group. ``groups`` is emptied.
     """
     rng = np.random.default_rng(seed)
-    width = parts[0][0].shape[1]
-    sizes = [len(y) for _, y, _ in parts]
-    weight = np.repeat(np.array([times for _, _, times in parts], np.uint16), sizes)
-    label = np.concatenate([y for _, y, _ in parts])
-    edges, binned = {}, {}
-    for c in range(width):
-        x = np.concatenate([p[0][:, c] for p in parts])
-        edges[c] = cut_points(x, bins, weight)
-        binned[c] = np.searchsorted(edges[c], x).astype(np.uint8 if bins < 256 else np.uint16)
-    parts.clear()
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    score, trees = np.zeros(len(label)), []
-    g, h = np.zeros(len(label)), np.zeros(len(label))
+    width = len(edges)
+    first, cell = cells_of(at := np.concatenate([g[0] for g in groups]))
+    at, cell = np.asfortranarray(at[first]), cell.astype(np.int32)
+    bounds = np.cumsum([0, *[len(g[0]) for g in groups]])
+    own = [(cell[i:j], n, y, times) for (_, n, y, times), i, j in zip(groups, bounds, bounds[1:], strict=False)]
+    groups.clear()
+    weight = np.zeros(len(first), np.int64)
+    for c, n, _, times in own:
+        weight[c] += times * n
+    score, trees = np.zeros(len(first)), []
     some = max(1, int(round(fraction * width)))
     for _ in range(rounds):
-        for i, j in zip(bounds, bounds[1:]):
-            own = pl_gradient(score[i:j], np.zeros(j - i, int), label[i:j])
-            g[i:j], h[i:j] = own[0] * weight[i], own[1] * weight[i]
+        g, h = np.zeros(len(first)), np.zeros(len(first))
+        for c, n, y, times in own:
+            e = np.exp(score[c] - score[c].max())
+            p = e / (n @ e)
+            g[c] += times * (n * p - y)
+            h[c] += times * n * np.maximum(p * (1 - p), HESSIAN_FLOOR)
         columns = np.sort(rng.choice(width, some, replace=False)).tolist()
-        tree, value = grow_tree({c: binned[c] for c in columns}, {c: edges[c] for c in columns}, g, h, weight, width, **options)
+        tree, value = grow_tree({c: at[:, c] for c in columns}, {c: edges[c] for c in columns}, g, h, weight, width, **options)
         trees.append(tree)
         score += rate * value
     return trees
@@ -276,25 +319,27 @@ def _blocks(rows: DataFrame, key: list[str], order: list[str], features: list[st
     return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(pack, f"{kinds}, number long, x binary, y binary")
 
 
-def _fitted(rows: DataFrame, fit: Callable, schema: str, *, season: str, group: list[str], features: list[str], label: str, order: list[str], replicates: int, least: int, seed: int, sealed: int | None = None) -> DataFrame:
-    """What ``fit`` gives of each (fold, k): fold, k and the columns of ``schema``.
+@dataclass
+class Deals:
+    """Which fits there are, which groups each draws and how it standardises its rows."""
 
-    fit(parts, seed of the fit, mean, sd) sees the groups that the resample drew from the
-    seasons before the fold, each once with its count, standardised by all rows of these seasons.
-    ``rows`` are read several times and should be a table. A fit holds its rows in one task, at
-    8 bytes for each feature and label.
-    """
-    spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows: DataFrame
+    key: list[str]
+    found: list[tuple]  # the distinct keys, season first
+    fits: list[tuple[int, int]]  # fold, k
+    plan: list[tuple]  # fold, k, key, code of the group, how often it is drawn
+    scale: dict[int, tuple[np.ndarray, np.ndarray]]  # mean and sd by fold
+
+
+def _dealt(rows: DataFrame, *, season: str, group: list[str], features: list[str], label: str, order: list[str], replicates: int, least: int, seed: int, sealed: int | None = None) -> Deals:
     key = list(dict.fromkeys([season, *group]))
     rows = rows.filter(F.col(season).isNotNull()).select(*dict.fromkeys([*key, *order, *features, label]))
     found = [tuple(r) for r in rows.select(*key).distinct().collect()]
     name = [key.index(g) for g in group]
     seasons = sorted({r[0] for r in found})
     folds = [s for i, s in enumerate(seasons) if i >= least and (sealed is None or s <= sealed)]
-    output = f"fold int, k int, {schema}"
     if not folds:
-        return spark.createDataFrame([], output)
+        return Deals(rows, key, found, [], [], {})
     plan = []
     for fold in folds:
         train = [r for r in found if r[0] < fold]
@@ -304,13 +349,29 @@ def _fitted(rows: DataFrame, fit: Callable, schema: str, *, season: str, group:
             drawn = np.random.default_rng(seed_of(seed, int(fold), k)).integers(0, len(names), len(names))
             times = np.bincount(drawn, minlength=len(names)).tolist()
             plan += [(int(fold), k, *r, codes[own], times[codes[own]]) for r in train if times[codes[own := tuple(r[i] for i in name)]]]
-    kind = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("k", T.IntegerType()), *[rows.schema[c] for c in key], T.StructField("code", T.IntegerType()), T.StructField("times", T.IntegerType())])
-    deals = F.broadcast(spark.createDataFrame(plan, kind))
-
-    before = F.broadcast(spark.createDataFrame([(int(f),) for f in folds], "fold int"))
+    before = F.broadcast(rows.sparkSession.createDataFrame([(int(f),) for f in folds], "fold int"))
     plain = rows.select(season, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]).join(before, F.col(season) < F.col("fold"))
     spread = [F.when(F.min(c) < F.max(c), F.stddev_pop(c)).otherwise(1.0) for c in features]
     scale = {r[0]: (np.array(r[1]), np.array(r[2])) for r in plain.groupBy("fold").agg(F.array(*[F.avg(c) for c in features]), F.array(*spread)).collect()}
+    return Deals(rows, key, found, [(int(f), k) for f in folds for k in range(replicates)], plan, scale)
+
+
+def _fitted(rows: DataFrame, fit: Callable, schema: str, *, features: list[str], label: str, order: list[str], **options) -> DataFrame:
+    """What ``fit`` gives of each (fold, k): fold, k and the columns of ``schema``.
+
+    fit(parts, seed of the fit, mean, sd) sees the groups that the resample drew from the
+    seasons before the fold, each once with its count, standardised by all rows of these seasons.
+    ``rows`` are read several times and should be a table. A fit holds its rows in one task, at
+    8 bytes for each feature and label.
+    """
+    spark, seed = rows.sparkSession, options["seed"]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    deals = _dealt(rows, features=features, label=label, order=order, **options)
+    rows, key, scale = deals.rows, deals.key, deals.scale
+    output = f"fold int, k int, {schema}"
+    if not deals.fits:
+        return spark.createDataFrame([], output)
+    kind = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("k", T.IntegerType()), *[rows.schema[c] for c in key], T.StructField("code", T.IntegerType()), T.StructField("times", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, groups = None, {}
@@ -338,11 +399,179 @@ def _fitted(rows: DataFrame, fit: Callable, schema: str, *, season: str, group:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark.createDataFrame([], output).schema)
-    blocks = _blocks(rows.filter(F.col(season) < max(folds)), key, order, features, label)
-    fits = blocks.join(deals, key).repartition(SPREAD * len(folds) * replicates, "fold", "k").sortWithinPartitions("fold", "k", "code", *key, "number")
+    last = max(f for f, _ in deals.fits)
+    blocks = _blocks(rows.filter(F.col(key[0]) < last), key, order, features, label)
+    fits = blocks.join(F.broadcast(spark.createDataFrame(deals.plan, kind)), key).repartition(SPREAD * len(deals.fits), "fold", "k").sortWithinPartitions("fold", "k", "code", *key, "number")
     return fits.select("fold", "k", "code", "times", "x", "y").mapInArrow(run, output)
 
 
+def _edges(rows: DataFrame, deals: Deals, drawn: np.ndarray, features: list[str], bins: int) -> list[list[np.ndarray]]:
+    """``cut_points`` of each fit's standardised columns, exact, without a task that holds a column.
+
+    ``rows`` have the number of their key, own; ``drawn`` is how often a fit draws it, by key and
+    fit. A sketch cuts each column into parts. Rows counted by part and fit tell in which part
+    each wanted rank lies, and equal values of a part, in order, which value has it.
+    """
+    n_fits = drawn.shape[1]
+    sketch = F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)])
+    cuts = [np.unique(np.array(v)) for v in rows.agg(*[F.percentile_approx(c, sketch, F.lit(10 * PARTS)) for c in features]).first()]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(features), PARTS, n_fits), np.int64)
+        for batch in batches:
+            times = drawn[batch.column("own").to_numpy()]
+            for c, name in enumerate(features):
+                part = np.searchsorted(cuts[c], batch.column(name).to_numpy())
+                for f in range(n_fits):
+                    sums[c, :, f] += np.bincount(part, times[:, f], PARTS).astype(np.int64)
+        c, part, f = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int32)) for v in (c, part, f)] + [pa.array(sums[c, part, f])], names=["c", "part", "fit", "n"])
+
+    upto = np.zeros((len(features), PARTS, n_fits), np.int64)
+    for r in rows.mapInArrow(count, "c int, part int, fit int, n long").groupBy("c", "part", "fit").agg(F.sum("n").alias("n")).collect():
+        upto[r.c, r.part, r.fit] = r.n
+    upto = np.cumsum(upto, axis=1)
+    at = np.linspace(0, 1, bins + 1)[1:-1, None] * (upto[0, -1] - 1)
+    wanted = {}
+    for f in range(n_fits):
+        ranks = np.unique(np.concatenate([np.floor(at[:, f]), np.ceil(at[:, f])]).astype(np.int64))
+        for c in range(len(features)):
+            parts = np.searchsorted(upto[c, :, f], ranks, side="right")
+            for part in np.unique(parts).tolist():
+                before = int(upto[c, part - 1, f]) if part else 0
+                wanted.setdefault((c, part), []).append((f, before, ranks[parts == part] - before))
+    needed = np.zeros((len(features), PARTS), bool)
+    needed[tuple(zip(*wanted, strict=True))] = True
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, name in enumerate(features):
+                v = batch.column(name).to_numpy()
+                part = np.searchsorted(cuts[c], v).astype(np.int32)
+                keep = np.flatnonzero(needed[c][part])
+                own = batch.column("own").to_numpy()[keep]
+                by = np.lexsort((own, v[keep]))
+                v, own, part = v[keep][by], own[by], part[keep][by]
+                first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (own[1:] != own[:-1]))[: len(v)])
+                n = np.diff(np.append(first, len(v)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), c, np.int32)), pa.array(part[first]), pa.array(own[first]), pa.array(v[first]), pa.array(n)], names=["c", "part", "own", "v", "n"])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, past = None, np.zeros(n_fits, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, part, own, v, n = (batch.column(i).to_numpy() for i in range(5))
+            starts = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (part[1:] != part[:-1]))[: len(c)]).tolist()
+            out = []
+            for i, j in zip(starts, [*starts[1:], len(c)], strict=True):
+                if now != (spot := (int(c[i]), int(part[i]))):
+                    now, past = spot, np.zeros(n_fits, np.int64)
+                sums = past + np.cumsum(drawn[own[i:j]] * n[i:j, None], axis=0)
+                for f, before, ranks in wanted[spot]:
+                    here = ranks[(ranks >= past[f]) & (ranks < sums[-1, f])]
+                    found = v[i:j][np.searchsorted(sums[:, f], here, side="right")]
+                    out += [(spot[0], f, before + r, x) for r, x in zip(here.tolist(), found.tolist(), strict=True)]
+                past = sums[-1]
+            cols = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["c", "fit", "rank", "v"])
+
+    parts = rows.mapInArrow(split, "c int, part int, own int, v double, n long").repartition("c", "part").groupBy("c", "part", "own", "v").agg(F.sum("n").alias("n"))
+    picked = parts.sortWithinPartitions("c", "part", "v", "own").select("c", "part", "own", "v", "n").mapInArrow(pick, "c int, fit int, rank long, v double")
+    value = {(r.c, r.fit, r["rank"]): r.v for r in picked.collect()}
+    edges = []
+    for f, (fold, _) in enumerate(deals.fits):
+        mean, sd = deals.scale[fold]
+        low, high = (np.array([[value[c, f, int(r)] for c in range(len(features))] for r in side(at[:, f])]) for side in (np.floor, np.ceil))
+        low, high = (low - mean) / sd, (high - mean) / sd
+        cut = low + (high - low) * (at[:, f] - np.floor(at[:, f]))[:, None]
+        edges.append([np.unique(cut[:, c]) for c in range(len(features))])
+    return edges
+
+
+def _boosted(rows: DataFrame, fit: Callable, schema: str, *, group: list[str], features: list[str], label: str, bins: int = 64, **options) -> DataFrame:
+    """What ``fit`` gives of each (fold, k): fold, k and the columns of ``schema``.
+
+    fit(groups, edges, seed of the fit, mean, sd) sees what ``fit_boosted_cells`` takes of the
+    groups that ``_fitted`` would give. Rows become counts by group and bins before they are sent,
+    so a fit holds one entry for each group and distinct row of bins. ``rows`` are read several
+    times and should be a table.
+    """
+    spark, seed = rows.sparkSession, options["seed"]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    deals = _dealt(rows, group=group, features=features, label=label, order=[], **options)
+    output = f"fold int, k int, {schema}"
+    if not deals.fits:
+        return spark.createDataFrame([], output)
+    key, last = deals.key, max(f for f, _ in deals.fits)
+    found = [r for r in deals.found if r[0] < last]
+    names = [tuple(r[key.index(g)] for g in group) for r in found]
+    number, place = {n: i for i, n in enumerate(sorted(set(names)))}, {r: i for i, r in enumerate(found)}
+    code, which = [number[n] for n in names], {f: i for i, f in enumerate(deals.fits)}
+    drawn = np.zeros((len(found), len(deals.fits)), np.int64)
+    for fold, k, *own, _, times in deals.plan:
+        drawn[place[tuple(own)], which[fold, k]] = times
+    kind = T.StructType([*[deals.rows.schema[c] for c in key], T.StructField("own", T.IntegerType())])
+    plain = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]
+    numbered = deals.rows.join(F.broadcast(spark.createDataFrame([(*r, i) for i, r in enumerate(found)], kind)), key)
+    numbered = numbered.select("own", *plain, F.col(label).cast("double").alias("y"))
+    xs = [f"x{i}" for i in range(len(features))]
+    edges = _edges(numbered.drop("y"), deals, drawn, xs, bins)
+    scale, which_fit = [deals.scale[fold] for fold, _ in deals.fits], deals.fits
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            own, x, y = batch.column("own").to_numpy(), _numbers(batch, xs), batch.column("y").to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (x[1:] != x[:-1]).any(axis=1))[: len(own)])
+            if not len(first):
+                continue
+            n, y = np.diff(np.append(first, len(own))), np.add.reduceat(y, first)
+            own, x = own[first], x[first]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
+            for i, j in zip(starts, [*starts[1:], len(own)], strict=True):
+                turn, out = turn + 1, []
+                for f in np.flatnonzero(drawn[own[i]]).tolist():
+                    cells = merged(binned((x[i:j] - scale[f][0]) / scale[f][1], edges[f]), n[i:j], y[i:j])
+                    out.append({"fit": f, "code": code[own[i]], "times": int(drawn[own[i], f]), "own": int(own[i]), "turn": turn, **dict(zip(("at", "n", "y"), (v.tobytes() for v in cells), strict=True))})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, now, blocks = [], None, []
+
+        def close() -> None:
+            groups.append((*merged(*[np.concatenate(v) for v in zip(*blocks, strict=True)]), now[2]))
+            blocks.clear()
+
+        def done() -> pa.RecordBatch:
+            fold, k = which_fit[now[0]]
+            made = fit(groups, edges[now[0]], seed_of(seed, fold, k), *scale[now[0]])
+            groups.clear()
+            return pa.RecordBatch.from_pylist([{"fold": fold, "k": k, **made}], arrow)
+
+        for batch in batches:
+            for f, own, times, *cells in zip(*[batch.column(c).to_pylist() for c in ("fit", "code", "times", "at", "n", "y")], strict=True):
+                if now is not None and now != (f, own, times):
+                    close()
+                    if now[0] != f:
+                        yield done()
+                now = f, own, times
+                at, n, y = (np.frombuffer(v, t) for v, t in zip(cells, (bin_kind(edges[f]), np.int64, np.float64), strict=True))
+                blocks.append((at.reshape(-1, len(features)), n, y))
+        if now is not None:
+            close()
+            yield done()
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    sent = "fit int, code int, times int, own int, turn int, at binary, n binary, y binary"
+    arrow, counts = (to_arrow_schema(spark.createDataFrame([], s).schema) for s in (output, sent))
+    blocks = numbered.repartition("own").sortWithinPartitions("own", *xs, "y").mapInArrow(pack, sent)
+    fits = blocks.repartition(SPREAD * len(deals.fits), "fit").sortWithinPartitions("fit", "code", "own", "turn")
+    return fits.select("fit", "code", "times", "at", "n", "y").mapInArrow(run, output)
+
+
 def _kept(rows: DataFrame, columns: list[str]) -> DataFrame:
     """These columns written once to the shared folder, as fits read them several times."""
     path = shared_dir(rows.sparkSession, "fits")
@@ -358,17 +587,17 @@ def ensemble_scores(rows: DataFrame, *, keys: list[str], season: str, group: lis
     models, which are small, pass through the driver.
     """
     rows = _kept(rows, [*keys, season, *group, *features, label])
-    options = dict(season=season, group=group, features=features, label=label, order=keys, replicates=replicates, least=least, seed=seed)
+    options = dict(season=season, group=group, features=features, label=label, replicates=replicates, least=least, seed=seed)
     spark = rows.sparkSession
     if learner == "linear":
-        models = spark.createDataFrame(_linear(rows, None, **options).collect(), MODEL)
+        models = spark.createDataFrame(_linear(rows, None, order=keys, **options).collect(), MODEL)
         return score_with(rows, models, season=season, features=features, keys=keys)
 
-    def fit(parts, number, mean, sd):
-        return {"mean": mean.tolist(), "sd": sd.tolist(), "trees": pickle.dumps(fit_boosted_parts(parts))}
+    def fit(groups, edges, number, mean, sd):
+        return {"mean": mean.tolist(), "sd": sd.tolist(), "trees": pickle.dumps(fit_boosted_cells(groups, edges))}
 
     found = {}
-    for r in _fitted(rows, fit, "mean array<double>, sd array<double>, trees binary", **options).collect():
+    for r in _boosted(rows, fit, "mean array<double>, sd array<double>, trees binary", **options).collect():
         found.setdefault(r.fold, []).append((r.k, np.array(r["mean"]), np.array(r.sd), pickle.loads(bytes(r.trees))))
     shared = spark.sparkContext.broadcast(found)
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
@@ -390,11 +619,11 @@ def gain_importance(rows: DataFrame, *, season: str, group: list[str], features:
     """feature, gain, place: the mean gain of boosted splits by feature over all folds, the ``top`` first."""
     rows = _kept(rows, [season, *group, *features, label])
 
-    def fit(parts, number, mean, sd):
-        trees = fit_boosted_parts(parts, seed=number)
+    def fit(groups, edges, number, mean, sd):
+        trees = fit_boosted_cells(groups, edges, seed=number)
         return {"gain": sum((t.gain for t in trees), np.zeros(len(features))).tolist()}
 
-    fits = _fitted(rows, fit, "gain array<double>", season=season, group=group, features=features, label=label, order=[*features, label], replicates=replicates, least=least, seed=seed)
+    fits = _boosted(rows, fit, "gain array<double>", season=season, group=group, features=features, label=label, replicates=replicates, least=least, seed=seed)
     pairs = F.arrays_zip(F.array(*[F.lit(f) for f in features]).alias("feature"), F.col("gain").alias("gain"))
     found = fits.select(F.inline(pairs)).toDF("feature", "gain").groupBy("feature").agg(F.avg("gain").alias("gain"))
     return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("gain").desc(), "feature"))).filter(F.col("place") <= top)

@@ -258,3 +258,76 @@ def test_a_group_drawn_twice_counts_twice_in_tree_fits():
     one, two = model.fit_boosted_parts(parts, rounds=5), model.fit_boosted(x, codes, y, rounds=5)
     assert np.allclose(model.predict_boosted(one, x), model.predict_boosted(two, x), atol=1e-9)
     assert all(np.array_equal(a.column, b.column) for a, b in zip(one, two))
+
+
+def _plain_trees(x, codes, y, rounds=60, rate=0.05):
+    """Boosting row by row, a group drawn twice being two."""
+    rng, score, trees = np.random.default_rng(0), np.zeros(len(x)), []
+    for _ in range(rounds):
+        columns = np.sort(rng.choice(x.shape[1], max(1, round(0.8 * x.shape[1])), replace=False))
+        trees.append(model.fit_tree(x, *model.pl_gradient(score, codes, y), columns=columns))
+        score += rate * trees[-1].predict(x)
+    return trees
+
+
+def _tree_rows():
+    """Groups that span seasons; ties, nulls, a constant, and each row several times."""
+    rng, rows = np.random.default_rng(7), []
+    for season in range(2000, 2003):
+        for g in range(4):
+            for _ in range(60):
+                a, b = float(rng.normal()), float(rng.integers(0, 4))
+                rows += [(season, g, None if b == 3 else b, a, 1.5, float(a > 1))] * int(rng.integers(1, 9))
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+TREE_ROWS = "id int, season int, g int, b double, a double, one double, y double"
+
+
+def test_tree_ensembles_score_as_fits_of_every_drawn_row(spark):
+    rows = _tree_rows()
+    got = model.ensemble_scores(spark.createDataFrame(rows, TREE_ROWS).repartition(5), keys=["id"], season="season", group=["g"], features=["b", "a", "one"], label="y", replicates=2, learner="trees", least=1)
+    got = {(r.id, r.k): r.score for r in got.collect()}
+    data = np.array([[0.0 if v is None else v for v in r] for r in rows])
+    for fold in (2001, 2002):
+        old, new = data[data[:, 1] < fold], data[data[:, 1] == fold]
+        mean, sd = old[:, 3:6].mean(axis=0), old[:, 3:6].std(axis=0)
+        sd[2] = 1.0
+        for k in range(2):
+            drawn = np.random.default_rng(model.seed_of(5, fold, k)).integers(0, 4, 4)
+            parts = [old[old[:, 2] == g] for g in np.sort(drawn)]
+            every, codes = np.concatenate(parts), np.repeat(np.arange(4), [len(p) for p in parts])
+            trees = _plain_trees((every[:, 3:6] - mean) / sd, codes, every[:, 6])
+            want = model.predict_boosted(trees, (new[:, 3:6] - mean) / sd)
+            assert np.abs(want - [got.pop((int(i), k)) for i in new[:, 0]]).max() < 1e-9 and want.std() > 0.01
+    assert not got
+
+
+def test_a_tree_fit_holds_bins_and_not_rows(spark):
+    """Thirty times the rows are sent and held as hardly more entries, with thirty times the counts."""
+    def size(groups, edges, number, mean, sd):
+        return {"held": sum(len(g[1]) for g in groups), "stood": int(sum(g[1].sum() for g in groups)), "marks": sum(map(len, edges))}
+
+    def held(times):
+        rows = spark.createDataFrame(_tree_rows() * times, TREE_ROWS)
+        fits = model._boosted(rows, size, "held long, stood long, marks long", season="season", group=["g"], features=["b", "a", "one"], label="y", replicates=1, least=1, seed=5)
+        return sorted(map(tuple, fits.collect()))
+
+    few, many = held(1), held(30)
+    assert len(few) == 2 and [(f, k, 30 * m) for f, k, _, m, _ in few] == [(f, k, m) for f, k, _, m, _ in many]
+    assert all(abs(a[2] - b[2]) < 10 and b[2] < b[3] / 80 for a, b in zip(few, many, strict=True))
+
+
+def test_cut_points_found_by_parts_are_exact(spark):
+    """Each fit's edges are the weighted quantiles of its rows, ties of a thousand included."""
+    rng = np.random.default_rng(8)
+    own = rng.integers(0, 3, 6000)
+    x = np.stack([rng.normal(size=6000), rng.integers(0, 3, 6000).astype(float), np.where(rng.random(6000) < 0.9, 0.0, rng.normal(size=6000))], axis=1)
+    drawn = np.array([[1, 0], [2, 1], [0, 5]])
+    scale = {1: (np.array([0.1, 0.0, 0.3]), np.array([2.0, 1.0, 0.5]))}
+    rows = spark.createDataFrame([(int(o), *map(float, r)) for o, r in zip(own, x)], "own int, x0 double, x1 double, x2 double").repartition(4)
+    deals = model.Deals(rows, [], [], [(1, 0), (1, 1)], [], scale)
+    for f, edges in enumerate(model._edges(rows, deals, drawn, ["x0", "x1", "x2"], 64)):
+        w = drawn[own, f]
+        z = (x[w > 0] - scale[1][0]) / scale[1][1]
+        assert all(np.array_equal(e, model.cut_points(z[:, c], 64, w[w > 0])) for c, e in enumerate(edges))
